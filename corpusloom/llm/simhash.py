@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import shuffle_partitions, small_batches, stored
 from .components import stars
@@ -203,7 +204,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of rows that repeat an id, one stays."""
-    parts = simhash_components(docs, id_col, text_col, radius, shingle)
-    kept = parts.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """One row of docs (all its columns) of each component: that of the smallest id; of rows that repeat an id the
+    one of the smallest text. Null ids count as the largest."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    own = docs.withColumn("__key", key)
+    parts = simhash_components(own, "__key", text_col, radius, shingle)
+    kept = parts.filter(F.col("__key") == F.col("component_id")).select("__key").distinct()
+    # The window finds the rows dealt by the join's key already.
+    first = F.row_number().over(W.partitionBy("__key").orderBy(text_col))
+    return own.join(kept, "__key", "left_semi").withColumn("__nth", first).filter("__nth = 1").select(*docs.columns)

@@ -153,15 +153,15 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 40_000, most_terms: int = 4096, threshold: float = 0.7, k: int = 25) -> DataFrame:
-    """Scores of every whole text.
+def _sparse_counts(text: str | None, terms: dict[str, int]) -> dict[int, int]:
+    return Counter(terms[w] for w in words_of(text) if w in terms) if text else {}
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 40_000, most_terms: int = 4096, k: int = 25) -> tuple[NeighbourVotes, dict[str, int], DataFrame]:
+    """(votes, words of the space, the stored vectors of all documents: __id, terms, times).
 
     Learns from at most `most_labelled` labelled rows (those of smallest id hash among ids with crc32(id) mod 3 not
     1; an id labelled more than once has the mean label, ties toxic; null labels are none) and `most_terms` words.
-    Returns id_col, held_out (crc32 of the id's text mod 3 is 1; false for a null id), score, predicted, evidence
-    (up to three `id:cosine` of the nearest examples). Texts without a word of the space, empty and null ones among
-    them, get the rate of such examples; without any labels the score is 0. Null and repeated ids and rows are kept;
-    an empty table gives an empty table; other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__toxic"))
@@ -179,10 +179,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([rows[y], *(seen[y][w] for w in words[1:])], pa.int64()) for y in (0, 1))], names=["word", "clean", "toxic"])
 
     counted = stored(examples.mapInArrow(word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    n0, n1 = (counted.filter("word = ''").agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first())
-    rate = n1 / max(1, n0 + n1)
-    total = F.col("clean") + F.col("toxic")
-    expected = total * F.lit(rate)
+    n0, n1 = counted.filter("word = ''").agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    expected = (F.col("clean") + F.col("toxic")) * F.lit(n1 / max(1, n0 + n1))
     # Words at least three times as frequent among toxic examples as the mean, at five deviations of chance.
     chosen = (
         counted.filter((F.col("word") != "") & (F.col("toxic") >= 5) & (F.col("toxic") >= 3 * expected) & (F.col("toxic") - expected >= 5 * F.sqrt(expected)))
@@ -193,8 +191,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches(whole, "__text"):
-                counts = [Counter(terms[w] for w in words_of(t.as_py()) if w in terms) if t.is_valid else {} for t in batch.column(1)]
-                pairs = [sorted(c.items()) for c in counts]
+                pairs = [sorted(_sparse_counts(t.as_py(), terms).items()) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([[p[i] for p in ps] for ps in pairs], pa.list_(pa.int32())) for i in (0, 1))], names=["__id", "terms", "times"])
 
     schema = T.StructType([T.StructField("__id", texts.schema["__id"].dataType), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
@@ -210,17 +207,51 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .collect()  # most_labelled rows
     )
     given = sorted(((dict(zip(r["terms"], r["times"])), r["rows"], r["toxic"], r["example"]) for r in groups), key=lambda e: (str(e[3]), sorted(e[0].items())))
-    model = docs.sparkSession.sparkContext.broadcast(NeighbourVotes(idf, given, k))
+    return NeighbourVotes(idf, given, k), terms, vectors
+
+
+_SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
+
+
+def _judged(votes: NeighbourVotes, counts: list[dict[int, int]], threshold: float) -> list[pa.Array]:
+    found = [votes.score(c) for c in counts]
+    scores = [s for s, _ in found]
+    return [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([",".join(f"{i}:{c:.4f}" for i, c in e) for _, e in found], pa.string())]
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **learning) -> DataFrame:
+    """Scores of every whole text; `learning` goes to fit().
+
+    Returns id_col, held_out (crc32 of the id's text mod 3 is 1; false for a null id), score, predicted (1 from
+    `threshold` on), evidence (up to three `id:cosine` of the nearest examples). Texts without a word of the space,
+    empty and null ones among them, get the rate of such examples; without any labels the score is 0. Null and
+    repeated ids and rows are kept; an empty table gives an empty table; other columns are not read.
+    """
+    votes, _, vectors = fit(docs, labels, id_col, text_col, **learning)
+    model = docs.sparkSession.sparkContext.broadcast(votes)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes = model.value
         for batch in batches:
-            found = [votes.score(dict(zip(t, c))) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            scores = [s for s, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([",".join(f"{i}:{c:.4f}" for i, c in e) for _, e in found], pa.string())],
-                names=["__id", "score", "predicted", "evidence"],
-            )
-
-    out = T.StructType([schema["__id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
-    return vectors.mapInArrow(judge, out).select(F.col("__id").alias(id_col), held_out("__id").alias("held_out"), "score", "predicted", "evidence")
+            counts = [dict(zip(t, c)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(model.value, counts, threshold)], names=["__id", *_SCORE.names])
+
+    scored = vectors.mapInArrow(judge, T.StructType([vectors.schema["__id"], *_SCORE]))
+    return scored.select(F.col("__id").alias(id_col), held_out("__id").alias("held_out"), *_SCORE.names)
+
+
+def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **learning) -> DataFrame:
+    """docs with score, predicted and evidence of toxicity_scores beside all its columns (of these names, replaced).
+    The texts are read once more instead of being joined to their scores, so no text is shuffled."""
+    votes, terms, _ = fit(docs, labels, id_col, text_col, **learning)
+    model = docs.sparkSession.sparkContext.broadcast((votes, terms))
+    keep = [c for c in docs.columns if c not in _SCORE.names]
+    at = keep.index(text_col)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes, terms = model.value
+        for whole in batches:
+            for batch in small_batches(whole, text_col):
+                counts = [_sparse_counts(t.as_py(), terms) for t in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_judged(votes, counts, threshold)], names=[*keep, *_SCORE.names])
+
+    return docs.select(*keep).mapInArrow(judge, T.StructType([*(docs.schema[c] for c in keep), *_SCORE]))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches
-from .token_counts import byte_symbols
+from .token_counts import PreTokens, byte_symbols
 
 WINDOW, MASK, SHORTEST, LONGEST = 16, 1023, 384, 8192
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -92,15 +92,17 @@ def span_around(text: str, cut: int, wider: int = 0) -> tuple[int, int]:
 
 
 class ChunkCodec:
-    """Encodes texts by chunks as the tokenizers library encodes them whole; `kept` bounds the characters held."""
+    """Encodes texts by chunks as the tokenizers library encodes them whole; `kept` and `words`
+    bound the characters of chunks and the pre-tokens held."""
 
-    def __init__(self, path: str, kept: int = 24_000_000):
+    def __init__(self, path: str, kept: int = 8_000_000, words: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.pieces, self.words, self.most_words = PreTokens(path).pieces, {}, words
         self.library.no_truncation()
         self.library.no_padding()
         added = self.library.get_added_tokens_decoder()
@@ -115,8 +117,36 @@ class ChunkCodec:
         self.kept, self.held, self.table = kept, 0, {}
         self.encoded = self.reused = self.repaired = 0
 
-    def _library_ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Identifiers of each text: its pre-tokens from a bounded table, those not in it from the library at once."""
+        pieces = [self.pieces(t) for t in texts]
+        known = self.words
+        if new := {p for ps in pieces for p in ps if p not in known}:
+            if len(known) + len(new) > self.most_words:
+                known.clear()
+                new = {p for ps in pieces for p in ps}
+            self._learn_words(list(new))
+        return [np.frombuffer(b"".join(map(known.__getitem__, ps)), np.int32) for ps in pieces]
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Words with a blank before them are encoded as one text, which the pre-tokenizer cuts at the blanks; the
+        bytes of its tokens show where each word ends. Other pre-tokens are texts of their own."""
+        known, alone = self.words, []
+        spaced = [p for p in new if p[0] == " " and p[1:2].isalpha()]
+        if spaced:
+            ids = np.array(self.library.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(self.length[ids])
+            wanted = np.cumsum([len(p.encode()) for p in spaced])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] < len(ends) and (ends[at] == wanted).all():
+                starts = np.concatenate([[0], at[:-1] + 1])
+                for p, a, b in zip(spaced, starts.tolist(), (at + 1).tolist()):
+                    known[p] = ids[a:b].tobytes()
+            else:
+                alone = spaced
+        alone = alone + [p for p in new if p not in known]
+        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
+            known[p] = np.array(e.ids, np.int32).tobytes()
 
     def _learn(self, chunks: list[str]) -> dict[str, np.ndarray]:
         found, new = {}, []
@@ -129,7 +159,7 @@ class ChunkCodec:
             else:
                 found[c] = None
                 new.append(c)
-        for c, ids in zip(new, self._library_ids(new)):
+        for c, ids in zip(new, self._ids(new)):
             found[c] = ids
             if self.held > self.kept:
                 self.table.clear()
@@ -158,7 +188,7 @@ class ChunkCodec:
                     spans[-1][1] = max(b, spans[-1][1])
                 elif a < b:
                     spans.append([a, b])
-            fixed = self._library_ids([text[a:b] for a, b in spans])
+            fixed = self._ids([text[a:b] for a, b in spans])
             parts, agreed, k, start = [], True, 0, 0
             for end, ids in zip(bounds, chunks):
                 left, right = start, end

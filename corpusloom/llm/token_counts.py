@@ -38,6 +38,23 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
+class PreTokens:
+    """Splits texts as the pre-tokenizer of a byte-level BPE file does."""
+
+    def __init__(self, path: str):
+        self.path, self._library = path, None
+        self.split, self.unsure = regex.compile(PATTERN).findall, regex.compile(UNSURE).search
+
+    def pieces(self, text: str) -> list[str]:
+        if not self.unsure(text):
+            return self.split(text)
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path).pre_tokenizer
+        return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
+
+
 class PairMerger:
     """Counts tokens of a text under a byte-level BPE file. `kept` bounds the table of counted pre-tokens."""
 
@@ -53,9 +70,7 @@ class PairMerger:
             self.pairs[left, right] = (rank, left + right)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.at_special = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.split = regex.compile(PATTERN).findall
-        self.unsure = regex.compile(UNSURE).search
-        self.path, self.kept, self._library = path, kept, None
+        self.pieces, self.kept = PreTokens(path).pieces, kept
         self.table: dict[str, int] = {}
 
     def merged_count(self, piece: str) -> int:
@@ -87,15 +102,6 @@ class PairMerger:
                 heapq.heappush(heap, (found[0], h, found[1]))
         return count
 
-    def pieces(self, text: str) -> list[str]:
-        if not self.unsure(text):
-            return self.split(text)
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.path).pre_tokenizer
-        return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
-
     def count(self, text: str) -> int:
         total, parts = 0, [text]
         if self.at_special and any(x in text for x in self.special):

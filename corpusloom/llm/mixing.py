@@ -68,12 +68,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     added = ["size", "source_size", "target", "copies", "taken"]
     keep = [c for c in docs.columns if c not in added]
     measured = docs.select(
-        *(keep if keep_columns else [id_col, source_col]),
+        F.struct(*(keep if keep_columns else [id_col, source_col])).alias("__row"),  # apart from the names below
         n_words(F.col(text_col).cast("string")).alias("__size"),
         F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(17)).alias("__h"),
         F.col(source_col).cast("string").alias("__source"),
     )
-    lean = stored(measured.select(*([] if keep_columns else [id_col, source_col]), "__size", "__h", "__source"))
+    lean = stored(measured.select(*([] if keep_columns else ["__row"]), "__size", "__h", "__source"))
     if not keep_columns:
         measured = lean
     # One row per source, as many as the weights that a caller states.
@@ -105,6 +105,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     out = rounded(measured).join(moves, (F.col("ordinal") == F.col("m_ordinal")) & (F.col("__h") == F.col("m_h")) & (F.col("__size") == F.col("m_size")), "left")
     copies = (F.col("first") + F.coalesce("move", F.lit(0))).cast("int")
     return out.select(
-        *(keep if keep_columns else [id_col, source_col]),
+        "__row.*",
         F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).cast("long").alias("taken"),
     )

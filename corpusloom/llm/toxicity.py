@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored
+from .common import shuffle_partitions, small_batches, stored
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -235,7 +235,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             counts = [dict(zip(t, c)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(model.value, counts, threshold)], names=["__id", *_SCORE.names])
 
-    scored = vectors.mapInArrow(judge, T.StructType([vectors.schema["__id"], *_SCORE]))
+    # The vectors are few bytes but much work: more tasks than their files would make.
+    spread = vectors.repartition(shuffle_partitions(docs.sparkSession))
+    scored = spread.mapInArrow(judge, T.StructType([vectors.schema["__id"], *_SCORE]))
     return scored.select(F.col("__id").alias(id_col), held_out("__id").alias("held_out"), *_SCORE.names)
 
 

@@ -33,6 +33,12 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
     return _problems(members, "exact_duplicate", F.format_string("Duplicado de %s (grupo de %d)", "first", "n"))
 
 
+def duplicate_members(df: DataFrame) -> DataFrame:
+    """All members of equal pairs, nulls equal to nulls."""
+    groups = df.groupBy(*(F.col(k).alias(f"__{i}") for i, k in enumerate(KEY))).agg(F.count("*").alias("members")).filter("members > 1")
+    return df.join(groups, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(KEY)]).select(*df.columns, "members")
+
+
 def duplicate_stats(df: DataFrame) -> DataFrame:
     return _groups(df).agg(F.count("*").alias("duplicate_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"))
 

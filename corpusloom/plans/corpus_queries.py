@@ -260,6 +260,11 @@ def audit_exact_duplicates(spark, sf_dir):
     return audit.exact_duplicates(normalized(spark, sf_dir))
 
 
+@query(f"{_N} SELECT * FROM (SELECT pair_id, count(*) OVER (PARTITION BY {_E}, {_S}) AS members FROM n) WHERE members > 1")
+def duplicate_members(spark, sf_dir):
+    return audit.duplicate_members(normalized(spark, sf_dir)).select("pair_id", "members")
+
+
 @query(f"{_N}, {_DUP} SELECT count(*) AS duplicate_groups, CAST(coalesce(sum(c), 0) AS BIGINT) AS duplicate_rows, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS surplus_rows FROM g")
 def duplicate_stats(spark, sf_dir):
     return audit.duplicate_stats(normalized(spark, sf_dir))
@@ -526,11 +531,29 @@ def step_sample(spark, sf_dir):
 
 
 
-@query()
+_grams = lambda w: f"list_distinct(list_transform(range(1, greatest(length({w}), 1) + 1), lambda i: substr('<' || {w} || '>', i, 3)))"
+_CROSS = f"""{_P}, w AS (SELECT doc_id, {_tok(_clean('"ESP"'))}[1:3] AS a, {_tok(_clean('"SHIWILU"'))}[1:3] AS b FROM p
+), wx AS (SELECT doc_id, unnest(a) AS x, b FROM w), wy AS (SELECT doc_id, x, unnest(b) AS y FROM wx
+), wg AS (SELECT doc_id, {_grams('x')} AS g, {_grams('y')} AS h FROM wy
+), cross_ AS (SELECT w.doc_id, coalesce(avg(len(list_intersect(g, h)) / sqrt(len(g) * len(h))), 0.0) AS s FROM w LEFT JOIN wg USING (doc_id) GROUP BY 1)"""
+
+
+@query(f"WITH {_CROSS} SELECT doc_id, round(s, 6) AS avg_word_score FROM cross_")
 def word_cross_similarity(spark, sf_dir):
     return vectors.cross_similarity(pairs(spark, sf_dir), "doc_id").select("doc_id", _r("avg_word_score").alias("avg_word_score"))
 
 
+@query(f"""WITH {_CROSS}, v AS (SELECT a.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+  m AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n, c, s, substr("ESP", 1, 50) AS esp, substr("SHIWILU", 1, 50) AS shiwilu FROM v JOIN cross_ USING (doc_id) JOIN p USING (doc_id))
+  SELECT CAST(k AS INT) AS k, doc_id, esp, shiwilu, round(c, 6) AS sentence_score, round(s, 6) AS avg_word_score, round(c - s, 6) AS difference
+  FROM m JOIN (SELECT unnest(range(10)) AS k) ON i = (k * (n - 1)) // 9""")
+def sample_pair_comparison(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    both = scores(spark, sf_dir).withColumnRenamed("vec_id", "doc_id").join(vectors.cross_similarity(p, "doc_id"), "doc_id").join(p, "doc_id")
+    out = vectors.even_sample(both, "doc_id").withColumn("difference", F.col("similarity_score") - F.col("avg_word_score"))
+    return out.select("k", "doc_id", F.substring("ESP", 1, 50).alias("esp"), F.substring("SHIWILU", 1, 50).alias("shiwilu"), _r("similarity_score").alias("sentence_score"), _r("avg_word_score").alias("avg_word_score"), _r("difference").alias("difference"))
+
+
 # ---------------------------------------------------------------- models (no SQL form)
 
 

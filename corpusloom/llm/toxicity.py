@@ -181,9 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = stored(examples.mapInArrow(word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     n0, n1 = counted.filter("word = ''").agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     expected = (F.col("clean") + F.col("toxic")) * F.lit(n1 / max(1, n0 + n1))
-    # Words at least three times as frequent among toxic examples as the mean, at five deviations of chance.
+    # Words at least three times as frequent among toxic examples as the mean, at five deviations of chance, in five
+    # and one in 200 of them: fewer may be the copies of one text.
     chosen = (
-        counted.filter((F.col("word") != "") & (F.col("toxic") >= 5) & (F.col("toxic") >= 3 * expected) & (F.col("toxic") - expected >= 5 * F.sqrt(expected)))
+        counted.filter((F.col("word") != "") & (F.col("toxic") >= max(5, n1 / 200)) & (F.col("toxic") >= 3 * expected) & (F.col("toxic") - expected >= 5 * F.sqrt(expected)))
         .orderBy(F.desc((F.col("toxic") - expected) / F.sqrt(expected)), "word").limit(most_terms).collect()
     )
     terms = {r["word"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["word"]))}

@@ -44,7 +44,7 @@ def write_summary(spark: SparkSession, summary: dict, path: str) -> None:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, line_no, line) of text files, in file order."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc_id"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), "value")
     return files.select("doc_id", F.posexplode(tx.lines("value")).alias("line_no", "line"))
 
 

@@ -14,7 +14,8 @@ RULES: dict[str, Callable[[Column], Column]] = {
     "unicode_nfc": tx.nfc, "trim": tx.strip, "collapse_spaces": tx.collapse, "normalize_comma_space": tx.comma_space,
     "lowercase": F.lower, "remove_double_quotes": tx.without_quotes,
 }
-#: Rules that a configuration may switch on per language.
+SIDES = ("ESP", "SHIWILU")
+#: Rules that are off unless named.
 OPTIONAL_RULES: dict[str, Callable[[Column], Column]] = {
     "remove_parentheses": lambda c: F.regexp_replace(c, r"\(.*?\)", ""),
     "remove_punctuation": lambda c: F.regexp_replace(c, r"[.,;:¡!¿?]", ""),
@@ -53,35 +54,29 @@ def cross_duplicates(df: DataFrame) -> DataFrame:
     return keyed.join(keys, ["__e", "__s"], "left_semi").withColumn("duplicate_group", group).drop("__e", "__s")
 
 
-def _steps(name: str, rules: list[str]) -> dict[str, Column]:
+def by_side(rules: list[str] | dict[str, list[tuple[str, Callable]]] | None) -> dict[str, list[tuple[str, Callable]]]:
+    if isinstance(rules, dict):
+        return {side: list(rules.get(side, ())) for side in SIDES}
     known = RULES | OPTIONAL_RULES
-    out, last = {}, name
-    for i, rule in enumerate(r for r in rules if r in known):
-        out[f"__{name}{i + 1}"] = known[rule](F.col(last))
-        last = f"__{name}{i + 1}"
-    return out
+    return {side: [(r, known[r]) for r in (RULES if rules is None else rules) if r in known] for side in SIDES}
 
 
-def normalize(df: DataFrame, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def normalize(df: DataFrame, rules: list[str] | dict[str, list[tuple[str, Callable]]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(normalized, log): originals stay beside the results; the log has a row for each rule that changed a cell.
 
-    `rules` in their order; unknown ones are ignored.
+    `rules`: names in their order for both sides, unknown ones ignored, or (name, function) lists by side.
     """
-    rules = [r for r in (list(RULES) if rules is None else rules) if r in RULES | OPTIONAL_RULES]
-    steps = df
-    for name in ("ESP", "SHIWILU"):
-        for out, expr in _steps(name, rules).items():
-            steps = steps.withColumn(out, expr)
-    last = {n: F.col(f"__{n}{len(rules)}" if rules else n) for n in ("ESP", "SHIWILU")}
+    steps, last, changes = df, {}, []
+    for side, chain in by_side(rules).items():
+        before = side
+        for i, (rule, apply) in enumerate(chain):
+            after = f"__{side}{i + 1}"
+            steps = steps.withColumn(after, apply(F.col(before)))
+            changes.append(F.struct(F.lit(side).alias("column"), F.lit(rule).alias("rule_name"), F.col(before).alias("before"), F.col(after).alias("after")))
+            before = after
+        last[side] = F.col(before)
     extra = [c for c in ("source", "source_pair_id") if c in df.columns]
     result = steps.select("pair_id", *(F.col(n).alias(f"{n}_original") for n in last), *(c.alias(f"{n}_normalizado") for n, c in last.items()), *extra)
-    changes = []
-    for name in ("ESP", "SHIWILU"):
-        before = name
-        for i, rule in enumerate(rules):
-            after = f"__{name}{i + 1}"
-            changes.append(F.struct(F.lit(name).alias("column"), F.lit(rule).alias("rule_name"), F.col(before).alias("before"), F.col(after).alias("after")))
-            before = after
     if not changes:
         return result, df.sparkSession.createDataFrame([], "pair_id string, column string, rule_name string, before string, after string")
     log = steps.select("pair_id", F.explode(F.filter(F.array(*changes), lambda x: x["before"] != x["after"])).alias("x")).select("pair_id", "x.*")

@@ -50,7 +50,7 @@ def unify_stage(concatenated: DataFrame) -> StageResult:
     return StageResult({"unified": unified, "cross_duplicates": crossed}, {**_rows(unified=unified, cross_duplicates=crossed), "sources": unified.groupBy("source").count().orderBy("source")})
 
 
-def normalize_stage(unified: DataFrame, rules: list[str] | None = None) -> StageResult:
+def normalize_stage(unified: DataFrame, rules: list[str] | dict | None = None) -> StageResult:
     normalized, log = prepare.normalize(unified, rules)
     removed = unified.sparkSession.createDataFrame([], "pair_id string, ESP_original string, SHIWILU_original string, removal_reason string")
     changed = log.agg(F.countDistinct("pair_id").alias("rows_changed"), F.count("*").alias("transformations"))

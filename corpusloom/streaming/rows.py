@@ -14,7 +14,7 @@ def judged(stream: DataFrame) -> DataFrame:
     return stream.withColumn("removal_reason", prepare.removal_reason(F.col("ESP"), F.col("SHIWILU")))
 
 
-def normalized(stream: DataFrame, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def normalized(stream: DataFrame, rules: list[str] | dict | None = None) -> tuple[DataFrame, DataFrame]:
     return prepare.normalize(stream, rules)
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def numbered(df: DataFrame, order: str, out: str, ties: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: str, out: str, ties: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """`out`: the 0-based place of each row by the numeric column `order` (nulls last), then `ties`.
 
     Rows fall into ranges at approximate quantiles; places within a range are moved by the rows of those before.
+    Without `parts` there are as many ranges as shuffle partitions, from 64 to 1,024.
     """
+    parts = parts or min(1024, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     marks = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
     bounds = sorted(set(marks or []))
     at = F.when(F.col(order).isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order)))) if bounds else F.lit(0)

@@ -106,7 +106,7 @@ def pack(sizes: list[int], shards: int) -> list[int]:
     return out + [first + b for b in best]
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, grain: int = 8192, id_col: str = "doc_id", text_col: str = "text", slot_parts: int = 64) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, grain: int = 8192, id_col: str = "doc_id", text_col: str = "text", rows_a_cell: int = 1_000_000) -> DataFrame:
     """Shards 0 to shards-1 of near-equal bytes with equal texts together, and gapless slots within them.
 
     Returns id_col, size (UTF-8 bytes plus 16; a null text has 16), text_crc32 (0 for null), law ('bytes'), shard,
@@ -126,7 +126,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, grain: int = 8192, id_col:
     key = ["__hash", "text_crc32", "__none", "size"]
     # Equal keys are taken as equal texts: 96 hash bits and the length agree.
     groups = rows.groupBy(*key).agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # A cell has about `rows_a_cell` rows at most; counts, broadcast below, have `shards` rows for as many rows.
+    slot_parts = max(64, -(-n_rows // rows_a_cell))
     large = groups.filter(F.col("bytes") * grain >= F.lit(total)).withColumn("parcel", F.lit(-1).cast("int"))
     parcel = F.pmod(F.xxhash64("__hash", "text_crc32"), F.lit(grain)).cast("int")
     small = groups.filter(F.col("bytes") * grain < F.lit(total)).groupBy(parcel.alias("parcel")).agg(F.sum("bytes").alias("bytes"))

@@ -10,6 +10,10 @@ copies of maximal exact repeats; their words go. No pairs of occurrences are mad
 often it holds it, so a passage that a third of all documents share costs one entry a bucket. Answers are one bit an
 entry, in the order in which the bucket sent them.
 
+Hashes go from buckets to parts of the hash space. With many of both, pieces would be as many as buckets times parts, so
+beyond `fan` parts they take two hops: to one of `fan` superparts, where the pieces of `fan` neighbouring buckets are
+put together by part, and from there to the part; answers return the same way. Buckets and parts keep their size.
+
 Words are compared by 64-bit hashes of whole windows; step (1)'s hashes may be coarse, since (2) tests whole windows.
 """
 
@@ -157,13 +161,16 @@ def _load(table: pa.Table) -> tuple[list, list[bytes]]:
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
-def _split(distinct: np.ndarray, parts: int, shift: int) -> list[tuple[int, int, int]]:
-    """(part, start, end) of the parts that sorted codes fall into."""
-    if shift:
-        ends = np.searchsorted(distinct, np.arange(1, parts + 1).astype(_U) << _U(shift))
-    else:
-        ends = np.searchsorted(distinct, np.array([min((p << 64) // parts, (1 << 64) - 1) for p in range(1, parts)], _U))
-        ends = np.append(ends, len(distinct))
+def _borders(first: int, last: int, parts: int, shift: int) -> np.ndarray:
+    """First codes of the parts `first` to `last` - 1 out of `parts`; codes hold their part from bit `shift` on, or
+    without a shift are dealt by range."""
+    return np.array([p << shift if shift else (p << 64) // parts for p in range(first, last)], _U)
+
+
+def _split(distinct: np.ndarray, parts: int, inner: int, shift: int) -> list[tuple[int, int, int]]:
+    """(superpart, start, end) of the superparts, of `inner` parts each, that sorted codes fall into."""
+    above = parts // inner
+    ends = np.append(np.searchsorted(distinct, _borders(1, above, above, 0) if not shift else _borders(1, above, above, shift) * _U(inner)), len(distinct))
     starts = np.concatenate([[0], ends[:-1]])
     return [(p, s, e) for p, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())) if e > s]
 
@@ -176,21 +183,22 @@ def _gather(told: pa.Table, step: int, pieces: list[tuple[int, int, int]], n: in
     return out
 
 
-def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6_000_000, most_buckets: int = 65_536) -> DataFrame:
+def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6_000_000, most_buckets: int = 1 << 22, fan: int = 4096) -> DataFrame:
     """Removes each word covered by a window of `span` words (even) whose sequence also starts earlier.
 
     Earlier: in a row of smaller id, or earlier in the same row; null ids come last, and rows of equal ids follow the
     order of their texts. Windows are judged on the input. Returns id_col (long), n_words, n_removed, kept (the
     words left, joined by one space), one row per input row; a null or blank text has no words and keeps ''. An empty
-    table gives an empty table; other columns are not read.
+    table gives an empty table; other columns are not read. The driver holds 8 bytes a bucket.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = int(min(most_buckets, max(shuffle_partitions(spark), -(-total // bucket_bytes))))
     parts = int(max(shuffle_partitions(spark), -(-total // (2 * bucket_bytes))))
-    quantiles = rows.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0] if wanted > 1 else None
-    bounds = np.array(sorted(set(quantiles or [])), np.int64)
+    inner = -(-parts // fan)
+    parts = -(-parts // inner) * inner
+    bounds = _bounds(rows.select("id"), wanted, fan)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_one = zstandard.ZstdCompressor(level=3).compress
@@ -206,44 +214,22 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
     def send_probes(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         distinct, block, again, _, _ = Bucket(_load(table)[1], span).probes(parts)
-        out = [(p, bucket, _pack((distinct[s:e] & _U(0xFFFFFFFF)).astype(np.uint32)), _bits(np.concatenate([block[s:e], again[s:e]]))) for p, s, e in _split(distinct, parts, 32)]
+        out = [(p, bucket, _pack(distinct[s:e] if inner > 1 else distinct[s:e].astype(np.uint32)), _bits(np.concatenate([block[s:e], again[s:e]]))) for p, s, e in _split(distinct, parts, inner, 32)]
         return _table(out, _SENT)
 
-    def find_repeats(table: pa.Table) -> pa.Table:
-        """Which probes are a block in some bucket and occur twice or more."""
-        part, buckets, keys, flags = _received(table, np.uint32)
-        everything = np.concatenate(keys)
-        block = np.concatenate([_unbits(f, 2 * len(k))[: len(k)] for k, f in zip(keys, flags)])
-        again = np.concatenate([_unbits(f, 2 * len(k))[len(k) :] for k, f in zip(keys, flags)])
-        distinct, inverse, times = np.unique(everything, return_inverse=True, return_counts=True)
-        is_block, twice = np.zeros(len(distinct), bool), times > 1
-        is_block[inverse[block]] = True
-        twice[inverse[again]] = True
-        return _answers(part, buckets, keys, (is_block & twice)[inverse], 1)
-
     def send_candidates(docs_: pa.Table, told: pa.Table) -> pa.Table:
         if not docs_.num_rows:
             return _table([], _SENT)
         b = Bucket(_load(docs_)[1], span)
         distinct, _, _ = _candidates(b, told)
-        out = [(p, docs_.column("bucket")[0].as_py(), _pack(distinct[s:e]), b"") for p, s, e in _split(distinct, parts, 0)]
+        out = [(p, docs_.column("bucket")[0].as_py(), _pack(distinct[s:e]), b"") for p, s, e in _split(distinct, parts, inner, 0)]
         return _table(out, _SENT)
 
     def _candidates(b: Bucket, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes, _, _, where, inverse = b.probes(parts)
-        hit = _gather(told, 1, _split(codes, parts, 32), len(codes))
+        hit = _gather(told, 1, _split(codes, parts, inner, 32), len(codes))
         return b.candidates(where[hit[inverse]])
 
-    def find_earlier(table: pa.Table) -> pa.Table:
-        """Which windows an earlier bucket has."""
-        part, buckets, keys, _ = _received(table, np.uint64)
-        everything = np.concatenate(keys)
-        whose = np.repeat(buckets, [len(k) for k in keys])
-        distinct, inverse = np.unique(everything, return_inverse=True)
-        first = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(first, inverse, whose)
-        return _answers(part, buckets, keys, whose > first[inverse], 2)
-
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def remove(docs_: pa.Table, told: pa.Table) -> pa.Table:
@@ -252,7 +238,7 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
         ids, texts = _load(docs_)
         b = Bucket(texts, span)
         distinct, where, inverse = _candidates(b, told)
-        gone = b.removed(where, inverse, len(distinct), _gather(told, 2, _split(distinct, parts, 0), len(distinct)))
+        gone = b.removed(where, inverse, len(distinct), _gather(told, 2, _split(distinct, parts, inner, 0), len(distinct)))
         kept, n_removed = [], []
         for i, text in enumerate(texts):
             out = gone[b.first[i] : b.first[i + 1]]
@@ -261,8 +247,8 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
             kept.append(b" ".join(compress(words, (~out).tolist()) if n_removed[-1] else words).decode())
         return pa.table([pa.array(ids, pa.int64()), pa.array(b.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    told = stored(dealt.groupBy("bucket").applyInArrow(send_probes, _SENT).groupBy("part").applyInArrow(find_repeats, _TOLD))
-    earlier = stored(dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(send_candidates, _SENT).groupBy("part").applyInArrow(find_earlier, _TOLD))
+    told = stored(_exchange(dealt.groupBy("bucket").applyInArrow(send_probes, _SENT), 1, parts, inner, fan))
+    earlier = stored(_exchange(dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(send_candidates, _SENT), 2, parts, inner, fan))
     return dealt.groupBy("bucket").cogroup(told.unionByName(earlier).groupBy("bucket")).applyInArrow(remove, schema)
 
 
@@ -272,13 +258,102 @@ def _table(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _received(table: pa.Table, dtype) -> tuple[int, np.ndarray, list[np.ndarray], list[bytes]]:
-    return table.column("part")[0].as_py(), np.array(table.column("bucket").to_pylist(), np.int64), [_unpack(k, dtype) for k in table.column("keys").to_pylist()], table.column("flags").to_pylist()
+def _bounds(ids: DataFrame, wanted: int, fan: int) -> np.ndarray:
+    """Last ids of about `wanted` - 1 buckets: quantiles, and above `fan` of them quantiles between quantiles."""
+    marks = lambda n: F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)
+    if wanted < 2:
+        return np.empty(0, np.int64)
+    coarse = np.array(sorted(set(ids.agg(marks(min(wanted, fan))).first()[0] or [])), np.int64)
+    if wanted <= fan:
+        return coarse
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column(0).drop_null()
+            at = np.searchsorted(coarse, known.to_numpy(zero_copy_only=False), side="left")
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), known], names=["at", "id"])
 
+    fine = ids.mapInArrow(deal, "at int, id long").groupBy("at").agg(marks(max(2, -(-wanted // fan))).alias("m"))
+    return np.unique(np.concatenate([coarse, *(np.array(r["m"], np.int64) for r in fine.collect())]))  # `fan` rows
 
-def _answers(part: int, buckets: np.ndarray, keys: list[np.ndarray], flags: np.ndarray, step: int) -> pa.Table:
-    ends = np.cumsum([len(k) for k in keys])
-    return _table([(int(b), part, step, _bits(flags[e - len(k) : e])) for b, k, e in zip(buckets, keys, ends)], _TOLD)
+
+def _found(step: int, keys: np.ndarray, whose: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Step 1, flags telling which keys are blocks and which occur again in their bucket: keys that are a block in some
+    bucket and occur twice or more. Step 2: keys that an earlier bucket has."""
+    distinct, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
+    if step == 1:
+        is_block, twice = np.zeros(len(distinct), bool), times > 1
+        is_block[inverse[flags[0]]] = True
+        twice[inverse[flags[1]]] = True
+        return (is_block & twice)[inverse]
+    first = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(first, inverse, whose)
+    return whose > first[inverse]
+
+
+def _received(table: pa.Table, step: int, dtype) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, buckets, number of keys of each, keys, two rows of flags)."""
+    keys = [_unpack(k, dtype) for k in table.column("keys").to_pylist()]
+    n = np.array([len(k) for k in keys])
+    flags = np.zeros((2, n.sum()), bool)
+    if step == 1:
+        flags = np.concatenate([_unbits(f, 2 * m).reshape(2, m) for f, m in zip(table.column("flags").to_pylist(), n.tolist())], axis=1)
+    return table.column("part")[0].as_py(), np.array(table.column("bucket").to_pylist(), np.int64), n, np.concatenate(keys), flags
+
+
+_SPREAD = "part int, crowd int, sub int, buckets binary, counts binary, keys binary, flags binary"
+_FOUND = "part int, crowd int, sub int, buckets binary, counts binary, bits binary"
+
+
+def _exchange(sent: DataFrame, step: int, parts: int, inner: int, fan: int) -> DataFrame:
+    """Answers (_TOLD) to what buckets sent to their superparts (_SENT)."""
+    dtype = np.uint32 if step == 1 and inner == 1 else _U
+    squeeze = lambda a: zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    loose = lambda raw, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+    def find(table: pa.Table) -> pa.Table:
+        part, buckets, n, keys, flags = _received(table, step, dtype)
+        hits = np.split(_found(step, keys, np.repeat(buckets, n), flags), np.cumsum(n)[:-1])
+        return _table([(int(b), part, step, _bits(h)) for b, h in zip(buckets, hits)], _TOLD)
+
+    def spread(table: pa.Table) -> pa.Table:
+        """The pieces of a crowd of buckets, put together by part."""
+        part, buckets, n, keys, flags = _received(table, step, dtype)
+        crowd, whose = int(buckets[0]) // fan, np.repeat(buckets, n)
+        sub = np.searchsorted(_borders(part * inner + 1, (part + 1) * inner, parts, 32 if step == 1 else 0), keys, side="right")
+        order = np.argsort(sub, kind="stable")
+        out = []
+        for at in np.split(order, np.flatnonzero(np.diff(sub[order])) + 1):
+            starts = np.flatnonzero(np.diff(whose[at], prepend=-1))
+            out.append((part, crowd, int(sub[at[0]]), squeeze(whose[at][starts]), squeeze(np.diff(starts, append=len(at))), squeeze(keys[at]), _bits(flags[:, at])))
+        return _table(out, _SPREAD)
+
+    def opened(table: pa.Table) -> tuple[list, list]:
+        return tuple([loose(x, np.int64) for x in table.column(c).to_pylist()] for c in ("buckets", "counts"))
+
+    def find_spread(table: pa.Table) -> pa.Table:
+        buckets, counts = opened(table)
+        n = [int(c.sum()) for c in counts]
+        flags = np.concatenate([_unbits(f, 2 * m).reshape(2, m) for f, m in zip(table.column("flags").to_pylist(), n)], axis=1)
+        keys = np.concatenate([loose(k, dtype) for k in table.column("keys").to_pylist()])
+        whose = np.concatenate([np.repeat(b, c) for b, c in zip(buckets, counts)])
+        hits = np.split(_found(step, keys, whose, flags), np.cumsum(n)[:-1])
+        named = ("part", "crowd", "sub", "buckets", "counts")
+        return _table([(*row, _bits(h)) for row, h in zip(zip(*(table.column(c).to_pylist() for c in named)), hits)], _FOUND)
+
+    def collect(table: pa.Table) -> pa.Table:
+        table = table.sort_by("sub")
+        buckets, counts = opened(table)
+        whose = np.concatenate([np.repeat(b, c) for b, c in zip(buckets, counts)])
+        hits = np.concatenate([_unbits(b, int(c.sum())) for b, c in zip(table.column("bits").to_pylist(), counts)])
+        order = np.argsort(whose, kind="stable")
+        part = table.column("part")[0].as_py()
+        return _table([(int(whose[at[0]]), part, step, _bits(hits[at])) for at in np.split(order, np.flatnonzero(np.diff(whose[order])) + 1)], _TOLD)
+
+    if inner == 1:
+        return sent.groupBy("part").applyInArrow(find, _TOLD)
+    spread_out = sent.groupBy("part", F.floor(F.col("bucket") / fan)).applyInArrow(spread, _SPREAD)
+    return spread_out.groupBy("part", "sub").applyInArrow(find_spread, _FOUND).groupBy("part", "crowd").applyInArrow(collect, _TOLD)
 
 
 def digests(dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -56,12 +56,18 @@ def brute_repeats(rows, span=20):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bucket_bytes", [6_000_000, 2_000])
-def test_substrings(edge, bucket_bytes):
-    got = substrings.digests(substrings.drop_repeats(edge, bucket_bytes=bucket_bytes))
+@pytest.mark.parametrize("bucket_bytes, fan", [(6_000_000, 4096), (2_000, 4096), (2_000, 3)])
+def test_substrings(edge, bucket_bytes, fan):
+    got = substrings.digests(substrings.drop_repeats(edge, bucket_bytes=bucket_bytes, fan=fan))
     assert as_rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(edge_rows(edge))
 
 
+def test_substrings_by_two_hops(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = substrings.digests(substrings.drop_repeats(docs, bucket_bytes=20_000, fan=4))
+    assert as_rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(table_rows(spark))
+
+
 def test_substrings_sql(spark):
     assert compare.difference(spark, entry, "op1_substring_dedup", f"{DATA}/sf0.01") is None
 

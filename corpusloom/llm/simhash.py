@@ -186,6 +186,13 @@ def near_links(nodes: DataFrame, radius: int = 3, most: int = 2048) -> DataFrame
     return todo.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
+def _rooted(prints: DataFrame, radius: int, id_col: str) -> DataFrame:
+    """(fp, root, least): the smallest fingerprint of each fingerprint's component, and its own smallest id."""
+    nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+    roots = stars(near_links(nodes, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """Fingerprint and component of every row.
 
@@ -195,21 +202,36 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives an empty table; other columns are not read.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle))
-    nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = stars(near_links(nodes, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints, radius, id_col)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
-    """One row of docs (all its columns) of each component: that of the smallest id; of rows that repeat an id the
-    one of the smallest text. Null ids count as the largest."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    own = docs.withColumn("__key", key)
-    parts = simhash_components(own, "__key", text_col, radius, shingle)
-    kept = parts.filter(F.col("__key") == F.col("component_id")).select("__key").distinct()
-    # The window finds the rows dealt by the join's key already.
-    first = F.row_number().over(W.partitionBy("__key").orderBy(text_col))
-    return own.join(kept, "__key", "left_semi").withColumn("__nth", first).filter("__nth = 1").select(*docs.columns)
+    """One row of docs (all its columns) of each component: that of the smallest id, null ids last; of rows of one
+    component that share that id the one of the smallest text, null first. Rows of different components never stand
+    for each other, whatever their ids."""
+    text = F.col(text_col).cast("string")
+    # Two hashes of the text tell the rows of one id apart; a null id is an id of its own.
+    row = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)}
+    own = docs.withColumns(row)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *(row[c].alias(c) for c in ("__h1", "__h2")))
+    prints = stored(fingerprints(docs.select(key.alias("__row"), text.alias("__own_text")), "__row", "__own_text", shingle))
+    prints = prints.select("fp", F.struct("__row.none", "__row.id").alias("__by"), "__row.__h1", "__row.__h2").distinct()
+    rooted = _rooted(prints, radius, "__by")
+    # The distinct texts of each component's smallest id, mostly one.
+    least = rooted.groupBy("root").agg(F.min("least").alias("__by"))
+    first = stored(
+        prints.join(rooted.join(least, "root").filter(F.col("least") == F.col("__by")).select("fp", "root", "__by"), ["fp", "__by"])
+        .select("root", F.col("__by.none").alias("__none"), F.coalesce(F.col("__by.id").cast("string"), F.lit("")).alias("__id"), "__h1", "__h2")
+    )
+    rows = list(row)
+    several = first.join(first.groupBy("root").count().filter("count > 1"), "root").drop("count")
+    smallest = F.row_number().over(W.partitionBy("root").orderBy(text_col))
+    tied = own.select(*rows, text.alias(text_col)).join(several, rows).withColumn("__nth", smallest).filter("__nth = 1").select(*rows)
+    single = first.join(first.groupBy("root").count().filter("count = 1"), "root").select(*rows)
+    kept = single.unionByName(tied)
+    # Equal rows meet first, so many of them leave one a task; the join finds them dealt already.
+    once = own.withColumn("__nth", F.row_number().over(W.partitionBy(*rows).orderBy(*rows))).filter("__nth = 1")
+    return once.join(kept, rows, "left_semi").select(*docs.columns)

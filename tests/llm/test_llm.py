@@ -382,6 +382,17 @@ def test_simhash(spark, edge, nothing):
     assert simhash.simhash_components(nothing).count() == 0
 
 
+def test_one_of_each_keeps_a_row_of_every_component(spark):
+    rows = [(None, "alpha beta gamma delta"), (None, "red green blue black white"), (None, "red green blue black white"), (None, None), (7, "one two three four"), (7, "north south east west"), (7, "north south east west"), (8, "one two three four"), (9, ""), (None, "one  TWO three four"), (None, "one two three four")]
+    rows += [(11, "p q r s"), (11, "p  q r s")]  # one component and id, two texts
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("own")).repartition(3)
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    want = [(7, "north south east west"), (7, "one two three four"), (9, ""), (11, "p  q r s"), (None, "alpha beta gamma delta"), (None, "red green blue black white")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert simhash.one_of_each(df.filter("text like '%o  TWO%' or text is null or doc_id is null")).count() == 4
+
+
 @pytest.mark.parametrize("most", [2048, 8])
 def test_links_of_crowded_fingerprints(spark, most):
     r = random.Random(4)

@@ -1,14 +1,13 @@
 """Secrets in texts: three fixed patterns, and strings that look drawn at random.
 
 The second kind is found by two character Markov models of order two, one of random strings and one of ordinary
-identifiers and words, trained from labelled samples. A run of identifier characters whose log-likelihood ratio is
-above a threshold is reported. Spans of the fixed patterns always stay; the models only add spans.
+identifiers and words, trained from labelled samples. The pieces of a run of identifier characters whose own
+log-likelihood ratio is above a threshold are reported, whatever stands beside them in the run. Spans of the fixed patterns always stay; the models only add spans.
 """
 
 from __future__ import annotations
 
 import bisect
-import itertools
 import math
 import random
 import re
@@ -29,7 +28,9 @@ _any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c
 _ASSIGN = re.compile("(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|" + _any_case("api") + "_?" + _any_case("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+
+_PART = re.compile(r"[^/=_-]+")
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _ALPHABETS = ("0123456789abcdef", _LETTERS + _LETTERS.upper() + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789+/", _LETTERS.upper() + "234567", _LETTERS + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789_-")
@@ -99,6 +100,43 @@ class MarkovPair:
         padded, get = "\x02\x02" + text, self.ratio.get
         return sum(get(padded[i - 2 : i + 1], 0.0) for i in range(2, len(padded)))
 
+    def pieces(self, text: str, threshold: float) -> list[tuple[int, int]]:
+        """Stretches of a ratio above the threshold, each from its lowest to its highest partial sum; a fall by more
+        than the threshold parts two. Each is of whole parts between / = _ - of the text; parts at its ends that count
+        against it as a whole are left out."""
+        padded, get = "\x02\x02" + text, self.ratio.get
+        # What follows = begins anew.
+        fresh = "\x02\x02" + text.replace("=", "\x02")
+        ratios = [get(padded[i : i + 3] if c == "=" else ("\x02\x02" + c if fresh[i + 1] == "\x02" else fresh[i : i + 3]), 0.0) for i, c in enumerate(text)]
+        found: list[tuple[int, int]] = []
+        total = peak = 0.0
+        start = end = 0
+        for i, x in enumerate([*ratios, -math.inf]):
+            total += x
+            if total <= 0 or total < peak - threshold:
+                if peak > threshold:
+                    found.append((start, end))
+                total = peak = 0.0
+                start = end = i + 1
+            elif total > peak:
+                peak, end = total, i + 1
+        parts = [(m.start(), m.end()) for m in _PART.finditer(text)] if found else []
+        out: list[tuple[int, int]] = []
+        at = 0
+        for s, e in found:
+            while at < len(parts) and parts[at][1] <= s:
+                at += 1
+            inside = []
+            while at < len(parts) and parts[at][0] < e:
+                inside.append(parts[at])
+                at += 1
+            for side in (0, -1):
+                while inside and sum(ratios[inside[side][0] : inside[side][1]]) <= 0:
+                    inside.pop(side)
+            if inside:
+                out.append((inside[0][0], inside[-1][1]))
+        return out
+
 
 @lru_cache(4)
 def default_pair(n: int = 4000, seed: int = 11) -> MarkovPair:
@@ -118,16 +156,25 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def find_spans(text: str, pair: MarkovPair, threshold: float = 12.0) -> list[tuple[int, str, int]]:
-    """Base spans, and runs of 20 or more identifier characters with a ratio above the threshold that meet none of
-    them; by start, then kind as in KINDS."""
+    """Base spans, and the pieces of runs of 16 or more identifier characters with a ratio above the threshold that
+    lie outside of them; by start, then kind as in KINDS."""
     out = base_spans(text)
-    starts = sorted(s for s, _, _ in out)
-    reach = list(itertools.accumulate(sorted((s, e) for s, _, e in out), lambda far, x: max(far, x[1]), initial=0))
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for s, _, e in out):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    ends = [e for _, e in taken]
     for m in _RUN.finditer(text):
-        s, e = m.span()
-        # The base spans that start before e reach no further than s.
-        if reach[bisect.bisect_left(starts, e)] <= s and pair.score(m[0]) > threshold:
-            out.append((s, "markov", e))
+        at, stop = m.span()
+        i = bisect.bisect_right(ends, at)
+        # What the base spans leave of the run.
+        while at < stop:
+            s, e = taken[i] if i < len(taken) else (stop, stop)
+            if min(s, stop) - at >= 16:
+                out += [(at + a, "markov", at + b) for a, b in pair.pieces(text[at : min(s, stop)], threshold)]
+            at, i = max(at, e), i + 1
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 

@@ -104,6 +104,20 @@ def test_markov_models_tell_held_out_samples_apart():
     assert [(k, s, e) for s, k, e in found] == [("markov", 4, 4 + len(drawn))]
 
 
+def test_secrets_among_words_of_one_run():
+    pair, r = secret_scan.default_pair(), random.Random(8)
+    spans = lambda t: [t[s:e] for s, k, e in secret_scan.find_spans(t, pair) if k == "markov"]
+    drawn = ["".join(r.choices(secret_scan._ALPHABETS[1], k=24)) for _ in range(200)]
+    for form in ("{}", "action/module/{}", "action/module/user/home/{}", "name={}", "client_key={}", "{}/module/action", "see action/{}/module."):
+        assert np.mean([spans(form.format(d)) == [d] for d in drawn]) >= 0.9, form
+    a, b = "dGhpcyBpcyBhIHRlc3Q5OTg3", "Zk3vQ9xT2mLp7Rw8Yb4N"
+    assert spans(f"action/{a}/module/user/home/handler/{b}") == [a, b]
+    short = ["".join(r.choices(r.choice(secret_scan._ALPHABETS), k=16)) for _ in range(400)]
+    assert np.mean([bool(spans(d)) for d in short]) >= 0.75  # 16 characters tell less than 24
+    assert spans("0123456789abcdef" * 2 + f"/module/{b}") == [b]  # beside a fixed pattern in one run
+    assert spans("action/module/user/home/list_of_documents") == []
+
+
 # 3 ---------------------------------------------------------------- neighbours
 
 

@@ -157,11 +157,11 @@ def _sparse_counts(text: str | None, terms: dict[str, int]) -> dict[int, int]:
     return Counter(terms[w] for w in words_of(text) if w in terms) if text else {}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 40_000, most_terms: int = 4096, k: int = 25) -> tuple[NeighbourVotes, dict[str, int], DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 40_000, k: int = 25) -> tuple[NeighbourVotes, dict[str, int], DataFrame]:
     """(votes, words of the space, the stored vectors of all documents: __id, terms, times).
 
     Learns from at most `most_labelled` labelled rows (those of smallest id hash among ids with crc32(id) mod 3 not
-    1; an id labelled more than once has the mean label, ties toxic; null labels are none) and `most_terms` words.
+    1; an id labelled more than once has the mean label, ties toxic; null labels are none) and all words that stand out in them.
     """
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__toxic"))
@@ -182,10 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n0, n1 = counted.filter("word = ''").agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     expected = (F.col("clean") + F.col("toxic")) * F.lit(n1 / max(1, n0 + n1))
     # Words at least three times as frequent among toxic examples as the mean, at five deviations of chance, in five
-    # and one in 200 of them: fewer may be the copies of one text.
+    # of them, however many there are: fewer may be the copies of one text.
     chosen = (
-        counted.filter((F.col("word") != "") & (F.col("toxic") >= max(5, n1 / 200)) & (F.col("toxic") >= 3 * expected) & (F.col("toxic") - expected >= 5 * F.sqrt(expected)))
-        .orderBy(F.desc((F.col("toxic") - expected) / F.sqrt(expected)), "word").limit(most_terms).collect()
+        counted.filter((F.col("word") != "") & (F.col("toxic") >= 5) & (F.col("toxic") >= 3 * expected) & (F.col("toxic") - expected >= 5 * F.sqrt(expected)))
+        .select("word").collect()  # words of the sample
     )
     terms = {r["word"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["word"]))}
 
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vectors = stored(texts.mapInArrow(sparse, schema))
     n = vectors.count()
     frequency = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # most_terms rows
+    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row a word
         frequency[r["t"]] = r["count"]
     idf = np.log((n + 1) / (frequency + 1)) + 1
     groups = (

@@ -275,6 +275,16 @@ def test_toxicity_on_edges(spark, edge, nothing):
     assert sorted((str(r["doc_id"]), r["score"]) for r in both.collect()) == sorted((str(r["doc_id"]), r["score"]) for r in got)
 
 
+def test_toxic_words_of_a_rare_language(spark):
+    kept = [i for i in range(27_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = {i: f"vile{i % 40} common{i % 7} row" for i in kept[:1700]} | {i: f"skrald mog{n % 2} raekke" for n, i in enumerate(kept[1700:1708])}
+    clean = {i: f"word{i % 50} common{i % 7} row" for i in kept[1708:]}
+    docs = spark.createDataFrame([*(toxic | clean).items(), (30_000, "skrald mog1 huset"), (30_001, "word1 huset row")], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, 1) for i in toxic), *((i, 0) for i in clean)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels).filter("doc_id >= 30000").collect()}
+    assert got == {30_000: 1, 30_001: 0}
+
+
 def test_toxicity_on_held_out_rows(spark):
     scored = queries.op6_toxicity(spark, f"{DATA}/sf0.1").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").filter("held_out").toPandas()
     up, down = (scored[scored["toxic"] == y]["score"].to_numpy() for y in (1, 0))

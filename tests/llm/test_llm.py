@@ -11,7 +11,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-DATA = "/root/testdata"
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -19,6 +18,7 @@ import __spark_entry__ as entry
 from corpusloom.llm import bpe, components, fingerprints, mixing, neighbours, queries, secret_scan, sharding, simhash, substrings, token_counts, toxicity
 
 PATH = public_tokenizers.path(queries.TOKENIZER)
+DATA = "/root/testdata"
 SMALL = f"{DATA}/sf0.001"
 
 
@@ -254,14 +254,68 @@ def test_mix_comes_near_its_targets(spark):
 
 
 def test_block_max_neighbours_are_exact():
-    r = random.Random(5)
-    unit = lambda v: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()}
-    vectors = [unit({r.randrange(30): r.random() + 0.1 for _ in range(r.randint(1, 5))}) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, block=16)
-    for _ in range(50):
-        q = unit({r.randrange(32): r.random() + 0.1 for _ in range(4)})
-        dots = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 12), -i) for i, v in enumerate(vectors)), reverse=True)
-        assert [(pytest.approx(c, abs=1e-9), -i) for c, i in dots[:7] if c > 0] == index.nearest(q, 7)
+    r = np.random.default_rng(5)
+
+    def drawn(n, terms):
+        out = []
+        for _ in range(n):
+            t = np.sort(r.choice(terms, r.integers(1, 6), replace=False))
+            w = r.random(len(t)) + 0.1
+            out.append((t, w / np.sqrt((w * w).sum())))
+        return out
+
+    vectors = drawn(500, 30)
+    vectors[77] = vectors[401] = vectors[3]
+    dense = np.zeros((500, 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    vectors.sort(key=lambda v: v[0][np.argmax(v[1])])
+    dense = np.stack([np.bincount(t, w, 40) for t, w in vectors])
+    for common in (0, 7, 100):
+        index = toxicity.BlockMaxIndex(vectors, 40, block=16, common=common)
+        queries = drawn(300, 32)
+        for (t, w), (near, cosines) in zip(queries, index.nearest(queries, 7)):
+            all_cosines = np.round(dense[:, t] @ w, 10)
+            want = [i for i in np.lexsort((np.arange(500), -all_cosines)) if all_cosines[i] > 0][:7]
+            assert near.tolist() == want and np.allclose(cosines, all_cosines[want], atol=1e-9)
+        assert common != 100 or index.skipped > index.scored
+
+
+def test_toxicity_by_brute_force(spark):
+    """Scores' order and evidence against plain cosines over all words and all labelled examples."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    marked = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    texts = {r["doc_id"]: Counter(toxicity.words_of(r["text"])) for r in docs.collect()}
+    groups = defaultdict(list)
+    for i in sorted(set(texts) & set(marked)):
+        groups[tuple(sorted(texts[i].items()))].append(i)
+    held, bad = Counter(), Counter()
+    for key, ids in groups.items():
+        held.update(w for w, _ in key)
+        if 2 * sum(marked[i] for i in ids) >= len(ids):
+            bad.update(w for w, _ in key)
+    n, n1 = len(groups), sum(2 * sum(marked[i] for i in ids) >= len(ids) for ids in groups.values())
+    df = Counter(w for c in texts.values() for w in c)
+    weight = {}
+    for w in held:
+        table = [(bad[w], held[w] * n1 / n), (held[w] - bad[w], held[w] * (n - n1) / n), (n1 - bad[w], (n - held[w]) * n1 / n), (n - n1 - held[w] + bad[w], (n - held[w]) * (n - n1) / n)]
+        g = 2 * sum(o * np.log(o / e) for o, e in table if o and e)
+        weight[w] = (np.log((len(texts) + 1) / (df[w] + 1)) + 1) * (0.05 + min(1, max(0, (max(g, 0) ** 0.5 - 3.5) / 2)))
+
+    def unit(counts):
+        v = {w: (1 + np.log(c)) * weight[w] for w, c in counts.items() if w in weight}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [(min(ids), unit(dict(key))) for key, ids in groups.items() if key]
+    for r in toxicity.toxicity_scores(docs, labels).collect():
+        own = unit(texts[r["doc_id"]])
+        cosines = sorted((-sum(x * v.get(w, 0) for w, x in own.items()) for _, v in examples))
+        got = [float(x.split(":")[1]) for x in r["evidence"].split(",") if x]
+        assert got == [pytest.approx(-c, abs=6e-5) for c in cosines[:3] if c < -1e-10]
+        of = {i: v for i, v in examples}
+        for i, c in (x.split(":") for x in r["evidence"].split(",") if x):
+            assert float(c) == pytest.approx(sum(x * of[int(i)].get(w, 0) for w, x in own.items()), abs=6e-5)
 
 
 def test_toxicity_on_edges(spark, edge, nothing):

@@ -116,20 +116,19 @@ class BlockMaxIndex:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: rising steps (left end, value)."""
+    """Pool-adjacent-violators: both ends of each pool and its value, rising; in between it is read off linearly."""
     order = np.argsort(x, kind="stable")
     out: list[list[float]] = []
     for a, b, c in zip(x[order], y[order], w[order]):
-        if out and out[-1][0] == a:
-            out[-1][1] += b * c
-            out[-1][2] += c
+        if out and out[-1][1] == a:
+            out[-1][2] += b * c
+            out[-1][3] += c
         else:
-            out.append([a, b * c, c])
-        while len(out) > 1 and out[-2][1] / out[-2][2] >= out[-1][1] / out[-1][2]:
-            _, s, c2 = out.pop()
-            out[-1][1] += s
-            out[-1][2] += c2
-    return np.array([o[0] for o in out]), np.array([o[1] / o[2] for o in out])
+            out.append([a, a, b * c, c])
+        while len(out) > 1 and out[-2][2] / out[-2][3] >= out[-1][2] / out[-1][3]:
+            _, end, total, times = out.pop()
+            out[-1][1:] = [end, out[-1][2] + total, out[-1][3] + times]
+    return np.array([e for o in out for e in o[:2]]), np.array([o[2] / o[3] for o in out for _ in (0, 1)])
 
 
 def relevance(toxic: np.ndarray, rows: np.ndarray, n_toxic: float, n_rows: float, floor: float = 0.05, chance: float = 3.5, whole: float = 2.0) -> np.ndarray:
@@ -201,8 +200,7 @@ class NeighbourVotes:
         for i, (near, cosines) in zip(filled, self.index.nearest([self.unit(*texts[i]) for i in filled], self.k)):
             if len(near):
                 vote = self._vote(near, cosines)
-                left, value = self.steps
-                step = float(value[max(0, int(np.searchsorted(left, vote, side="right")) - 1)])
+                step = float(np.interp(vote, *self.steps))
                 # The vote itself, a little, keeps documents of one step in order.
                 out[i] = (min(1.0, max(0.0, 0.98 * step + 0.02 * vote)), [(self.names[j], float(c)) for j, c in zip(near[:3], cosines[:3])])
         return out

@@ -217,15 +217,77 @@ def test_merges_agree_with_the_library(library):
 # 5 ---------------------------------------------------------------- mixing
 
 
-def test_targets_stop_at_the_cap():
-    assert mixing.capped_targets([(0, 1, 100), (1, 2, 100), (2, 3, 100)], 3) == {0: 50.0, 1: 100.0, 2: 150.0}
-    got = mixing.capped_targets([(0, 1, 900), (1, 2, 50), (2, 3, 50)], 3)
-    assert got == {0: 700.0, 1: 150.0, 2: 150.0}
+def plain_targets(sources, cap):
+    """(key, weight, size) of each source -> target."""
+    total, free, out = float(sum(s for _, _, s in sources)), list(sources), {}
+    while free:
+        weights = sum(w for _, w, _ in free)
+        full = [x for x in free if total * x[1] / weights > cap * x[2]]
+        if not full:
+            out |= {k: total * w / weights for k, w, _ in free}
+            break
+        out |= {k: float(cap * s) for k, _, s in full}
+        total -= sum(cap * s for _, _, s in full)
+        free = [x for x in free if x not in full]
+    return out
+
+
+def test_targets_stop_at_the_cap(spark):
+    r = random.Random(6)
+    cases = [[100, 100, 100], [900, 50, 50], [1, 5, 1000, 0, 7], [r.randint(0, 10 ** r.randint(0, 6)) for _ in range(300)], [0, 0]]
+    for sizes in cases:
+        rows = [(i, (1, 2, 3)[i % 3], s) for i, s in enumerate(sizes)]
+        got = mixing.with_targets(spark.createDataFrame(rows, "ordinal long, weight int, source_size long"), 3)
+        assert {x["ordinal"]: pytest.approx(x["target"], abs=1e-6) for x in got.collect()} == plain_targets(rows, 3)
+    assert plain_targets([(0, 1, 900), (1, 2, 50), (2, 3, 50)], 3) == {0: 700.0, 1: 150.0, 2: 150.0}
+
+
+def test_sources_are_ordered_by_code_point(spark):
+    names = [None, "", "a", "A", "Z", "ä", "z", "\uffee", "\U0001f600", *(f"s{i}" for i in range(500))]
+    got = mixing.ordered(spark.createDataFrame([(n,) for n in names], "__source string")).collect()
+    assert [x["__source"] for x in sorted(got, key=lambda x: x["ordinal"])] == [*sorted(names[1:]), None]
+    assert sorted(x["ordinal"] for x in got) == list(range(len(names)))
+
+
+def solved(sizes, target, cap):
+    """lambda by halving, from the documents one by one."""
+    low, high = -60.0, np.log(cap)
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (low, mid) if (sizes * np.minimum(cap, np.exp(np.minimum(mid * sizes, 5)))).sum() > target else (mid, high)
+    return low
 
 
 def test_newton_solves_the_dual(spark):
-    cells = spark.createDataFrame([(100, 300.0), (100, 0.1), (7, 7.0), (0, 0.0)], "source_size long, target double")
-    assert [round(r["rate"], 9) for r in mixing.balance(cells).collect()] == [3.0, 0.001, 1.0, 0.0]
+    r = np.random.default_rng(3)
+    docs = {k: np.concatenate([r.integers(1, 400, 60), [1, 20_000]]) for k in range(9)}
+    shares = (0.001, 0.3, 0.97, 1.0, 1.3, 2.5, 2.99, 3.0, 1e-9)
+    wanted = {k: float(shares[k] * docs[k].sum()) for k in docs}
+    sizes = spark.createDataFrame([(k, int(s), int(n)) for k, d in docs.items() for s, n in zip(*np.unique(d, return_counts=True))], "ordinal long, size long, n long")
+    sources = spark.createDataFrame([*wanted.items(), (50, 7.0), (51, 0.0)], "ordinal long, target double")
+    got = {x["ordinal"]: x["lam"] for x in mixing.balance(sizes, sources, 3).collect()}
+    assert set(got) == set(docs)
+    for k, d in docs.items():
+        rates = lambda lam: np.minimum(3, np.exp(np.minimum(lam * d, 5)))
+        assert (d * rates(got[k])).sum() == pytest.approx(wanted[k], rel=1e-8)
+        assert np.allclose(rates(got[k]), rates(solved(d, wanted[k], 3)), atol=1e-6)
+
+
+def test_documents_are_tilted_by_their_words(spark):
+    """On a table: copies are the solver's rates rounded up or down, but for the few that settle what is left over."""
+    rows = mixing.mix_sources(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), pool=8).collect()
+    sizes, off = defaultdict(list), 0
+    for r in rows:
+        sizes[r["source"]].append(r["size"])
+    for name, all_sizes in sizes.items():
+        own = [r for r in rows if r["source"] == name]
+        d = np.array([s for s in all_sizes if s], float)
+        lam = solved(d, own[0]["target"], 3)
+        assert (d * np.minimum(3, np.exp(np.minimum(lam * d, 5)))).sum() == pytest.approx(own[0]["target"], rel=1e-6)
+        for r in own:
+            rate = min(3, np.exp(min(lam * r["size"], 5))) if r["size"] else 0
+            off += not np.floor(rate - 1e-6) <= r["copies"] <= np.ceil(rate + 1e-6)
+    assert off <= 8 * len(sizes) and len({r["copies"] for r in rows}) >= 3
 
 
 def test_mixing(spark, edge, nothing):
@@ -236,7 +298,7 @@ def test_mixing(spark, edge, nothing):
     for r in edge.collect():
         sizes[r["source"]] += len((r["text"] or "").encode().split())
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    want = mixing.capped_targets([(n, (1, 2, 3)[i % 3], sizes[n]) for i, n in enumerate(names)], 3)
+    want = plain_targets([(n, (1, 2, 3)[i % 3], sizes[n]) for i, n in enumerate(names)], 3)
     for r in rows:
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
         assert r["taken"] == r["size"] * r["copies"] and 0 <= r["copies"] <= 3

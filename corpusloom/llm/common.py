@@ -36,6 +36,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join of at most so many rows is broadcast; beyond, the join shuffles.
+SMALL = 200_000
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if its counted or proven number of (narrow) rows is small."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,15 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import n_words, stored
-
-#: A side of a join of at most so many rows is broadcast; beyond, the join shuffles.
-SMALL = 200_000
-
-
-def _hinted(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SMALL else df
-
+from .common import hinted, n_words, stored
 
 def ordered(sources: DataFrame, name: str = "__source") -> DataFrame:
     """Adds `ordinal`, the 0-based place of each (distinct) source by code point, null last: ranges of names are numbered
@@ -133,8 +125,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     n_sources = sources.count()
     same = F.col("__source").eqNullSafe(F.col("t_source"))
     named = sources.withColumnRenamed("__source", "t_source")
-    sizes = stored(by_size.filter("size > 0").join(_hinted(named.select("t_source", "ordinal"), n_sources), same).select("ordinal", "size", "n"))
-    rated = _hinted(stored(named.join(balance(sizes, sources.select("ordinal", "target"), cap), "ordinal", "left")), n_sources)
+    sizes = stored(by_size.filter("size > 0").join(hinted(named.select("t_source", "ordinal"), n_sources), same).select("ordinal", "size", "n"))
+    rated = hinted(stored(named.join(balance(sizes, sources.select("ordinal", "target"), cap), "ordinal", "left")), n_sources)
     unit = lambda salt: F.pmod(F.xxhash64("__h", F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
     rate = F.coalesce(F.round(tilted(F.col("lam"), F.col("__size"), cap), 9), F.lit(0.0))
     first = F.when(F.col("__size") > 0, F.least(F.floor(rate + unit(1)), F.lit(cap)).cast("int")).otherwise(0)
@@ -148,10 +140,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
         dealt.filter((F.col("__size") > 0) & (unit(2) * F.col("source_rows") < pool))
         .groupBy("ordinal", F.col("__h").alias("h"), F.col("__size").alias("size"), F.col("first").alias("copies"))
         .agg(F.count("*").alias("rows"))
-        .join(_hinted(gaps, n_sources), "ordinal")
+        .join(hinted(gaps, n_sources), "ordinal")
     )
     moves = pooled.groupBy("ordinal").applyInPandas(_settle(cap), "m_ordinal long, m_h long, m_size long, move int")
-    moves = _hinted(moves, n_sources * pool)  # about `pool` rows a source at most
+    moves = hinted(moves, n_sources * pool)  # about `pool` rows a source at most
     out = rounded(measured).join(moves, (F.col("ordinal") == F.col("m_ordinal")) & (F.col("__h") == F.col("m_h")) & (F.col("__size") == F.col("m_size")), "left")
     copies = (F.col("first") + F.coalesce("move", F.lit(0))).cast("int")
     return out.select(

@@ -412,18 +412,64 @@ def test_toxicity_on_held_out_rows(spark):
 # 7 ---------------------------------------------------------------- sharding
 
 
-def test_best_fit_agrees_with_a_plain_scan():
-    r = random.Random(7)
-    sizes = sorted((r.randint(1, 60) for _ in range(400)), reverse=True)
-    bins, want = [], []
+def plain_best_fit(sizes, capacity):
+    """The bin of each size, by a scan over all bins."""
+    bins, out = [], []
     for s in sizes:
         fit = min((b for b in range(len(bins)) if bins[b] >= s), key=lambda b: (bins[b], b), default=None)
         if fit is None:
-            bins.append(100)
+            bins.append(capacity)
             fit = len(bins) - 1
         bins[fit] -= s
-        want.append(fit)
-    assert sharding.best_fit_decreasing(sizes, 100) == want
+        out.append(fit)
+    return out
+
+
+def one_by_one(segments):
+    return [b for _, _, n, b in sorted(segments, key=lambda x: (-x[0], x[1])) for _ in range(n)]
+
+
+def test_best_fit_agrees_with_a_plain_scan():
+    r = random.Random(7)
+    for most, n in ((60, 400), (8, 900), (100, 50), (1, 7)):
+        sizes = sorted((r.randint(1, most) for _ in range(n)), reverse=True)
+        runs = sorted(Counter(sizes).items(), reverse=True)
+        assert one_by_one(sharding.best_fit_decreasing(runs, 100)) == plain_best_fit(sizes, 100)
+
+
+def test_groups_above_a_fair_share_fill_shards_alone():
+    assert one_by_one(sharding.pack([(100, 3), (1, 30)], 5)) == [0, 1, 2, *[3] * 15, *[4] * 15]
+    assert one_by_one(sharding.pack([(100, 1)], 5)) == [0]
+    assert one_by_one(sharding.pack([(10, 8)], 4)) == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+@pytest.mark.parametrize("sf, rows_a_cell", [("sf0.01", 1_000_000), ("sf0.1", 1_000_000), ("sf0.01", 1)])
+def test_every_group_is_packed(spark, sf, rows_a_cell):
+    """Each group's shard is that of a plain best fit over all groups, with the least capacity that suffices (to 1/20000)."""
+    docs = spark.read.parquet(f"{DATA}/{sf}/documents.parquet")
+    groups = Counter(r["text"] for r in docs.select("text").collect())
+    size = {t: n * (len((t or "").encode()) + 16) for t, n in groups.items()}
+    order = sorted(groups, key=lambda t: (-size[t], hashlib.sha256(t.encode()).digest() if t is not None else b""))
+    sizes = [size[t] for t in order]
+    shard = {r["text"]: r["shard"] for r in sharding.assign_shards(docs, rows_a_cell=rows_a_cell).join(docs.select("doc_id", "text"), "doc_id").select("text", "shard").distinct().collect()}
+    assert len(shard) == len(groups)
+    total = sum(sizes)
+    for step in range(200):
+        capacity = max(sizes[0], -(-total // 40)) + step * (max(sizes[0], -(-total // 40)) // 20_000 + 1)
+        if max(plain_best_fit(sizes, capacity)) < 40:
+            break
+    held = Counter()
+    for t in groups:
+        held[shard[t]] += size[t]
+    assert max(held.values()) <= capacity + capacity // 10_000
+    runs = sorted(Counter(sizes).items(), reverse=True)
+    assert [shard[t] for t in order] == one_by_one(sharding.pack(runs, 40))
+    assert plain_best_fit(sizes, max(held.values()))[:200] == [shard[t] for t in order][:200] or max(held.values()) != capacity
+
+
+def test_one_text_in_all_rows(spark):
+    rows = sharding.assign_shards(spark.range(5000).selectExpr("id as doc_id", "'same' as text")).collect()
+    assert {r["shard"] for r in rows} == {0} and sorted(r["slot"] for r in rows) == list(range(5000))
 
 
 @pytest.mark.parametrize("source", ["edge", "table"])

@@ -11,25 +11,35 @@ leave-one-out votes of the examples by isotonic regression, give the score; the
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches, stored
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
 #: (terms, weights or counts) of one text.
 Sparse = tuple[np.ndarray, np.ndarray]
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORDS(text.lower()) if text else []
+def word_lists(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, runs of letters in lower case; '' may be among them and is none. A null text has none."""
+    return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=r"[^\pL]+")
+
+
+def counted(texts: pa.Array, space: pa.Array) -> list[Sparse]:
+    """Terms (places in `space`), rising, and counts of each text's words."""
+    lists = word_lists(texts)
+    at = pc.index_in(lists.flatten(), value_set=space).fill_null(-1).to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    width = max(1, len(space))
+    codes, counts = np.unique((doc * width + at)[at >= 0], return_counts=True)
+    cuts = np.searchsorted(codes, np.arange(1, len(lists)) * width)
+    return list(zip(np.split(codes % width, cuts), np.split(counts, cuts)))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -210,15 +220,8 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _counted(text: str | None, terms: dict[str, int]) -> Sparse:
-    """Terms, rising, and counts of a text's words in the space."""
-    seen = Counter(words_of(text))
-    known = sorted((terms[w], n) for w, n in seen.items() if w in terms)
-    return np.array([t for t, _ in known], np.int64), np.array([n for _, n in known], np.int64)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 40_000, most_examples: int = 8192, k: int = 25) -> tuple[NeighbourVotes, dict[str, int]]:
-    """(votes, place of each word of the space).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 40_000, most_examples: int = 8192, k: int = 25) -> tuple[NeighbourVotes, pa.Array]:
+    """(votes, words of the space).
 
     Learns from at most `most_labelled` labelled rows (those of smallest id hash among ids with crc32(id) mod 3 not 1; an
     id labelled more than once has the mean label, ties toxic; null labels are none): all of them count for the
@@ -236,16 +239,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array({w for t in batch.column(0) for w in words_of(t.as_py())}, pa.string())], names=["word"])
+            yield pa.RecordBatch.from_arrays([word_lists(batch.column(0)).flatten().unique()], names=["word"])
 
-    space = picked.filter("__votes").select("__text").mapInArrow(words, "word string").distinct().toArrow().column(0)  # words of the examples
-    terms = {w: i for i, w in enumerate(sorted(space.to_pylist()))}
-    known = docs.sparkSession.sparkContext.broadcast(terms)
+    found = picked.filter("__votes").select("__text").mapInArrow(words, "word string").filter("word <> ''").distinct().toArrow()  # words of the examples
+    space = pa.array(sorted(found.column(0).to_pylist()), pa.string())
+    known = docs.sparkSession.sparkContext.broadcast(space)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches(whole, "__text"):
-                pairs = [_counted(t.as_py(), known.value) for t in batch.column(1)]
+                pairs = counted(batch.column(1), known.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[i] for p in pairs], pa.list_(pa.int32())) for i in (0, 1)), *batch.columns[2:]], names=["__id", "terms", "times", "__toxic", "__votes"])
 
     schema = T.StructType([picked.schema["__id"], *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("terms", "times")), picked.schema["__toxic"], picked.schema["__votes"]])
@@ -257,25 +260,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shares = distinct.agg(F.count("*"), F.sum(is_toxic), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "toxic", "n", "n_toxic"))).first()
     at = lambda df, c: (df.column("t").to_numpy(), df.column(c).to_numpy())
     held = distinct.select(F.explode("terms").alias("t"), is_toxic.alias("y")).groupBy("t").agg(F.count("*").alias("rows"), F.sum("y").alias("toxic")).toArrow()  # a row a word
-    toxic, rows = np.zeros(len(terms)), np.zeros(len(terms))
+    toxic, rows = np.zeros(len(space)), np.zeros(len(space))
     for out, c in ((toxic, "toxic"), (rows, "rows")):
         out[at(held, c)[0]] = at(held, c)[1]
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a term and task, and the number of texts under -1."""
         seen, n = np.zeros(len(known.value) + 1, np.int64), 0
-        get = known.value.get
         for whole in batches:
             for batch in small_batches(whole, "__text"):
                 n += batch.num_rows
-                hits = [i for t in batch.column(0) for w in set(words_of(t.as_py())) if (i := get(w)) is not None]
-                seen += np.bincount(np.array(hits, np.int64), minlength=len(seen))
+                for terms, _ in counted(batch.column(0), known.value):
+                    seen[terms] += 1
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], n), pa.int64())], names=["t", "df"])
 
-    counted = texts.select("__text").mapInArrow(frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()  # a row a word
-    frequency = np.zeros(len(terms) + 1)  # the last: texts
-    frequency[at(counted, "df")[0]] = at(counted, "df")[1]
+    tally = texts.select("__text").mapInArrow(frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()  # a row a word
+    frequency = np.zeros(len(space) + 1)  # the last: texts
+    frequency[at(tally, "df")[0]] = at(tally, "df")[1]
     idf = np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1
     weight = idf * relevance(toxic, rows, shares[1] or 0, shares[0])
     given = distinct.filter("n > 0").select("terms", "times", "n", "n_toxic", "example").toArrow()  # most_examples rows
@@ -284,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     examples = sorted(zip(*lists, *columns), key=lambda e: str(e[4]))
     voting = (shares[4] - shares[5], shares[5])
     ratio = lambda y: (shares[3] if y else shares[2] - shares[3]) / voting[y] if voting[y] else 1.0
-    return NeighbourVotes(weight, examples, k, clean_scale=ratio(0) / ratio(1)), terms
+    return NeighbourVotes(weight, examples, k, clean_scale=ratio(0) / ratio(1)), space
 
 
 _SCORE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
@@ -298,16 +300,16 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     the score is 0. Null and repeated ids and rows are kept; an empty table gives an empty table. Texts are scored where
     they are; none is shuffled.
     """
-    votes, terms = fit(docs, labels, id_col, text_col, **learning)
-    model = docs.sparkSession.sparkContext.broadcast((votes, terms))
+    votes, space = fit(docs, labels, id_col, text_col, **learning)
+    model = docs.sparkSession.sparkContext.broadcast((votes, space))
     keep = [c for c in docs.columns if c not in _SCORE.names]
     at = keep.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes, terms = model.value
+        votes, space = model.value
         for whole in batches:
             for batch in small_batches(whole, text_col):
-                found = votes.score([_counted(t.as_py(), terms) for t in batch.column(at)])
+                found = votes.score(counted(batch.column(at), space))
                 scores = [s for s, _ in found]
                 made = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([",".join(f"{i}:{c:.4f}" for i, c in e) for _, e in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*keep, *_SCORE.names])

@@ -138,24 +138,48 @@ def test_neighbours_on_edges(spark):
     assert neighbours.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def clustered(n, seed=1):
+    r = np.random.default_rng(seed)
+    return r.normal(size=(24, 16))[r.integers(0, 24, n)] * 4 + r.normal(size=(n, 16))
+
+
 def test_partitions_are_balanced_and_recall_holds():
-    r = np.random.default_rng(1)
-    x = r.normal(size=(12, 16))[r.integers(0, 12, 6000)] * 3 + r.normal(size=(6000, 16))
+    x = clustered(6000)
     part = neighbours.balanced_parts(neighbours.neighbour_graph(x.astype(np.float32), 10), 8)
     assert np.bincount(part).max() - np.bincount(part).min() <= 3
-    router, parts, visits = neighbours.learn(x, len(x), 10, per_part=512)
-    ranked, asked = router.ranked(x), np.arange(0, 6000, 30)
+    tree = neighbours.Tree(neighbours.cut(x[:5000], 16, 10))
+    visits = neighbours.visits_for(tree, x[5000:], x[:5000], 10, 0.97)
+    ranked, home = np.argsort(-tree.scores(x), axis=1), tree.home(x)
     near = neighbours.neighbour_graph(x, 10)
-    recall = np.mean([[ranked[n, 0] in ranked[q, :visits] for n in near[q]] for q in asked])
-    assert parts == 8 and visits < parts and recall >= 0.9
-
-
-def test_neighbours_recall_on_the_table(spark):
-    got = {(r["query_id"], r["vec_id"]) for r in queries.op3_nearest_neighbours(spark, f"{DATA}/sf0.1").collect()}
-    v = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").toPandas()
-    ids, x = v["vec_id"].to_numpy(), np.stack(v["embedding"]).astype(float)
-    want = {(q, c) for q, c, _ in neighbours.exact_nearest(x[ids % 100 == 0], x, ids[ids % 100 == 0], ids, 10)}
-    assert len(got & want) / len(want) >= 0.9
+    recall = np.mean([[home[n] in ranked[q, :visits] for n in near[q]] for q in range(5000, 6000)])
+    assert tree.leaves == 16 and visits <= 5 and recall >= 0.95
+    assert [neighbours.wanted_parts(n) for n in (1, 500, 2000, 51_282, 10**9)] == [2, 4, 8, 64, 8192]
+
+
+def recall_of(got, ids, x, every=100):
+    want = {(q, c) for q, c, _ in neighbours.exact_nearest(x[ids % every == 0], x, ids[ids % every == 0], ids, 10)}
+    return len(got & want) / len(want)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbours_recall_on_the_table(spark, sf):
+    got = {(r["query_id"], r["vec_id"]) for r in queries.op3_nearest_neighbours(spark, f"{DATA}/{sf}").collect()}
+    v = spark.read.parquet(f"{DATA}/{sf}/embeddings.parquet").toPandas()
+    assert recall_of(got, v["vec_id"].to_numpy(), np.stack(v["embedding"]).astype(float)) >= 0.9
+
+
+@pytest.mark.parametrize("options", [{}, {"parts": 32, "most_parts": 4, "block": 300}])
+def test_neighbours_of_clusters_by_few_partitions(spark, options):
+    """One and two levels of partitions, small blocks; a vector that many ids share; fewer rows than k in a partition."""
+    x = clustered(4000, 2)
+    x[500:900] = x[7]
+    ids = np.arange(4000) * 5
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest_neighbours(df, **options).collect()
+    assert Counter(Counter(r["query_id"] for r in rows).values()) == {10: 200}
+    own = {(r["query_id"], r["vec_id"]): r["score"] for r in rows}
+    assert recall_of(set(own), ids, x) >= 0.9
+    assert all(s == pytest.approx(np.sqrt(((x[q // 5] - x[c // 5]) ** 2).sum()), abs=1e-12) for (q, c), s in own.items())
 
 
 # 4, 8 ------------------------------------------------------------- tokens

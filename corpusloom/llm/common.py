@@ -36,6 +36,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df as a table in the shared folder in n hash buckets of `key`: groups of it are found where they are, without
+    another shuffle. Its name in the catalogue lasts as long as the session."""
+    name = f"corpusloom_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 #: A side of a join of at most so many rows is broadcast; beyond, the join shuffles.
 SMALL = 200_000
 

@@ -1,7 +1,7 @@
 """Exact substring dedup by fixed-block anchors.
 
-The documents are dealt, in the order of their ids, into buckets of bounded size. Every document is cut into
-non-overlapping blocks of half a window; every window of `span` words holds one of the blocks of its first occurrence
+The documents are dealt, in the order of their ids, into buckets of about equal bytes, once: the later steps find them
+where they are, and only hashes travel. Every document is cut into non-overlapping blocks of half a window; every window of `span` words holds one of the blocks of its first occurrence
 whole. (1) Blocks are the index, and every rolling window of a block's length is a probe: buckets send their distinct
 hashes, dealt by hash, and learn which occur more than once and are a block somewhere. (2) Around each hit the text is
 extended to all windows that contain it; the buckets send the hashes of these alone and learn which an earlier bucket
@@ -14,7 +14,8 @@ Hashes go from buckets to parts of the hash space. With many of both, pieces wou
 beyond `fan` parts they take two hops: to one of `fan` superparts, where the pieces of `fan` neighbouring buckets are
 put together by part, and from there to the part; answers return the same way. Buckets and parts keep their size.
 
-Words are compared by 64-bit hashes of whole windows; step (1)'s hashes may be coarse, since (2) tests whole windows.
+Step (1)'s hashes may be coarse, since (2) tests whole windows. Windows are taken as equal if two hashes of all their
+words agree, of 64 and 32 bits: of 10^12 candidate windows of different words that makes 10^-5 expected false pairs.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, small_batches, stored
+from .common import shuffle_partitions, small_batches, stored, stored_by
 
 _U = np.uint64
 _BASE, _STEP = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: For the second hash of a window: what its words are mixed with, and its step.
+_SALT, _STEP2 = 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
 _PIECE = 1 << 20
 
 
@@ -90,12 +93,15 @@ class Bucket:
         doc = np.repeat(np.arange(len(self.counts)), self.counts)
         at = np.arange(n)
         self.left, self.place = self.first[doc + 1] - at, at - self.first[doc]
+        self.short, self.long = self._windows(self.words, _STEP)
+
+    def _windows(self, words: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of a block's length and of the span, by the word they start at."""
+        n, b = len(words), self.block
         short = np.zeros(max(0, n - b + 1), _U)
         for k in range(b if n >= b else 0):
-            short = short * _U(_STEP) + self.words[k : n - b + 1 + k]
-        self.short = short
-        step = _U(pow(_STEP, b, 1 << 64))
-        self.long = short[: max(0, len(short) - b)] * step + short[b:] if len(short) > b else np.empty(0, _U)
+            short = short * _U(step) + words[k : n - b + 1 + k]
+        return short, short[: max(0, len(short) - b)] * _U(pow(step, b, 1 << 64)) + short[b:] if len(short) > b else np.empty(0, _U)
 
     def probes(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(part << 32 | key) of the distinct rolling windows, sorted; which are a block; which occur again; the
@@ -108,16 +114,23 @@ class Bucket:
         is_block[inverse[self.place[where] % self.block == 0]] = True
         return distinct, is_block, times > 1, where, inverse
 
-    def candidates(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From the positions of hits: (distinct hashes, sorted; positions of the windows that contain a hit; for
-        each its place among the distinct)."""
+    def candidates(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From the positions of hits: (distinct hashes, sorted; the second hash of each; positions of the windows that
+        contain a hit; for each its place among the distinct)."""
         n = len(self.long)
         reach = np.zeros(n + self.span, np.int32)
         np.add.at(reach, np.maximum(hits - (self.span - self.block), 0), 1)
         np.add.at(reach, hits + 1, -1)
         where = np.flatnonzero((np.cumsum(reach)[:n] > 0) & (self.left[:n] >= self.span))
-        distinct, inverse = np.unique(_mix(self.long[where]), return_inverse=True)
-        return distinct, where, inverse
+        if not len(where):
+            return np.empty(0, _U), np.empty(0, np.uint32), where, where
+        first, second = _mix(self.long[where]), (_mix(self._windows(_mix(self.words ^ _U(_SALT)), _STEP2)[1][where]) >> _U(32)).astype(np.uint32)
+        order = np.lexsort((second, first))
+        new = np.ones(len(where), bool)
+        new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+        inverse = np.empty(len(where), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        return first[order][new], second[order][new], where, inverse
 
     def removed(self, where: np.ndarray, inverse: np.ndarray, n_distinct: int, earlier: np.ndarray) -> np.ndarray:
         """Words covered by a window that starts earlier, in an earlier bucket or in this one."""
@@ -154,10 +167,10 @@ _TOLD = "bucket int, part int, step int, bits binary"
 
 
 def _load(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts of a bucket, in the order of ids (null last), then texts."""
+    """Ids and texts of a bucket, in the order of ids (null last), then of hashes of texts, then texts."""
     unzip = zstandard.ZstdDecompressor().decompress
-    ids, texts = table.column("id").to_pylist(), [unzip(z) for z in table.column("z").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+    ids, hashes, texts = table.column("id").to_pylist(), table.column("h").to_pylist(), [unzip(z) for z in table.column("z").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, hashes[i], texts[i]))
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
@@ -187,29 +200,30 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
     """Removes each word covered by a window of `span` words (even) whose sequence also starts earlier.
 
     Earlier: in a row of smaller id, or earlier in the same row; null ids come last, and rows of equal ids follow the
-    order of their texts. Windows are judged on the input. Returns id_col (long), n_words, n_removed, kept (the
+    order of a hash of their texts. Windows are judged on the input. Returns id_col (long), n_words, n_removed, kept (the
     words left, joined by one space), one row per input row; a null or blank text has no words and keeps ''. An empty
-    table gives an empty table; other columns are not read. The driver holds 8 bytes a bucket.
+    table gives an empty table; other columns are not read. Ids that hold more than a bucket (null among them) are
+    split by that hash. The driver holds 8 bytes a bucket.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = int(min(most_buckets, max(shuffle_partitions(spark), -(-total // bucket_bytes))))
     parts = int(max(shuffle_partitions(spark), -(-total // (2 * bucket_bytes))))
     inner = -(-parts // fan)
     parts = -(-parts // inner) * inner
-    bounds = _bounds(rows.select("id"), wanted, fan)
+    layout = spark.sparkContext.broadcast(Layout.of(rows.select("id", F.octet_length("text").alias("n")), wanted, max(1, total // wanted), fan))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_one = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for batch in small_batches(whole, "text"):
                 ids = batch.column(0)
-                at = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False), side="left")
+                at = layout.value.bucket(ids, batch.column(2).to_numpy())
                 packed = [zip_one(t.as_buffer()) if len(t.as_buffer()) else zip_one(b"") for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), ids, pa.array(packed, pa.binary())], names=["bucket", "id", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), ids, batch.column(2), pa.array(packed, pa.binary())], names=["bucket", "id", "h", "z"])
 
-    dealt = rows.mapInArrow(deal, "bucket int, id long, z binary")
+    dealt = stored_by(rows.mapInArrow(deal, "bucket int, id long, h long, z binary"), "bucket", max(shuffle_partitions(spark), wanted // 8))
 
     def send_probes(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -221,11 +235,11 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
         if not docs_.num_rows:
             return _table([], _SENT)
         b = Bucket(_load(docs_)[1], span)
-        distinct, _, _ = _candidates(b, told)
-        out = [(p, docs_.column("bucket")[0].as_py(), _pack(distinct[s:e]), b"") for p, s, e in _split(distinct, parts, inner, 0)]
+        distinct, second, _, _ = _candidates(b, told)
+        out = [(p, docs_.column("bucket")[0].as_py(), _pack(distinct[s:e]), second[s:e].tobytes()) for p, s, e in _split(distinct, parts, inner, 0)]
         return _table(out, _SENT)
 
-    def _candidates(b: Bucket, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _candidates(b: Bucket, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         codes, _, _, where, inverse = b.probes(parts)
         hit = _gather(told, 1, _split(codes, parts, inner, 32), len(codes))
         return b.candidates(where[hit[inverse]])
@@ -237,7 +251,7 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
             return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "k": pa.array([], pa.string())}).rename_columns(schema.names)
         ids, texts = _load(docs_)
         b = Bucket(texts, span)
-        distinct, where, inverse = _candidates(b, told)
+        distinct, _, where, inverse = _candidates(b, told)
         gone = b.removed(where, inverse, len(distinct), _gather(told, 2, _split(distinct, parts, inner, 0), len(distinct)))
         kept, n_removed = [], []
         for i, text in enumerate(texts):
@@ -258,12 +272,61 @@ def _table(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _bounds(ids: DataFrame, wanted: int, fan: int) -> np.ndarray:
-    """Last ids of about `wanted` - 1 buckets: quantiles, and above `fan` of them quantiles between quantiles."""
+class Layout:
+    """Which bucket a row belongs to: buckets are ranges of ids, null last, of about equal bytes; an id with more bytes than a
+    bucket has buckets of its own, ranges of the hash. Buckets are numbered in that order."""
+
+    def __init__(self, last: np.ndarray, heavy: dict[int | None, int]):
+        """last: the last id of each bucket but the last; heavy: into how many buckets an id is split."""
+        alone = [i for i in heavy if i is not None]
+        low = np.iinfo(np.int64).min
+        self.last = np.unique(np.concatenate([last, np.array([x for i in alone for x in ((i - 1, i) if i > low else (i,))], np.int64)]).astype(np.int64))
+        #: Buckets of each range of ids, then of null.
+        self.width = np.ones(len(self.last) + 2, np.int64)
+        self.width[np.searchsorted(self.last, np.array(alone, np.int64))] = [heavy[i] for i in alone]
+        self.width[-1] = heavy.get(None, 1)
+        self.first = np.cumsum(self.width) - self.width
+
+    @staticmethod
+    def of(rows: DataFrame, wanted: int, most: int, fan: int) -> Layout:
+        """rows: (id, n bytes). Ranges at quantiles of ids, put together by their bytes; ids above 2 x `most` bytes alone."""
+        if wanted < 2:
+            return Layout(np.empty(0, np.int64), {})
+        heavy = {r["id"]: int(-(-r["n"] // most)) for r in rows.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * most).collect()}  # total / most rows
+        fine = _quantiles(rows.select("id"), 4 * wanted if wanted <= 1 << 18 else wanted, fan)
+        marks = rows.sparkSession.sparkContext.broadcast(fine)
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(len(marks.value) + 1, np.int64)
+            for batch in batches:
+                known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                np.add.at(held, np.searchsorted(marks.value, batch.column(0).drop_null().to_numpy()), batch.column(1).to_numpy()[known])
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], names=["at", "n"])
+
+        held = np.zeros(len(fine) + 1, np.int64)
+        for r in rows.mapInArrow(weigh, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a range
+            held[r["at"]] = r["n"]
+        # A range ends a bucket where the next one would fill it above its share.
+        ends, full = [], 0
+        for i, n in enumerate(held[:-1].tolist()):
+            full += n
+            if full + int(held[i + 1]) > most:
+                ends.append(i)
+                full = 0
+        return Layout(fine[np.array(ends, np.int64)] if ends else np.empty(0, np.int64), heavy)
+
+    def bucket(self, ids: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.last, ids.fill_null(0).to_numpy())
+        at = np.where(ids.is_valid().to_numpy(zero_copy_only=False), at, len(self.last) + 1)
+        share = ((hashes.astype(np.int64) >> 32) + (1 << 31)) * self.width[at] >> 32
+        return self.first[at] + share
+
+
+def _quantiles(ids: DataFrame, wanted: int, fan: int) -> np.ndarray:
+    """Last ids of about `wanted` - 1 ranges of equal rows: quantiles, and above `fan` of them quantiles between quantiles."""
     marks = lambda n: F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)
-    if wanted < 2:
-        return np.empty(0, np.int64)
-    coarse = np.array(sorted(set(ids.agg(marks(min(wanted, fan))).first()[0] or [])), np.int64)
+    coarse = np.array(sorted(set(ids.agg(marks(max(2, min(wanted, fan)))).first()[0] or [])), np.int64)
     if wanted <= fan:
         return coarse
 
@@ -277,28 +340,36 @@ def _bounds(ids: DataFrame, wanted: int, fan: int) -> np.ndarray:
     return np.unique(np.concatenate([coarse, *(np.array(r["m"], np.int64) for r in fine.collect())]))  # `fan` rows
 
 
-def _found(step: int, keys: np.ndarray, whose: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """Step 1, flags telling which keys are blocks and which occur again in their bucket: keys that are a block in some
-    bucket and occur twice or more. Step 2: keys that an earlier bucket has."""
-    distinct, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
+def _found(step: int, keys: np.ndarray, whose: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Step 1, extra flags telling which keys are blocks and which occur again in their bucket: keys that are a block in
+    some bucket and occur twice or more. Step 2, extra being second hashes: keys that an earlier bucket has."""
     if step == 1:
+        distinct, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
         is_block, twice = np.zeros(len(distinct), bool), times > 1
-        is_block[inverse[flags[0]]] = True
-        twice[inverse[flags[1]]] = True
+        is_block[inverse[extra[0]]] = True
+        twice[inverse[extra[1]]] = True
         return (is_block & twice)[inverse]
-    first = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(first, inverse, whose)
-    return whose > first[inverse]
+    order = np.lexsort((whose, extra, keys))
+    k, e, w = keys[order], extra[order], whose[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
+    out = np.empty(len(k), bool)
+    out[order] = w > w[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
+def _extras(raws: list[bytes], sizes: list[int], step: int) -> np.ndarray:
+    """What travels with keys: two rows of flags in step 1, second hashes in step 2."""
+    if step == 1:
+        return np.concatenate([_unbits(f, 2 * m).reshape(2, m) for f, m in zip(raws, sizes)], axis=1)
+    return np.concatenate([np.frombuffer(f, np.uint32) for f in raws])
 
 
 def _received(table: pa.Table, step: int, dtype) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(part, buckets, number of keys of each, keys, two rows of flags)."""
+    """(part, buckets, number of keys of each, keys, what travels with them)."""
     keys = [_unpack(k, dtype) for k in table.column("keys").to_pylist()]
     n = np.array([len(k) for k in keys])
-    flags = np.zeros((2, n.sum()), bool)
-    if step == 1:
-        flags = np.concatenate([_unbits(f, 2 * m).reshape(2, m) for f, m in zip(table.column("flags").to_pylist(), n.tolist())], axis=1)
-    return table.column("part")[0].as_py(), np.array(table.column("bucket").to_pylist(), np.int64), n, np.concatenate(keys), flags
+    return table.column("part")[0].as_py(), np.array(table.column("bucket").to_pylist(), np.int64), n, np.concatenate(keys), _extras(table.column("flags").to_pylist(), n.tolist(), step)
 
 
 _SPREAD = "part int, crowd int, sub int, buckets binary, counts binary, keys binary, flags binary"
@@ -312,20 +383,20 @@ def _exchange(sent: DataFrame, step: int, parts: int, inner: int, fan: int) -> D
     loose = lambda raw, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
     def find(table: pa.Table) -> pa.Table:
-        part, buckets, n, keys, flags = _received(table, step, dtype)
-        hits = np.split(_found(step, keys, np.repeat(buckets, n), flags), np.cumsum(n)[:-1])
+        part, buckets, n, keys, extra = _received(table, step, dtype)
+        hits = np.split(_found(step, keys, np.repeat(buckets, n), extra), np.cumsum(n)[:-1])
         return _table([(int(b), part, step, _bits(h)) for b, h in zip(buckets, hits)], _TOLD)
 
     def spread(table: pa.Table) -> pa.Table:
         """The pieces of a crowd of buckets, put together by part."""
-        part, buckets, n, keys, flags = _received(table, step, dtype)
+        part, buckets, n, keys, extra = _received(table, step, dtype)
         crowd, whose = int(buckets[0]) // fan, np.repeat(buckets, n)
         sub = np.searchsorted(_borders(part * inner + 1, (part + 1) * inner, parts, 32 if step == 1 else 0), keys, side="right")
         order = np.argsort(sub, kind="stable")
         out = []
         for at in np.split(order, np.flatnonzero(np.diff(sub[order])) + 1):
             starts = np.flatnonzero(np.diff(whose[at], prepend=-1))
-            out.append((part, crowd, int(sub[at[0]]), squeeze(whose[at][starts]), squeeze(np.diff(starts, append=len(at))), squeeze(keys[at]), _bits(flags[:, at])))
+            out.append((part, crowd, int(sub[at[0]]), squeeze(whose[at][starts]), squeeze(np.diff(starts, append=len(at))), squeeze(keys[at]), _bits(extra[:, at]) if step == 1 else extra[at].tobytes()))
         return _table(out, _SPREAD)
 
     def opened(table: pa.Table) -> tuple[list, list]:
@@ -334,10 +405,10 @@ def _exchange(sent: DataFrame, step: int, parts: int, inner: int, fan: int) -> D
     def find_spread(table: pa.Table) -> pa.Table:
         buckets, counts = opened(table)
         n = [int(c.sum()) for c in counts]
-        flags = np.concatenate([_unbits(f, 2 * m).reshape(2, m) for f, m in zip(table.column("flags").to_pylist(), n)], axis=1)
+        extra = _extras(table.column("flags").to_pylist(), n, step)
         keys = np.concatenate([loose(k, dtype) for k in table.column("keys").to_pylist()])
         whose = np.concatenate([np.repeat(b, c) for b, c in zip(buckets, counts)])
-        hits = np.split(_found(step, keys, whose, flags), np.cumsum(n)[:-1])
+        hits = np.split(_found(step, keys, whose, extra), np.cumsum(n)[:-1])
         named = ("part", "crowd", "sub", "buckets", "counts")
         return _table([(*row, _bits(h)) for row, h in zip(zip(*(table.column(c).to_pylist() for c in named)), hits)], _FOUND)
 

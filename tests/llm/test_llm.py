@@ -10,6 +10,7 @@ import compare
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ def as_rows(df, *columns):
 
 
 def brute_repeats(rows, span=20):
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    in_order = lambda t: (np.uint64(xxhash.xxh64_intdigest(t, 42)).astype(np.int64), t)
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *in_order((r[1] or "").encode())))
     seen, out = set(), []
     for i, text in rows:
         words = (text or "").encode().split()
@@ -69,6 +71,42 @@ def test_substrings_by_two_hops(spark):
     assert as_rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(table_rows(spark))
 
 
+def test_rows_of_one_id_and_of_none_are_split(spark):
+    r = random.Random(9)
+    passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(12)]
+    text = lambda: " ".join(r.choice(passages) if r.random() < 0.3 else f"v{r.randrange(10**6)}" for _ in range(40))
+    rows = [(None if i % 3 else 5, text()) for i in range(300)] + [(i, text()) for i in range(60)] + [(None, "")] * 40 + [(5, None), (5, passages[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.digests(substrings.drop_repeats(df, bucket_bytes=3_000))
+    assert as_rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
+    sizes = df.selectExpr("doc_id as id", "octet_length(coalesce(text, '')) as n")
+    layout = substrings.Layout.of(sizes, 100, 3_000, 4096)
+    assert layout.width[-1] > 10 and layout.width.max() > 10 and layout.last.tolist() == sorted(set(layout.last.tolist()))
+    ids = pa.array([4, 5, 5, 6, None, None], pa.int64())
+    at = layout.bucket(ids, np.array([0, -(1 << 63), (1 << 63) - 1, 0, -(1 << 63), (1 << 63) - 1]))
+    assert at.tolist() == sorted(at.tolist()) and len(set(at.tolist())) == 6
+
+
+def test_windows_of_one_hash_are_told_apart():
+    """Where the first hash of all windows is the same, the second decides."""
+    words = [f"w{i}".encode() for i in range(60)]
+    b = substrings.Bucket([b" ".join(words), b" ".join(words[:30] + words[:30])], 20)
+    want = b.candidates(np.arange(40))
+    b.long[:] = 7
+    first, second, where, inverse = b.candidates(np.arange(40))
+    assert len(set(first.tolist())) == 1 and len(first) == len(want[0]) and (where == want[2]).all()
+    assert [second[i] for i in inverse] == [want[1][i] for i in want[3]]
+    keys, whose = np.full(6, 7, np.uint64), np.array([0, 1, 2, 0, 1, 2])
+    assert substrings._found(2, keys, whose, np.array([1, 1, 2, 3, 3, 2], np.uint32)).tolist() == [False, True, False, False, True, False]
+
+
+def test_texts_are_shuffled_once(spark):
+    """After the buckets are stored, no exchange carries texts."""
+    plan = substrings.drop_repeats(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and not [x for x in plan.split("\n") if "Exchange" in x and "bucket" not in x]
+    assert plan.count("Exchange") == 1  # of the answers
+
+
 def test_substrings_sql(spark):
     assert compare.difference(spark, entry, "op1_substring_dedup", f"{DATA}/sf0.01") is None
 

@@ -15,18 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import shuffle_partitions, small_batches, stored
+from .common import hinted, shuffle_partitions, small_batches, stored
 from .components import stars
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
-    """Signed 64-bit SimHash of each text: over the XXH64 (seed 42) of the shingles of its words, A-Z lowered, a bit
-    is 1 if set in over half. Fewer words than a shingle: the whole sequence; none: 0."""
+def _shingle_hashes(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64, seed 42, of the shingles of each text's words, A-Z lowered; where those of each text start, and the end).
+    Fewer words than a shingle: the whole sequence; none: no shingle."""
     digest = xxhash.xxh64_intdigest
     hashes: list[int] = []
     starts = []
@@ -43,22 +43,30 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
         first = [0, *(blanks[: len(words) - shingle] + 1).tolist()]
         end = [*blanks[shingle - 1 :].tolist(), len(joined)]
         hashes += [digest(joined[a:b], 42) for a, b in zip(first, end)]
-    out = np.zeros(len(texts), np.uint64)
-    if hashes:
-        all_hashes = np.array(hashes, np.uint64)
-        bounds = np.array([*starts, len(hashes)])
-        sizes = np.diff(bounds)
-        filled = np.flatnonzero(sizes)
-        for piece in np.array_split(filled, max(1, len(hashes) // 200_000)):
-            if len(piece):
-                low, high = bounds[piece[0]], bounds[piece[-1] + 1]
-                bits = np.unpackbits(all_hashes[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, bounds[piece] - low, axis=0, dtype=np.int32)
-                kept = (2 * ones > sizes[piece][:, None]).astype(np.uint8)
-                out[piece] = np.packbits(kept, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.array(hashes, np.uint64), np.array([*starts, len(hashes)])
+
+
+def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Signed 64 bits for each text: those set in over half of its hashes."""
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    sizes = np.diff(bounds)
+    filled = np.flatnonzero(sizes)
+    for piece in np.array_split(filled, max(1, len(hashes) // 200_000)):
+        if len(piece):
+            low, high = bounds[piece[0]], bounds[piece[-1] + 1]
+            bits = np.unpackbits(hashes[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, bounds[piece] - low, axis=0, dtype=np.int32)
+            kept = (2 * ones > sizes[piece][:, None]).astype(np.uint8)
+            out[piece] = np.packbits(kept, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out.view(np.int64)
 
 
+def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
+    """Signed 64-bit SimHash of each text: over the XXH64 (seed 42) of the shingles of its words, A-Z lowered, a bit
+    is 1 if set in over half. Fewer words than a shingle: the whole sequence; none: 0."""
+    return _majority(*_shingle_hashes(texts, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp long) for every row; a null text has no words and fingerprint 0."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
@@ -142,15 +150,7 @@ def near_links(nodes: DataFrame, radius: int = 3, most: int = 2048) -> DataFrame
     blocks = radius + 1
     rows, bits, parts = nodes.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("rest")), 64, []
     while True:
-        sizes = [bits // blocks + (i < bits % blocks) for i in range(blocks)]
-        offsets = [sum(sizes[:i]) for i in range(blocks)]
-        rest = F.col("rest")
-        options = []
-        for i, (size, off) in enumerate(zip(sizes, offsets)):
-            value = F.shiftrightunsigned(rest, off).bitwiseAND(F.lit((1 << size) - 1))
-            low = rest.bitwiseAND(F.lit((1 << off) - 1))
-            high = F.shiftleft(F.shiftrightunsigned(rest, off + size), off) if off + size < 64 else F.lit(0).cast("long")
-            options.append(F.struct(F.xxhash64("key", F.lit(i), value).alias("key"), high.bitwiseOR(low).alias("rest")))
+        options = _blocks(bits, blocks)
         rows = rows.select("fp", F.explode(F.array(*options)).alias("o")).select("o.key", "fp", "o.rest")
         bits -= bits // blocks
         counts = rows.groupBy("key").count()
@@ -208,30 +208,183 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(of_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
-    """One row of docs (all its columns) of each component: that of the smallest id, null ids last; of rows of one
-    component that share that id the one of the smallest text, null first. Rows of different components never stand
-    for each other, whatever their ids."""
+#: Fingerprints of a text in one_of_each, each of its own hash.
+SKETCH = 6
+
+
+def sketches_of(words: list[list[bytes]]) -> np.ndarray:
+    """SKETCH independent SimHash values, signed, of the distinct words of each text."""
+    digest = xxhash.xxh64_intdigest
+    distinct = [[digest(w, 42) for w in set(ws)] for ws in words]
+    bounds = np.cumsum([0, *map(len, distinct)])
+    hashes, out = np.array([h for hs in distinct for h in hs], np.uint64), []
+    for i in range(SKETCH):
+        h = hashes + np.uint64((0x9E3779B97F4A7C15 * i) & _BITS)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(h ^ (h >> np.uint64(31)), bounds))
+    return np.stack(out, axis=1)
+
+
+_FPS = [f"f{i}" for i in range(SKETCH)]
+
+
+def shard_links(sketches: list[list[int]], by: int, radius: int, total: int) -> list[tuple[int, int]]:
+    """Pairs of positions that connect the sketches of one shard of fingerprint `by`: a BK-tree gives those within `radius`
+    bits in it, and pairs of at most `total` bits over all fingerprints count, the nearest first."""
+    tree, root, out = BKTree(), [], []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sketches):
+        near = []
+        for j in tree.within(own[by], radius):
+            apart = sum(((x ^ y) & _BITS).bit_count() for x, y in zip(own, sketches[j]))
+            if apart <= total:
+                near.append((apart, j))
+        tree.add(own[by])
+        root.append(i)
+        for _, j in sorted(near):
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                out.append((i, j))
+    return out
+
+
+def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: int = 512) -> DataFrame:
+    """Pairs (f0, ..., g0, ...) of distinct sketches that connect all that are near: at most `radius` bits apart in one of
+    the fingerprints and `total` bits in all. The shards are those of near_links, for each fingerprint."""
+    spark = sketches.sparkSession
+    blocks, bits, parts = radius + 1, 64, []
+    rows = sketches.select(*_FPS, F.explode(F.array(*(F.struct(F.lit(i).alias("by"), F.lit(i).cast("long").alias("key"), F.col(f).alias("rest")) for i, f in enumerate(_FPS)))).alias("o")).select(*_FPS, "o.*")
+    while True:
+        options, bits = _blocks(bits, blocks), bits - bits // blocks
+        rows = rows.select(*_FPS, "by", F.explode(F.array(*options)).alias("o")).select(*_FPS, "by", "o.key", "o.rest")
+        if bits <= 16:
+            parts.append(rows.drop("rest"))
+            break
+        crowded = stored(rows.groupBy("key").count().filter(F.col("count") > most).select("key"))
+        n = crowded.count()
+        if not n:
+            parts.append(rows.drop("rest"))
+            break
+        parts.append(rows.join(hinted(crowded, n), "key", "left_anti").drop("rest"))
+        rows = rows.join(hinted(crowded, n), "key", "left_semi")
+    todo = parts[0]
+    for p in parts[1:]:
+        todo = todo.unionByName(p)
+    schema = ", ".join(f"{c} long" for c in (*_FPS, *(f"g{i}" for i in range(SKETCH))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held = np.empty(0, np.int64), np.empty((0, SKETCH + 1), np.int64)
+        for batch in [*batches, None]:
+            if batch is not None:
+                columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "by", *_FPS)]
+                keys, held = np.concatenate([keys, columns[0]]), np.concatenate([held, np.stack(columns[1:], axis=1)])
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()]
+            if batch is None:
+                cuts.append(len(keys))
+            found = []
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    own = held[a:b, 1:].tolist()
+                    found += [own[i] + own[j] for i, j in shard_links(own, int(held[a, 0]), radius, total)]
+            keys, held = keys[cuts[-1] :], held[cuts[-1] :]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=[f.split(" ")[0] for f in schema.split(", ")])
+
+    return todo.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", *_FPS).mapInArrow(run, schema).distinct()
+
+
+def _blocks(bits: int, blocks: int) -> list[Column]:
+    """For each block of the `bits` of column rest: struct<key, rest>, of the block's value under column key and of the
+    other bits."""
+    sizes = [bits // blocks + (i < bits % blocks) for i in range(blocks)]
+    offsets = [sum(sizes[:i]) for i in range(blocks)]
+    rest, options = F.col("rest"), []
+    for i, (size, off) in enumerate(zip(sizes, offsets)):
+        value = F.shiftrightunsigned(rest, off).bitwiseAND(F.lit((1 << size) - 1))
+        low = rest.bitwiseAND(F.lit((1 << off) - 1))
+        high = F.shiftleft(F.shiftrightunsigned(rest, off + size), off) if off + size < 64 else F.lit(0).cast("long")
+        options.append(F.struct(F.xxhash64("key", F.lit(i), value).alias("key"), high.bitwiseOR(low).alias("rest")))
+    return options
+
+
+def _same_text(nodes: DataFrame, own: DataFrame, key: list[str], links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) between nodes whose texts have at least `similarity` of their shingles of `words` words in common."""
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    wanted = stored(nodes.join(linked, "node", "left_semi").select("node", *(F.col(f"row.{c}").alias(c) for c in key)))
+    texts = own.join(hinted(wanted, wanted.count()), key).select("node", "__text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, "__text"):
+                hashes, bounds = _shingle_hashes(batch.column(1).to_pylist(), words)
+                lists = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    # Equal rows give a node more than once.
+    shingles = stored(texts.mapInArrow(run, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    side = lambda c: shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    union = F.size("of_a") + F.size("of_b") - F.col("common")
+    return both.filter((union == 0) | (F.col("common") >= F.lit(similarity) * union)).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, total: int = 44) -> DataFrame:
+    """One row of docs (all its columns) of each group of near copies: that of the smallest id, null ids last; of rows of
+    one group that share that id the one of the smallest text, null first. Rows of different groups never stand for each
+    other, whatever their ids.
+
+    Texts of the same words (A-Z lowered) are copies. Others are linked if they have at least `similarity` of their
+    shingles of `words` words in common, which is counted exactly for the pairs that the fingerprints propose: SKETCH
+    SimHash values of the distinct words, of which one differs in at most `radius` bits and all in at most `total` (of texts
+    with 0.8 of their five-word shingles in common, nearly all do). Null, empty and blank texts have the same words, none.
+    """
     text = F.col(text_col).cast("string")
     # Two hashes of the text tell the rows of one id apart; a null id is an id of its own.
-    row = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)}
+    row = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__h1": F.coalesce(F.xxhash64(text), F.lit(0)), "__h2": F.xxhash64(F.lit(1), text)}
     own = docs.withColumns(row)
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *(row[c].alias(c) for c in ("__h1", "__h2")))
-    prints = stored(fingerprints(docs.select(key.alias("__row"), text.alias("__own_text")), "__row", "__own_text", shingle))
-    prints = prints.select("fp", F.struct("__row.none", "__row.id").alias("__by"), "__row.__h1", "__row.__h2").distinct()
-    rooted = _rooted(prints, radius, "__by")
-    # The distinct texts of each component's smallest id, mostly one.
-    least = rooted.groupBy("root").agg(F.min("least").alias("__by"))
-    first = stored(
-        prints.join(rooted.join(least, "root").filter(F.col("least") == F.col("__by")).select("fp", "root", "__by"), ["fp", "__by"])
-        .select("root", F.col("__by.none").alias("__none"), F.coalesce(F.col("__by.id").cast("string"), F.lit("")).alias("__id"), "__h1", "__h2")
-    )
     rows = list(row)
+    kept = [F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *(row[c].alias(c) for c in rows)]
+    keyed = docs.select(F.struct(*kept).alias("__row"), text.alias("__text"))
+    schema = T.StructType([keyed.schema["__row"], *(T.StructField(f, T.LongType()) for f in _FPS), T.StructField("node", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, "__text"):
+                words_ = [t.as_buffer().to_pybytes().lower().split() if t.is_valid else [] for t in batch.column(1)]
+                prints = sketches_of(words_)
+                same = [xxhash.xxh3_128_digest(b" ".join(ws)) for ws in words_]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, i]) for i in range(SKETCH)), pa.array(same, pa.binary())], names=schema.names)
+
+    prints = stored(keyed.mapInArrow(run, schema))
+    by = F.struct("__row.none", "__row.id")
+    nodes = stored(prints.groupBy("node").agg(*(F.first(f).alias(f) for f in _FPS), F.min(by).alias("least"), F.min(F.struct(*(f"__row.{c}" for c in rows))).alias("row")))
+    # Nodes of one sketch are linked to the smallest of them, which stands for them in the trees.
+    sketches = stored(nodes.groupBy(*_FPS).agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    heads = sketches.filter("n > 1").select(*_FPS, "head")
+    members = nodes.join(heads, _FPS).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    side = lambda c, names: sketches.select(*(F.col(f).alias(n) for f, n in zip(_FPS, names)), F.col("head").alias(c))
+    others = [f"g{i}" for i in range(SKETCH)]
+    near = sketch_links(sketches.select(*_FPS), radius, total).join(side("a", _FPS), _FPS).join(side("b", others), others).select("a", "b")
+    links = stored(members.union(near))
+    roots = stars(_same_text(nodes, own.select(*rows, text.alias("__text")), rows, links, words, similarity)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # The distinct texts of each group's smallest id, mostly one.
+    least = rooted.groupBy("root").agg(F.min("least").alias("__by"))
+    named = prints.select("node", by.alias("__by"), *(F.col(f"__row.{c}").alias(c) for c in rows)).distinct()
+    first = stored(named.join(rooted.join(least, "root").filter(F.col("least") == F.col("__by")).select("node", "root", "__by"), ["node", "__by"]).select("root", *rows))
     several = first.join(first.groupBy("root").count().filter("count > 1"), "root").drop("count")
     smallest = F.row_number().over(W.partitionBy("root").orderBy(text_col))
     tied = own.select(*rows, text.alias(text_col)).join(several, rows).withColumn("__nth", smallest).filter("__nth = 1").select(*rows)
     single = first.join(first.groupBy("root").count().filter("count = 1"), "root").select(*rows)
-    kept = single.unionByName(tied)
+    survivors = single.unionByName(tied)
     # Equal rows meet first, so many of them leave one a task; the join finds them dealt already.
     once = own.withColumn("__nth", F.row_number().over(W.partitionBy(*rows).orderBy(*rows))).filter("__nth = 1")
-    return once.join(kept, rows, "left_semi").select(*docs.columns)
+    return once.join(survivors, rows, "left_semi").select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import hinted, n_words, stored
+from .common import discard, hinted, n_words, stored
 
 def ordered(sources: DataFrame, name: str = "__source") -> DataFrame:
     """Adds `ordinal`, the 0-based place of each (distinct) source by code point, null last: ranges of names are numbered
@@ -79,7 +79,8 @@ def balance(sizes: DataFrame, sources: DataFrame, cap: int, tolerance: float = 1
         half = F.when(low.isNull(), F.col("lam") * 4 - 1e-9).otherwise((low + high) / 2)
         inside = (F.col("slope") > 0) & (newton < high) & (low.isNull() | (newton > low))
         moved = F.when(F.col("done") | near, F.col("lam")).when(inside, newton).otherwise(half)
-        state = stored(state.join(got, "ordinal", "left").select("ordinal", "target", moved.alias("lam"), low.alias("low"), high.alias("high"), (F.col("done") | near).alias("done")))
+        last, state = state, stored(state.join(got, "ordinal", "left").select("ordinal", "target", moved.alias("lam"), low.alias("low"), high.alias("high"), (F.col("done") | near).alias("done")))
+        discard(last)
     return state.select("ordinal", "lam")
 
 

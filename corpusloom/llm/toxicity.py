@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored
+from .common import discard, small_batches, stored
 
 #: (terms, weights or counts) of one text.
 Sparse = tuple[np.ndarray, np.ndarray]
@@ -284,6 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     columns = [given.column(c).to_pylist() for c in ("n", "n_toxic", "example")]
     lists = [[x.values.to_numpy().astype(np.int64) for x in given.column(c)] for c in ("terms", "times")]
     examples = sorted(zip(*lists, *columns), key=lambda e: str(e[4]))
+    discard(sample, picked, distinct)
     voting = (shares[4] - shares[5], shares[5])
     ratio = lambda y: (shares[3] if y else shares[2] - shares[3]) / voting[y] if voting[y] else 1.0
     return NeighbourVotes(weight, examples, k, clean_scale=ratio(0) / ratio(1)), space

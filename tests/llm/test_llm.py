@@ -1,10 +1,12 @@
 """Each operator on edge rows against a brute-force version, on empty tables, and where one is possible on a table."""
 
 import hashlib
+import os
 import random
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import compare
 import corpus_pipeline
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from corpusloom.llm import bpe, components, fingerprints, mixing, neighbours, queries, secret_scan, sharding, simhash, substrings, token_counts, toxicity
+from corpusloom.llm import bpe, common, components, fingerprints, mixing, neighbours, queries, secret_scan, sharding, simhash, substrings, token_counts, toxicity
 
 PATH = public_tokenizers.path(queries.TOKENIZER)
 DATA = "/root/testdata"
@@ -776,5 +778,18 @@ def test_pipeline_by_brute_force(spark):
     assert sorted((r["doc_id"], tuple(r["ids"])) for r in five.collect()) == sorted((i, tuple(library.encode(t, add_special_tokens=False).ids)) for i, t in edge_rows(four))
 
 
+def test_stored_tables_need_a_shared_folder(spark):
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master, None))
+        assert common.shared_dir(session(master, "hdfs://a/b/")) == "hdfs://a/b"
+    assert os.path.isabs(common.shared_dir(session("local[4]", None)))
+    table = common.stored(spark.range(3))
+    assert os.path.isdir(table._stored_at) and table.count() == 3
+    common.discard(table)
+    assert not os.path.exists(table._stored_at)
+
+
 def test_no_operator_kind_besides_the_ten():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(queries.QUERIES) and len(queries.QUERIES) == 10

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, small_handover
 from .token_counts import PreTokens, byte_symbols
 
 WINDOW, MASK, SHORTEST, LONGEST = 16, 1023, 384, 8192
@@ -256,6 +256,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     null text is encoded as empty (no ids, decoded ''). An empty table gives an empty table; other columns are not
     read. Strings of added tokens inside texts become their identifiers, as the library does by default.
     """
+    small_handover(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

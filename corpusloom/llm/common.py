@@ -85,6 +85,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def small_handover(spark: SparkSession, most: str = "8m") -> None:
+    """Bounds the bytes of a batch that an executor hands to Python at once, unless the session has a bound of its own;
+    what holds then is bounded by rows of any length, not by their number."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def small_batches(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about `most` bytes of text (a single long text may exceed it)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()

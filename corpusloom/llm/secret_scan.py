@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, small_handover
 
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -188,6 +188,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replaced. With `redact`, the text's spans are replaced by that string (overlapping spans together by one). A
     null text has no spans and stays null; an empty table gives an empty table; null or repeated ids and rows are kept.
     """
+    small_handover(docs.sparkSession)
     keep = [c for c in docs.columns if c != "secret_spans"]
     at = keep.index(text_col)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("secret_spans", T.ArrayType(SPAN))])

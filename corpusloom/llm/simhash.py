@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import hinted, shuffle_partitions, small_batches, stored
+from .common import hinted, shuffle_partitions, small_batches, small_handover, stored
 from .components import stars
 
 
@@ -69,6 +69,7 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp long) for every row; a null text has no words and fingerprint 0."""
+    small_handover(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +230,9 @@ def sketches_of(words: list[list[bytes]]) -> np.ndarray:
 _FPS = [f"f{i}" for i in range(SKETCH)]
 
 
-def shard_links(sketches: list[list[int]], by: int, radius: int, total: int) -> list[tuple[int, int]]:
-    """Pairs of positions that connect the sketches of one shard of fingerprint `by`: a BK-tree gives those within `radius`
-    bits in it, and pairs of at most `total` bits over all fingerprints count, the nearest first."""
+def shard_links(sketches: list[list[int]], by: int, radius: int, total: int) -> list[tuple[int, int, int]]:
+    """(position, position, bits apart) of pairs that connect the sketches of one shard of fingerprint `by`: a BK-tree gives
+    those within `radius` bits in it, and pairs of at most `total` bits over all fingerprints count, the nearest first."""
     tree, root, out = BKTree(), [], []
 
     def find(i: int) -> int:
@@ -248,16 +249,16 @@ def shard_links(sketches: list[list[int]], by: int, radius: int, total: int) ->
                 near.append((apart, j))
         tree.add(own[by])
         root.append(i)
-        for _, j in sorted(near):
+        for apart, j in sorted(near):
             a, b = find(i), find(j)
             if a != b:
                 root[a] = b
-                out.append((i, j))
+                out.append((i, j, apart))
     return out
 
 
 def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: int = 512) -> DataFrame:
-    """Pairs (f0, ..., g0, ...) of distinct sketches that connect all that are near: at most `radius` bits apart in one of
+    """Pairs (f0, ..., g0, ..., apart) of distinct sketches that connect all that are near: at most `radius` bits apart in one of
     the fingerprints and `total` bits in all. The shards are those of near_links, for each fingerprint."""
     spark = sketches.sparkSession
     blocks, bits, parts = radius + 1, 64, []
@@ -278,7 +279,7 @@ def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: in
     todo = parts[0]
     for p in parts[1:]:
         todo = todo.unionByName(p)
-    schema = ", ".join(f"{c} long" for c in (*_FPS, *(f"g{i}" for i in range(SKETCH))))
+    schema = ", ".join(f"{c} long" for c in (*_FPS, *(f"g{i}" for i in range(SKETCH)), "apart"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = np.empty(0, np.int64), np.empty((0, SKETCH + 1), np.int64)
@@ -293,7 +294,7 @@ def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: in
             for a, b in zip(cuts, cuts[1:]):
                 if b - a > 1:
                     own = held[a:b, 1:].tolist()
-                    found += [own[i] + own[j] for i, j in shard_links(own, int(held[a, 0]), radius, total)]
+                    found += [[*own[i], *own[j], n] for i, j, n in shard_links(own, int(held[a, 0]), radius, total)]
             keys, held = keys[cuts[-1] :], held[cuts[-1] :]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=[f.split(" ")[0] for f in schema.split(", ")])
@@ -315,8 +316,16 @@ def _blocks(bits: int, blocks: int) -> list[Column]:
     return options
 
 
-def _same_text(nodes: DataFrame, own: DataFrame, key: list[str], links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) between nodes whose texts have at least `similarity` of their shingles of `words` words in common."""
+def _same_text(texts: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) between nodes that have at least `similarity` of their shingles (node, shingles) in common."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    union = F.size("of_a") + F.size("of_b") - F.col("common")
+    return both.filter((union == 0) | (F.col("common") >= F.lit(similarity) * union)).select("a", "b")
+
+
+def _shingles(nodes: DataFrame, own: DataFrame, key: list[str], links: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the distinct shingles of the texts of linked nodes."""
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     wanted = stored(nodes.join(linked, "node", "left_semi").select("node", *(F.col(f"row.{c}").alias(c) for c in key)))
     texts = own.join(hinted(wanted, wanted.count()), key).select("node", "__text")
@@ -329,11 +338,20 @@ def _same_text(nodes: DataFrame, own: DataFrame, key: list[str], links: DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     # Equal rows give a node more than once.
-    shingles = stored(texts.mapInArrow(run, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    side = lambda c: shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
-    both = links.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    union = F.size("of_a") + F.size("of_b") - F.col("common")
-    return both.filter((union == 0) | (F.col("common") >= F.lit(similarity) * union)).select("a", "b")
+    return stored(texts.mapInArrow(run, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
+def _checked(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): components of the links (a, b, apart) that hold. First each node's nearest is looked at, then what
+    would still join two components."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    first = stored(_same_text(texts, nearest, similarity))
+    roots = stored(stars(first))
+    root = lambda c: roots.select(F.col("a").alias(c), F.col("b").alias(f"root_{c}"))
+    placed = links.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = placed.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    return stars(first.unionByName(_same_text(texts, rest, similarity))).select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, total: int = 44) -> DataFrame:
@@ -346,6 +364,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     SimHash values of the distinct words, of which one differs in at most `radius` bits and all in at most `total` (of texts
     with 0.8 of their five-word shingles in common, nearly all do). Null, empty and blank texts have the same words, none.
     """
+    small_handover(docs.sparkSession)
     text = F.col(text_col).cast("string")
     # Two hashes of the text tell the rows of one id apart; a null id is an id of its own.
     row = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__h1": F.coalesce(F.xxhash64(text), F.lit(0)), "__h2": F.xxhash64(F.lit(1), text)}
@@ -369,12 +388,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Nodes of one sketch are linked to the smallest of them, which stands for them in the trees.
     sketches = stored(nodes.groupBy(*_FPS).agg(F.min("node").alias("head"), F.count("*").alias("n")))
     heads = sketches.filter("n > 1").select(*_FPS, "head")
-    members = nodes.join(heads, _FPS).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    members = nodes.join(heads, _FPS).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"), F.lit(0).cast("long").alias("apart"))
     side = lambda c, names: sketches.select(*(F.col(f).alias(n) for f, n in zip(_FPS, names)), F.col("head").alias(c))
     others = [f"g{i}" for i in range(SKETCH)]
-    near = sketch_links(sketches.select(*_FPS), radius, total).join(side("a", _FPS), _FPS).join(side("b", others), others).select("a", "b")
+    near = sketch_links(sketches.select(*_FPS), radius, total).join(side("a", _FPS), _FPS).join(side("b", others), others).select("a", "b", "apart")
     links = stored(members.union(near))
-    roots = stars(_same_text(nodes, own.select(*rows, text.alias("__text")), rows, links, words, similarity)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    texts = _shingles(nodes, own.select(*rows, text.alias("__text")), rows, links, words)
+    roots = _checked(links, texts, similarity)
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # The distinct texts of each group's smallest id, mostly one.
     least = rooted.groupBy("root").agg(F.min("least").alias("__by"))
@@ -384,7 +404,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest = F.row_number().over(W.partitionBy("root").orderBy(text_col))
     tied = own.select(*rows, text.alias(text_col)).join(several, rows).withColumn("__nth", smallest).filter("__nth = 1").select(*rows)
     single = first.join(first.groupBy("root").count().filter("count = 1"), "root").select(*rows)
-    survivors = single.unionByName(tied)
-    # Equal rows meet first, so many of them leave one a task; the join finds them dealt already.
-    once = own.withColumn("__nth", F.row_number().over(W.partitionBy(*rows).orderBy(*rows))).filter("__nth = 1")
-    return once.join(survivors, rows, "left_semi").select(*docs.columns)
+    survivors = stored(single.unionByName(tied))
+    # Rows that go, and rows that equal others, of which one stays, are few beside the rest, which is not shuffled for them.
+    by_row = stored(prints.groupBy(*(F.col(f"__row.{c}").alias(c) for c in rows)).agg(F.count("*").alias("n")).join(survivors.withColumn("stays", F.lit(True)), rows, "left").filter("n > 1 or stays is null"))
+    n = by_row.count()
+    alone = own.join(hinted(by_row.select(*rows), n), rows, "left_anti")
+    again = own.join(hinted(by_row.filter("stays").select(*rows), n), rows, "left_semi")
+    once = again.withColumn("__nth", F.row_number().over(W.partitionBy(*rows).orderBy(*rows))).filter("__nth = 1")
+    return alone.select(*docs.columns).unionByName(once.select(*docs.columns))

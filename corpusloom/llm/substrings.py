@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, small_batches, stored, stored_by
+from .common import shuffle_partitions, small_batches, small_handover, stored, stored_by
 
 _U = np.uint64
 _BASE, _STEP = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -205,6 +205,7 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
     table gives an empty table; other columns are not read. Ids that hold more than a bucket (null among them) are
     split by that hash. The driver holds 8 bytes a bucket.
     """
+    small_handover(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches, small_handover
+
 #: The pre-token pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside these ranges the regex module and the tokenizers library disagree on the class of some code points
@@ -140,14 +142,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     per input row. A null text counts as empty (0, 0, false); an empty table gives an empty table; other columns are
     not read. The file at tokenizer_path must be readable on every executor, as the library itself must be.
     """
+    small_handover(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(tokenizer_path)
-        for batch in batches:
-            texts = batch.column(1)
-            counts = [m.count(t.as_py()) if t.is_valid else 0 for t in texts]
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=schema.names)
+        for whole in batches:
+            for batch in small_batches(whole, "__text"):
+                texts = batch.column(1)
+                counts = [m.count(t.as_py()) if t.is_valid else 0 for t in texts]
+                sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=schema.names)
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)

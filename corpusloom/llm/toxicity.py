@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, small_batches, stored
+from .common import discard, small_batches, small_handover, stored
 
 #: (terms, weights or counts) of one text.
 Sparse = tuple[np.ndarray, np.ndarray]
@@ -228,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     relevance of words; `most_examples` of them, half of each class at most, are the examples that vote, and their words
     the space. Document frequencies are counted over all documents.
     """
+    small_handover(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__toxic"))
     by_hash = [F.xxhash64("__lid"), F.col("__lid")]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .store import stored
 
 TEXTS = ["ESP_original", "SHIWILU_original", "ESP_normalizado", "SHIWILU_normalizado"]
 SIDES = ["ESP", "SHIWILU"]
@@ -19,8 +18,12 @@ def _problems(df: DataFrame, kind: Column | str, details: Column) -> DataFrame:
     return df.select("pair_id", kind.alias("problem_type"), details.alias("details"), *TEXTS).filter("details is not null")
 
 
+def _empty_details() -> Column:
+    return tx.joined(*(F.when(F.col(c).isNull() | (tx.strip(F.col(c)) == ""), f"{c} vacío") for c in TEXTS))
+
+
 def empty_fields(df: DataFrame) -> DataFrame:
-    return _problems(df, "empty_field", tx.joined(*(F.when(F.col(c).isNull() | (tx.strip(F.col(c)) == ""), f"{c} vacío") for c in TEXTS)))
+    return _problems(df, "empty_field", _empty_details())
 
 
 def _groups(df: DataFrame) -> DataFrame:
@@ -29,8 +32,11 @@ def _groups(df: DataFrame) -> DataFrame:
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """Members of equal pairs but the first (by pair_id). Groups are aggregated before they meet their rows."""
-    members = df.join(_groups(df), KEY).filter("pair_id <> first")
-    return _problems(members, "exact_duplicate", F.format_string("Duplicado de %s (grupo de %d)", "first", "n"))
+    return _problems(df.join(_groups(df), KEY), "exact_duplicate", _duplicate_details())
+
+
+def _duplicate_details() -> Column:
+    return F.when(F.col("pair_id") != F.col("first"), F.format_string("Duplicado de %s (grupo de %d)", "first", "n"))
 
 
 def duplicate_members(df: DataFrame) -> DataFrame:
@@ -43,18 +49,28 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
     return _groups(df).agg(F.count("*").alias("duplicate_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"))
 
 
-def conflicts(df: DataFrame) -> DataFrame:
-    """Texts with several counterparts; the reported number counts a null counterpart too."""
+def _variants(df: DataFrame, key: str, other: str, out: str) -> DataFrame:
+    """Texts with several counterparts; the number counts a null counterpart too."""
+    g = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct(other).alias("d"), F.max(F.col(other).isNull().cast("int")).alias("z"))
+    return g.filter("d > 1").select(key, (F.col("d") + F.col("z")).alias(out))
+
 
-    def variants(key: str, other: str, out: str) -> DataFrame:
-        g = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct(other).alias("d"), F.max(F.col(other).isNull().cast("int")).alias("z"))
-        return g.filter("d > 1").select(key, (F.col("d") + F.col("z")).alias(out))
+def _with_variants(df: DataFrame) -> DataFrame:
+    return df.join(_variants(df, *KEY, "m"), KEY[0], "left").join(_variants(df, *KEY[::-1], "k"), KEY[1], "left")
 
-    rows = df.join(variants(*KEY, "m"), KEY[0], "left").join(variants(*KEY[::-1], "k"), KEY[1], "left")
-    kind = F.when(F.col("m").isNotNull() & F.col("k").isNotNull(), "bidirectional_conflict").when(F.col("m").isNotNull(), "one_to_many_esp").otherwise("many_to_one_shiwilu")
+
+def _conflict_kind() -> Column:
+    return F.when(F.col("m").isNotNull() & F.col("k").isNotNull(), "bidirectional_conflict").when(F.col("m").isNotNull(), "one_to_many_esp").otherwise("many_to_one_shiwilu")
+
+
+def _conflict_details() -> Column:
     one = F.when(F.col("m").isNotNull(), F.format_string("ESP tiene %d traducciones SHIWILU diferentes", "m"))
     many = F.when(F.col("m").isNull() & F.col("k").isNotNull(), F.format_string("SHIWILU tiene %d traducciones ESP diferentes", "k")).when(F.col("k").isNotNull(), F.format_string("SHIWILU tiene %d traducciones ESP", "k"))
-    return _problems(rows, kind, tx.joined(one, many))
+    return tx.joined(one, many)
+
+
+def conflicts(df: DataFrame) -> DataFrame:
+    return _problems(_with_variants(df), _conflict_kind(), _conflict_details())
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -62,11 +78,17 @@ def measured(df: DataFrame) -> DataFrame:
     return out.withColumn("length_ratio", F.col("esp_words") / F.when(F.col("shi_words") == 0, 1).otherwise(F.col("shi_words")))
 
 
-def length_issues(df: DataFrame) -> DataFrame:
+def _limited(df: DataFrame) -> DataFrame:
     rows = measured(df)
     limits = rows.agg(*((F.avg(c) + 3 * F.stddev_samp(c)).alias(f"{c}_most") for c in ("esp_words", "shi_words")))
-    rows = rows.crossJoin(F.broadcast(limits))  # one row
+    return rows.crossJoin(F.broadcast(limits))  # one row
+
+
+def length_issues(df: DataFrame) -> DataFrame:
+    return _problems(_limited(df), "length_issue", _length_details())
+
 
+def _length_details() -> Column:
     def side(name: str, c: str) -> Column:
         long = F.concat(F.format_string(f"{name} muy largo (%d palabras, umbral: ", c), tx.fixed(F.col(f"{c}_most"), 0), F.lit(")"))
         return F.when(F.col(c) <= 0, f"{name} sin palabras").when(F.col(c) > F.col(f"{c}_most"), long)
@@ -74,7 +96,7 @@ def length_issues(df: DataFrame) -> DataFrame:
     shown = F.concat(F.lit(" (ratio: "), tx.fixed(F.col("length_ratio"), 2), F.lit(")"))
     both = (F.col("esp_words") > 0) & (F.col("shi_words") > 0)
     ratio = F.when(both & (F.col("length_ratio") > 3.0), F.concat(F.lit("ESP mucho más largo que SHIWILU"), shown)).when(both & (F.col("length_ratio") < 0.33), F.concat(F.lit("SHIWILU mucho más largo que ESP"), shown))
-    return _problems(rows, "length_issue", tx.joined(side("ESP", "esp_words"), side("SHIWILU", "shi_words"), ratio))
+    return tx.joined(side("ESP", "esp_words"), side("SHIWILU", "shi_words"), ratio)
 
 
 def length_stats(df: DataFrame) -> DataFrame:
@@ -86,6 +108,10 @@ def length_stats(df: DataFrame) -> DataFrame:
 
 
 def suspicious_content(df: DataFrame) -> DataFrame:
+    return _problems(df, "suspicious_content", _suspicious_details())
+
+
+def _suspicious_details() -> Column:
     def listed(c: Column) -> Column:
         return F.concat(F.lit("["), F.array_join(F.transform(tx.suspicious(c), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
 
@@ -95,12 +121,28 @@ def suspicious_content(df: DataFrame) -> DataFrame:
         lambda s, c: F.when(F.size(tx.suspicious(c)) > 0, F.concat(F.lit(f"{s} contiene caracteres sospechosos: "), listed(c))),
         lambda s, c: F.when(tx.without_blanks(c).rlike(r"^\p{Nd}+$"), f"{s} es solo números"),
     ]
-    return _problems(df, "suspicious_content", tx.joined(*(t(s, F.col(f"{s}_original")) for t in tests for s in SIDES)))
+    return tx.joined(*(t(s, F.col(f"{s}_original")) for t in tests for s in SIDES))
+
+
+def audited(df: DataFrame) -> DataFrame:
+    """All rows with `issues`, array<struct<check_ordinal, problem_type, details>>, and `has_audit_flags`.
+
+    One pass over the rows: the checks of a row are columns of it, and what duplicates, conflicts and lengths need from
+    other rows is aggregated before it meets them. The rows are stored first, so that what made them runs once.
+    """
+    df = stored(df)
+    rows = _limited(_with_variants(df.join(_groups(df), KEY, "left")))
+    found = (
+        (F.lit("empty_field"), _empty_details()), (F.lit("exact_duplicate"), _duplicate_details()), (_conflict_kind(), _conflict_details()),
+        (F.lit("length_issue"), _length_details()), (F.lit("suspicious_content"), _suspicious_details()),
+    )
+    issues = F.array(*(F.struct(F.lit(i).alias("check_ordinal"), kind.alias("problem_type"), details.alias("details")) for i, (kind, details) in enumerate(found)))
+    out = rows.withColumn("issues", F.filter(issues, lambda x: x["details"].isNotNull()))
+    return out.select(*df.columns, "issues", (F.size("issues") > 0).alias("has_audit_flags"))
 
 
 def all_problems(df: DataFrame) -> DataFrame:
-    checks = (empty_fields, exact_duplicates, conflicts, length_issues, suspicious_content)
-    return reduce(DataFrame.unionByName, (check(df).withColumn("check_ordinal", F.lit(i)) for i, check in enumerate(checks)))
+    return audited(df).select("pair_id", F.explode("issues").alias("x"), *TEXTS).select("pair_id", "x.problem_type", "x.details", *TEXTS, "x.check_ordinal")
 
 
 def by_type(problems: DataFrame) -> DataFrame:
@@ -114,6 +156,12 @@ def consolidated(problems: DataFrame) -> DataFrame:
     return problems.groupBy("pair_id").agg(types.alias("problem_types"), details.alias("all_details"), *(F.first(t).alias(t) for t in TEXTS))
 
 
-def flagged(df: DataFrame, problems: DataFrame) -> DataFrame:
-    ids = problems.select(F.col("pair_id").alias("__flagged")).distinct()
-    return df.join(ids, F.col("pair_id") == F.col("__flagged"), "left").withColumn("has_audit_flags", F.col("__flagged").isNotNull()).drop("__flagged")
+def flagged(df: DataFrame) -> DataFrame:
+    """All rows with has_audit_flags."""
+    return audited(df).drop("issues")
+
+
+def row_counts(df: DataFrame) -> DataFrame:
+    """(rows_with_problems, clean_rows): ids with and rows less those ids."""
+    bad = F.countDistinct(F.when(F.col("has_audit_flags"), F.col("pair_id")))
+    return audited(df).agg(bad.alias("rows_with_problems"), (F.count("*") - bad).alias("clean_rows"))

@@ -1,6 +1,6 @@
 """Registered queries over the corpus operators, and their SQL.
 
-Pairs are the first two lines of each document, made untidy by doc_id mod 8 so that every rule has work to do.
+Pairs are all lines of each document, two by two, made untidy by doc_id and their number so that every rule has work to do.
 """
 
 from __future__ import annotations
@@ -33,26 +33,36 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- inputs
 
 WS = f"[{tx.WSC}]"
-_P = """p AS (
-  SELECT doc_id, source,
-    CASE doc_id % 8 WHEN 0 THEN '  ' || l WHEN 1 THEN l || chr(160) WHEN 2 THEN replace(l, ', ', ' , ') WHEN 3 THEN '"' || l || '"'
+_RAW = """raw AS (
+  SELECT doc_id, source, k, doc_id * 1048576 + k AS row_id, ls[2 * k + 1] AS l, coalesce(ls[2 * k + 2], '') AS r
+  FROM (SELECT doc_id, source, ls, unnest(range((len(ls) + 1) // 2)) AS k FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)))"""
+_P = _RAW + """, p AS (
+  SELECT row_id, doc_id, k, source,
+    CASE (doc_id + k) % 8 WHEN 0 THEN '  ' || l WHEN 1 THEN l || chr(160) WHEN 2 THEN replace(l, ', ', ' , ') WHEN 3 THEN '"' || l || '"'
       WHEN 4 THEN '[x] ' || l WHEN 7 THEN replace(l, 'e', 'e' || chr(769)) ELSE l END AS "ESP",
-    CASE doc_id % 16 WHEN 5 THEN '--' WHEN 6 THEN NULL WHEN 8 THEN '12 34' WHEN 9 THEN '  ' ELSE r END AS "SHIWILU"
-  FROM (SELECT doc_id, source, split_part(text, chr(10), 1) AS l, split_part(text, chr(10), 2) AS r FROM documents)
+    CASE (doc_id + k) % 16 WHEN 5 THEN '--' WHEN 6 THEN NULL WHEN 8 THEN '12 34' WHEN 9 THEN '  ' ELSE r END AS "SHIWILU"
+  FROM raw
 )"""
 
 
+def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, doc_id, k, source, l, r): lines 2k + 1 and 2k + 2 of each document; a missing last one is empty."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("ls"))
+    two = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 2).cast("int")), lambda k: F.struct(k.cast("long").alias("k"), F.get("ls", 2 * k).alias("l"), F.coalesce(F.get("ls", 2 * k + 1), F.lit("")).alias("r")))
+    rows = lines.filter("ls is not null").select("doc_id", "source", F.explode(two).alias("x")).select("doc_id", "source", "x.*")
+    return rows.withColumn("row_id", F.col("doc_id") * (1 << 20) + F.col("k"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    part = lambda i: F.split_part("text", F.lit("\n"), F.lit(i))
-    m, left, right = F.col("doc_id") % 8, part(1), part(2)
+    at, left, right = F.col("doc_id") + F.col("k"), F.col("l"), F.col("r")
+    m = at % 8
     esp = (
-        F.when(m == 0, F.concat(F.lit("  "), left)).when(m == 1, F.concat(left, F.lit(" "))).when(m == 2, F.replace(left, F.lit(", "), F.lit(" , ")))
-        .when(m == 3, F.concat(F.lit('"'), left, F.lit('"'))).when(m == 4, F.concat(F.lit("[x] "), left)).when(m == 7, F.replace(left, F.lit("e"), F.lit("é"))).otherwise(left)
+        F.when(m == 0, F.concat(F.lit("  "), left)).when(m == 1, F.concat(left, F.lit("\u00a0"))).when(m == 2, F.replace(left, F.lit(", "), F.lit(" , ")))
+        .when(m == 3, F.concat(F.lit('"'), left, F.lit('"'))).when(m == 4, F.concat(F.lit("[x] "), left)).when(m == 7, F.replace(left, F.lit("e"), F.lit("e\u0301"))).otherwise(left)
     )
-    n = F.col("doc_id") % 16
+    n = at % 16
     shi = F.when(n == 5, "--").when(n == 6, None).when(n == 8, "12 34").when(n == 9, "  ").otherwise(right)
-    return d.select("doc_id", "source", esp.alias("ESP"), shi.alias("SHIWILU"))
+    return raw_pairs(spark, sf_dir).select("row_id", "doc_id", "k", "source", esp.alias("ESP"), shi.alias("SHIWILU"))
 
 
 def _strip(x: str) -> str:
@@ -67,7 +77,7 @@ _RULE_SQL = [
 
 def _chain() -> str:
     """CTEs t0 to t6, a rule each; n is the normalized table."""
-    out = [_P, """t0 AS (SELECT printf('D%08d', doc_id) AS pair_id, source, "ESP" AS e0, "SHIWILU" AS s0 FROM p)"""]
+    out = [_P, """t0 AS (SELECT printf('D%08d_%05d', doc_id, k) AS pair_id, source, "ESP" AS e0, "SHIWILU" AS s0 FROM p)"""]
     for i, (_, f) in enumerate(_RULE_SQL):
         out.append(f"t{i + 1} AS (SELECT *, {f(f'e{i}')} AS e{i + 1}, {f(f's{i}')} AS s{i + 1} FROM t{i})")
     out.append('n AS (SELECT pair_id, e0 AS "ESP_original", s0 AS "SHIWILU_original", e6 AS "ESP_normalizado", s6 AS "SHIWILU_normalizado", source FROM t6)')
@@ -81,7 +91,7 @@ _LOG = "log AS (" + " UNION ALL ".join(
 
 
 def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select(F.format_string("D%08d", "doc_id").alias("pair_id"), "ESP", "SHIWILU", "source")
+    return pairs(spark, sf_dir).select(F.format_string("D%08d_%05d", "doc_id", "k").alias("pair_id"), "ESP", "SHIWILU", "source")
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,15 +106,15 @@ _REASON = f"""j AS (SELECT *, CASE WHEN "ESP" IS NULL THEN 'ESP es NaN' WHEN "SH
 
 
 def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return prepare.route(pairs(spark, sf_dir).withColumnRenamed("doc_id", "row_index").drop("source"))
+    return prepare.route(pairs(spark, sf_dir).select(F.col("row_id").alias("row_index"), "ESP", "SHIWILU"))
 
 
-@query(f"""WITH {_P}, {_REASON} SELECT printf('P%05d', row_number() OVER (ORDER BY doc_id) - 1) AS pair_id, "ESP", "SHIWILU" FROM j WHERE removal_reason IS NULL""")
+@query(f"""WITH {_P}, {_REASON} SELECT printf('P%05d', row_number() OVER (ORDER BY row_id) - 1) AS pair_id, "ESP", "SHIWILU" FROM j WHERE removal_reason IS NULL""")
 def filter_valid_pairs(spark, sf_dir):
     return routed(spark, sf_dir)[0]
 
 
-@query(f"""WITH {_P}, {_REASON} SELECT doc_id AS original_index, "ESP", "SHIWILU", removal_reason FROM j WHERE removal_reason IS NOT NULL""")
+@query(f"""WITH {_P}, {_REASON} SELECT row_id AS original_index, "ESP", "SHIWILU", removal_reason FROM j WHERE removal_reason IS NOT NULL""")
 def removed_rows_with_reason(spark, sf_dir):
     return routed(spark, sf_dir)[1]
 
@@ -155,12 +165,12 @@ def keep_list_filter(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de")).select("doc_id", "lang", "source")
 
 
-@query(f"""WITH k AS (SELECT doc_id, source, {_strip('lower(split_part(text, chr(10), 1))')} AS e, {_strip('lower(split_part(text, chr(10), 2))')} AS s FROM documents),
+@query(f"""WITH {_RAW}, k AS (SELECT row_id, source, {_strip('lower(l)')} AS e, {_strip('lower(r)')} AS s FROM raw),
   d AS (SELECT e, s FROM k GROUP BY 1, 2 HAVING count(DISTINCT source) > 1)
-  SELECT doc_id, source, substr(e, 1, 20) || '|' || substr(s, 1, 20) AS duplicate_group FROM k JOIN d USING (e, s)""")
+  SELECT row_id, source, substr(e, 1, 20) || '|' || substr(s, 1, 20) AS duplicate_group FROM k JOIN d USING (e, s)""")
 def cross_source_duplicates(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("ESP"), F.split_part("text", F.lit("\n"), F.lit(2)).alias("SHIWILU"))
-    return prepare.cross_duplicates(d).select("doc_id", "source", "duplicate_group")
+    d = raw_pairs(spark, sf_dir).select("row_id", "source", F.col("l").alias("ESP"), F.col("r").alias("SHIWILU"))
+    return prepare.cross_duplicates(d).select("row_id", "source", "duplicate_group")
 
 
 # ---------------------------------------------------------------- normalize
@@ -306,15 +316,12 @@ def consolidated_problems(spark, sf_dir):
 
 @query(f"{_ALL} SELECT n.*, pair_id IN (SELECT pair_id FROM pr) AS has_audit_flags FROM n")
 def final_flagged_dataset(spark, sf_dir):
-    n = normalized(spark, sf_dir)
-    return audit.flagged(n, audit.all_problems(n))
+    return audit.flagged(normalized(spark, sf_dir))
 
 
 @query(f"{_ALL} SELECT count(DISTINCT pair_id) AS rows_with_problems, (SELECT count(*) FROM n) - count(DISTINCT pair_id) AS clean_rows FROM pr")
 def problem_row_counts(spark, sf_dir):
-    n = normalized(spark, sf_dir)
-    bad = audit.all_problems(n).agg(F.countDistinct("pair_id").alias("rows_with_problems"))
-    return bad.crossJoin(n.agg(F.count("*").alias("total"))).select("rows_with_problems", (F.col("total") - F.col("rows_with_problems")).alias("clean_rows"))  # one row each
+    return audit.row_counts(normalized(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -343,18 +350,18 @@ def hapax_words(spark, sf_dir):
 
 
 _clean = lambda c: _strip(f"""regexp_replace(regexp_replace(coalesce({c}, ''), '[!?.,;:¡¿"()“”]', ' ', 'g'), '{WS}{{2,}}', ' ', 'g')""")
-_SENT = f"""sent AS (SELECT * FROM (SELECT doc_id, 0 AS lang_ord, {_tok(_clean('"ESP"'))} AS t FROM p UNION ALL SELECT doc_id, 1, {_tok(_clean('"SHIWILU"'))} FROM p) WHERE len(t) > 0)"""
+_SENT = f"""sent AS (SELECT * FROM (SELECT row_id, 0 AS lang_ord, {_tok(_clean('"ESP"'))} AS t FROM p UNION ALL SELECT row_id, 1, {_tok(_clean('"SHIWILU"'))} FROM p) WHERE len(t) > 0)"""
 
 
-@query(f"WITH {_P}, {_SENT} SELECT doc_id, lang_ord, array_to_string(t, ' ') AS sentence, len(t) AS n FROM sent")
+@query(f"WITH {_P}, {_SENT} SELECT row_id, lang_ord, array_to_string(t, ' ') AS sentence, len(t) AS n FROM sent")
 def token_sentences(spark, sf_dir):
-    s = vocabulary.sentences(pairs(spark, sf_dir), "doc_id")
-    return s.select("doc_id", "lang_ord", F.array_join("tokens", " ").alias("sentence"), F.size("tokens").cast("long").alias("n"))
+    s = vocabulary.sentences(pairs(spark, sf_dir), "row_id")
+    return s.select("row_id", "lang_ord", F.array_join("tokens", " ").alias("sentence"), F.size("tokens").cast("long").alias("n"))
 
 
 @query(f"WITH {_P}, {_SENT} SELECT count(*) AS sentences, CAST(sum(len(t)) AS BIGINT) AS tokens FROM sent")
 def token_totals(spark, sf_dir):
-    return vocabulary.sentences(pairs(spark, sf_dir), "doc_id").agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).alias("tokens"))
+    return vocabulary.sentences(pairs(spark, sf_dir), "row_id").agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).alias("tokens"))
 
 
 def _vocabularies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -512,10 +519,10 @@ def extreme_pairs(spark, sf_dir):
 
 @query("""SELECT query, vec_id, round(s, 6) AS similarity_score, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
-  FROM embeddings v, embeddings q WHERE q.vec_id < 10 AND v.vec_id <> q.vec_id) WHERE rank <= 10""")
+  FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= 10""")
 def knn_topk(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    near = vectors.nearest(e, e.filter("vec_id < 10"), "vec_id", "embedding")
+    near = vectors.nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding")
     return near.select("query", "vec_id", _r("similarity_score").alias("similarity_score"), "rank")
 
 
@@ -532,48 +539,52 @@ def step_sample(spark, sf_dir):
 
 
 _grams = lambda w: f"list_distinct(list_transform(range(1, greatest(length({w}), 1) + 1), lambda i: substr('<' || {w} || '>', i, 3)))"
-_CROSS = f"""{_P}, w AS (SELECT doc_id, {_tok(_clean('"ESP"'))}[1:3] AS a, {_tok(_clean('"SHIWILU"'))}[1:3] AS b FROM p
-), wx AS (SELECT doc_id, unnest(a) AS x, b FROM w), wy AS (SELECT doc_id, x, unnest(b) AS y FROM wx
-), wg AS (SELECT doc_id, {_grams('x')} AS g, {_grams('y')} AS h FROM wy
-), cross_ AS (SELECT w.doc_id, coalesce(avg(len(list_intersect(g, h)) / sqrt(len(g) * len(h))), 0.0) AS s FROM w LEFT JOIN wg USING (doc_id) GROUP BY 1)"""
+_CROSS = f"""{_P}, w AS (SELECT row_id, {_tok(_clean('"ESP"'))}[1:3] AS a, {_tok(_clean('"SHIWILU"'))}[1:3] AS b FROM p
+), wx AS (SELECT row_id, unnest(a) AS x, b FROM w), wy AS (SELECT row_id, x, unnest(b) AS y FROM wx
+), wg AS (SELECT row_id, {_grams('x')} AS g, {_grams('y')} AS h FROM wy
+), cross_ AS (SELECT w.row_id, coalesce(avg(len(list_intersect(g, h)) / sqrt(len(g) * len(h))), 0.0) AS s FROM w LEFT JOIN wg USING (row_id) GROUP BY 1)"""
 
 
-@query(f"WITH {_CROSS} SELECT doc_id, round(s, 6) AS avg_word_score FROM cross_")
+@query(f"WITH {_CROSS} SELECT row_id, round(s, 6) AS avg_word_score FROM cross_")
 def word_cross_similarity(spark, sf_dir):
-    return vectors.cross_similarity(pairs(spark, sf_dir), "doc_id").select("doc_id", _r("avg_word_score").alias("avg_word_score"))
+    return vectors.cross_similarity(pairs(spark, sf_dir), "row_id").select("row_id", _r("avg_word_score").alias("avg_word_score"))
 
 
 @query(f"""WITH {_CROSS}, v AS (SELECT a.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
-  m AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n, c, s, substr("ESP", 1, 50) AS esp, substr("SHIWILU", 1, 50) AS shiwilu FROM v JOIN cross_ USING (doc_id) JOIN p USING (doc_id))
-  SELECT CAST(k AS INT) AS k, doc_id, esp, shiwilu, round(c, 6) AS sentence_score, round(s, 6) AS avg_word_score, round(c - s, 6) AS difference
+  m AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n, c, s, substr("ESP", 1, 50) AS esp, substr("SHIWILU", 1, 50) AS shiwilu FROM v JOIN p USING (doc_id) JOIN cross_ USING (row_id))
+  SELECT CAST(k AS INT) AS k, row_id, esp, shiwilu, round(c, 6) AS sentence_score, round(s, 6) AS avg_word_score, round(c - s, 6) AS difference
   FROM m JOIN (SELECT unnest(range(10)) AS k) ON i = (k * (n - 1)) // 9""")
 def sample_pair_comparison(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    both = scores(spark, sf_dir).withColumnRenamed("vec_id", "doc_id").join(vectors.cross_similarity(p, "doc_id"), "doc_id").join(p, "doc_id")
-    out = vectors.even_sample(both, "doc_id").withColumn("difference", F.col("similarity_score") - F.col("avg_word_score"))
-    return out.select("k", "doc_id", F.substring("ESP", 1, 50).alias("esp"), F.substring("SHIWILU", 1, 50).alias("shiwilu"), _r("similarity_score").alias("sentence_score"), _r("avg_word_score").alias("avg_word_score"), _r("difference").alias("difference"))
+    p = pairs(spark, sf_dir).drop("k")
+    both = scores(spark, sf_dir).withColumnRenamed("vec_id", "doc_id").join(p, "doc_id").join(vectors.cross_similarity(p, "row_id"), "row_id")
+    out = vectors.even_sample(both, "row_id").withColumn("difference", F.col("similarity_score") - F.col("avg_word_score"))
+    return out.select("k", "row_id", F.substring("ESP", 1, 50).alias("esp"), F.substring("SHIWILU", 1, 50).alias("shiwilu"), _r("similarity_score").alias("sentence_score"), _r("avg_word_score").alias("avg_word_score"), _r("difference").alias("difference"))
 
 
 # ---------------------------------------------------------------- models (no SQL form)
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.sentences(pairs(spark, sf_dir), "doc_id").select("tokens")
+    return vocabulary.sentences(pairs(spark, sf_dir), "row_id").select("tokens")
+
+
+#: Vectors of the size that the command trains by default, in fewer epochs.
+_MODEL = {"vector_size": 50, "epochs": 3}
 
 
 @query()
 def word2vec_vectors(spark, sf_dir):
-    return embed.vectors(embed.train(_training(spark, sf_dir), vector_size=16, epochs=1))
+    return embed.vectors(embed.train(_training(spark, sf_dir), **_MODEL))
 
 
 @query()
 def word2vec_synonyms(spark, sf_dir):
-    return embed.train(_training(spark, sf_dir), vector_size=16, epochs=1).findSynonyms("the", 10)
+    return embed.train(_training(spark, sf_dir), **_MODEL).findSynonyms("the", 10)
 
 
 @query()
 def subword_oov_vector(spark, sf_dir):
-    model = embed.train(_training(spark, sf_dir), vector_size=16, epochs=1)
+    model = embed.train(_training(spark, sf_dir), **_MODEL)
     return embed.subword_vectors(model, spark.createDataFrame([("unthinging",)], "word string"))
 
 
@@ -584,6 +595,6 @@ def pca_2d(spark, sf_dir):
 
 @query()
 def encoded_pairs(spark, sf_dir):
-    p = pairs(spark, sf_dir).withColumnRenamed("doc_id", "pair_id")
+    p = pairs(spark, sf_dir).withColumnRenamed("row_id", "pair_id")
     v = embed.embed_pairs(p, embed.hashed_encoder(64))
     return v.select("pair_id", tx.cosine(F.col("esp_vector"), F.col("shi_vector")).alias("similarity_score"))

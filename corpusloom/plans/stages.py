@@ -60,7 +60,7 @@ def normalize_stage(unified: DataFrame, rules: list[str] | dict | None = None) -
 def audit_stage(normalized: DataFrame) -> StageResult:
     """The normalized table feeds five checks; persist it first where it is costly."""
     problems = audit.all_problems(normalized)
-    frames = {"problems": audit.consolidated(problems), "final": audit.flagged(normalized, problems)}
+    frames = {"problems": audit.consolidated(problems), "final": audit.flagged(normalized)}
     return StageResult(frames, {**_rows(normalized=normalized), "by_type": audit.by_type(problems).orderBy("problem_type"), "duplicates": audit.duplicate_stats(normalized), "lengths": audit.length_stats(normalized)})
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import audit, embed, extract, ids, prepare, vectors, vocabulary
+from corpusloom.operators import audit, embed, extract, ids, lookup, prepare, vectors, vocabulary
 from corpusloom.sources import tables
 
 PAIRS = "pair_id string, ESP string, SHIWILU string"
@@ -100,7 +101,7 @@ def test_suspicious_and_length(spark):
 def test_empty_tables_keep_their_schema(spark):
     n = normalized(spark, [("a", "b")]).limit(0)
     problems = audit.all_problems(n)
-    assert problems.count() == 0 and audit.consolidated(problems).count() == 0 and audit.flagged(n, problems).count() == 0
+    assert problems.count() == 0 and audit.consolidated(problems).count() == 0 and audit.flagged(n).count() == 0
     assert prepare.unify(tables.concatenated(spark, [])).columns == ["pair_id", "ESP", "SHIWILU", "source", "source_pair_id"]
 
 
@@ -137,8 +138,29 @@ def test_samples_and_neighbours(spark):
     unknown = spark.createDataFrame([("q", [1.0, 0.0])], "word string, v array<double>")
     assert vectors.nearest(v, unknown, "word", "v", 10).count() == 10
     assert vectors.nearest(v, unknown, "word", "v", 10, out_of_vocabulary_quirk=True).count() == 11
-    with pytest.raises(ValueError):
-        vectors.nearest(v, v, "word", "v", most_queries=3)
+    by_blocks = vectors.nearest(v, v, "word", "v", 4, most_queries=3, rows_a_block=7)
+    assert sorted(by_blocks.collect()) == sorted(vectors.nearest(v, v, "word", "v", 4).collect()) and by_blocks.count() == 80
+
+
+def test_places_are_exact(spark):
+    r = random.Random(1)
+    values = [r.choice([0.5, 3.0, r.uniform(-9, 9)]) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5)
+    points = [0.0, 0.1, 0.25, 0.333, 0.5, 0.9, 1.0]
+    got = {r["point"]: r["value"] for r in ids.at_places(df, "v", points, parts=40).collect()}
+    ordered = sorted(values)
+    for p in points:
+        x = p * (len(ordered) - 1)
+        low, high = ordered[int(x)], ordered[min(int(x) + 1, len(ordered) - 1)]
+        assert got[p] == pytest.approx(low + (high - low) * (x - int(x)), abs=1e-12)
+    assert ids.at_places(df.limit(0), "v", points).count() == 0
+    assert [x["value"] for x in ids.at_places(df.limit(1), "v", [0.3]).collect()] == [df.limit(1).first()[0]]
+
+
+def test_numbers_over_many_ranges(spark):
+    df = spark.range(3000).select((F.col("id") * 7 % 1000).alias("k"), "id").unionByName(spark.createDataFrame([(None, 5000)], "k long, id long"))
+    got = [(x["k"], x["id"]) for x in sorted(ids.numbered(df, "k", "n", ("id",), parts=300).collect(), key=lambda x: x["n"])]
+    assert got == sorted(got, key=lambda x: (x[0] is None, x[0] or 0, x[1])) and len(got) == 3001
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -157,6 +179,30 @@ def test_subwords_give_unknown_words_a_vector(spark):
     assert len(embed.subword_vectors(model, spark.createDataFrame([("mother",)], "word string")).first()["vector"]) == 8
 
 
+def test_words_of_equal_contexts_come_near(spark):
+    r = random.Random(3)
+    frames = [("the", "{}", "sleeps", "on", "a", "warm", "sofa"), ("my", "{}", "eats", "fish", "every", "day")], [("we", "drive", "{}", "along", "some", "road"), ("new", "{}", "costs", "much", "money")]
+    kinds = [["pussycat", "doggerel", "bunnykin"], ["carriage", "truckload", "wagonette"]]
+    rows = []
+    for _ in range(2000):
+        g = r.randrange(2)
+        rows.append(([w.format(r.choice(kinds[g])) for w in r.choice(frames[g])],))
+    model = embed.train(spark.createDataFrame(rows, "tokens array<string>"), vector_size=16, epochs=8, partitions=2)
+    asked = (*(w for k in kinds for w in k), "pussycats", "truckloads")  # the last two are unknown
+    score = {(x["query"], x["word"]): x["similarity_score"] for x in lookup.similar_words(model, asked, 100).collect()}
+    kind = {w: i for i, k in enumerate(kinds) for w in k} | {"pussycats": 0, "truckloads": 1}
+    for w in asked:
+        alike, other = ([score[w, v] for k in kinds for v in k if v != w and (kind[v] == kind[w]) == same] for same in (True, False))
+        assert max(alike) > max(other) if w.endswith("s") else sum(alike) / len(alike) > sum(other) / len(other) + 0.2, w
+
+
+def test_all_ngrams_take_part(spark):
+    df = spark.createDataFrame([(["extraordinary", "word", f"w{i}"],) for i in range(400)], "tokens array<string>")
+    seen = {t for x in embed.with_subwords(df).collect() for t in x["tokens"]}
+    grams = set(spark.range(1).select(embed.ngrams(F.lit("extraordinary")).alias("g")).first()["g"])
+    assert len(grams) == 36 and grams <= seen
+
+
 def test_vocabulary_ties_by_first_occurrence(spark):
     df = spark.createDataFrame([(1, "x", "b a b a c"), (0, "x", "z")], "o int, lang string, text string")
     c = vocabulary.counts(df, F.col("text"), "lang", "o")

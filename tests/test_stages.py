@@ -8,7 +8,7 @@ def test_stages_add_up(spark, data):
     sf = f"{data}/sf0.001"
     raw = corpus_queries.pairs(spark, sf)
     total = raw.count()
-    filtered = stages.filter_stage(raw.withColumnRenamed("doc_id", "row_index").drop("source")).summary()
+    filtered = stages.filter_stage(raw.select(F.col("row_id").alias("row_index"), "ESP", "SHIWILU")).summary()
     assert filtered["valid_rows"][0]["n"] + filtered["removed_rows"][0]["n"] == total == filtered["valid_rows"][0]["n"] + sum(r["count"] for r in filtered["reasons"])
     unified = stages.unify_stage(corpus_queries.unified(spark, sf))
     assert sum(r["count"] for r in unified.summary()["sources"]) == unified.frames["unified"].count()

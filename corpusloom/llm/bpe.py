@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, small_handover
+from .common import small_batches, small_handover, worker_keeps
 from .token_counts import PreTokens, byte_symbols
 
 WINDOW, MASK, SHORTEST, LONGEST = 16, 1023, 384, 8192
@@ -95,7 +95,7 @@ class ChunkCodec:
     """Encodes texts by chunks as the tokenizers library encodes them whole; `kept` and `words`
     bound the characters of chunks and the pre-tokens held."""
 
-    def __init__(self, path: str, kept: int = 8_000_000, words: int = 250_000):
+    def __init__(self, path: str, kept: int = 6_000_000, words: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -243,12 +243,6 @@ class ChunkCodec:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(2)
-def codec(path: str) -> ChunkCodec:
-    """One per Python worker: tasks that follow reuse its chunks."""
-    return ChunkCodec(path)
-
-
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Identifiers of every whole text, and the text decoded from them.
 
@@ -260,7 +254,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer_path)
+        c = worker_keeps(("bpe", tokenizer_path), lambda: ChunkCodec(tokenizer_path))  # tasks that follow reuse its chunks
         for whole in batches:
             for batch in small_batches(whole, "__text"):
                 ids = c.encode([t or "" for t in batch.column(1).to_pylist()])

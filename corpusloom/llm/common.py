@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
@@ -37,10 +41,13 @@ def _folder(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors. The table goes
-    when the application ends, or earlier by discard()."""
+    when the application ends, or earlier by discard(). Where a bound of its (narrow) rows is known it is written in
+    files of about a million."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 1_000_000)))
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at, system = _folder(spark, path)
@@ -85,6 +92,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+_held: dict = {}
+
+
+def worker_keeps(key, make: Callable[[], Any] = lambda: None) -> Any:
+    """What this Python worker keeps from task to task under a key. There is one such thing at a time: what another operator
+    kept goes first, and its memory back to the system."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _held[key] = make()
+    return _held[key]
+
+
 def small_handover(spark: SparkSession, most: str = "8m") -> None:
     """Bounds the bytes of a batch that an executor hands to Python at once, unless the session has a bound of its own;
     what holds then is bounded by rows of any length, not by their number."""

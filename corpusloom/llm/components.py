@@ -24,7 +24,7 @@ def stars(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
         moved = large.join(least, F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, edges = edges, stored(moved.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
+        last, edges = edges, stored(moved.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), 2 * before[0])
         discard(last)
         now = _state(edges)
         if now == before:

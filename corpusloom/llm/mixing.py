@@ -50,7 +50,7 @@ def tilted(lam: Column, size: Column, cap: int) -> Column:
     return F.when(size > 0, F.exp(F.least(F.lit(math.log(cap)), lam * size))).otherwise(0.0)
 
 
-def balance(sizes: DataFrame, sources: DataFrame, cap: int, tolerance: float = 1e-9, most_steps: int = 100) -> DataFrame:
+def balance(sizes: DataFrame, sources: DataFrame, cap: int, n_sources: int | None = None, tolerance: float = 1e-9, most_steps: int = 100) -> DataFrame:
     """(ordinal, lam): the dual's solution for each source that has words and a target above 0.
 
     sizes: (ordinal, size, n), n documents of `size` > 0 words; sources: (ordinal, target). Newton steps on the logarithm
@@ -63,7 +63,7 @@ def balance(sizes: DataFrame, sources: DataFrame, cap: int, tolerance: float = 1
     # Beyond this lambda all documents are at the cap.
     highest, full = limit / F.col("least"), F.col("target") >= F.col("s1") * cap * (1 - 1e-12)
     first = F.least(highest, F.log(F.col("target") / F.col("s1")) * F.col("s1") / F.col("s2"))
-    state = stored(start.select("ordinal", "target", F.when(full, highest).otherwise(first).alias("lam"), F.lit(None).cast("double").alias("low"), highest.alias("high"), full.alias("done")))
+    state = stored(start.select("ordinal", "target", F.when(full, highest).otherwise(first).alias("lam"), F.lit(None).cast("double").alias("low"), highest.alias("high"), full.alias("done")), n_sources)
     for _ in range(most_steps):
         if state.filter("not done").isEmpty():
             break
@@ -79,7 +79,7 @@ def balance(sizes: DataFrame, sources: DataFrame, cap: int, tolerance: float = 1
         half = F.when(low.isNull(), F.col("lam") * 4 - 1e-9).otherwise((low + high) / 2)
         inside = (F.col("slope") > 0) & (newton < high) & (low.isNull() | (newton > low))
         moved = F.when(F.col("done") | near, F.col("lam")).when(inside, newton).otherwise(half)
-        last, state = state, stored(state.join(got, "ordinal", "left").select("ordinal", "target", moved.alias("lam"), low.alias("low"), high.alias("high"), (F.col("done") | near).alias("done")))
+        last, state = state, stored(state.join(got, "ordinal", "left").select("ordinal", "target", moved.alias("lam"), low.alias("low"), high.alias("high"), (F.col("done") | near).alias("done")), n_sources)
         discard(last)
     return state.select("ordinal", "lam")
 
@@ -122,12 +122,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     by_size = stored(lean.groupBy("__source", F.col("__size").alias("size")).agg(F.count("*").alias("n")))
     sums = by_size.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows"))
     share = F.element_at(F.array(*map(F.lit, weights)), (F.col("ordinal") % len(weights) + 1).cast("int"))
-    sources = stored(with_targets(stored(ordered(sums).withColumn("weight", share)), cap))
-    n_sources = sources.count()
+    weighted = stored(ordered(sums).withColumn("weight", share))
+    n_sources = weighted.count()
+    sources = with_targets(weighted, cap)
     same = F.col("__source").eqNullSafe(F.col("t_source"))
     named = sources.withColumnRenamed("__source", "t_source")
     sizes = stored(by_size.filter("size > 0").join(hinted(named.select("t_source", "ordinal"), n_sources), same).select("ordinal", "size", "n"))
-    rated = hinted(stored(named.join(balance(sizes, sources.select("ordinal", "target"), cap), "ordinal", "left")), n_sources)
+    rated = hinted(stored(named.join(balance(sizes, sources.select("ordinal", "target"), cap, n_sources), "ordinal", "left"), n_sources), n_sources)
     unit = lambda salt: F.pmod(F.xxhash64("__h", F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
     rate = F.coalesce(F.round(tilted(F.col("lam"), F.col("__size"), cap), 9), F.lit(0.0))
     first = F.when(F.col("__size") > 0, F.least(F.floor(rate + unit(1)), F.lit(cap)).cast("int")).otherwise(0)

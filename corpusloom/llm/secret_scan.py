@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, small_handover
+from .common import small_batches, small_handover, worker_keeps
 
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -195,6 +195,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("secrets")
         pair = default_pair() if samples is None else MarkovPair(samples)
         for whole in batches:
             for batch in small_batches(whole, text_col):

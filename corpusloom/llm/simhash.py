@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import hinted, shuffle_partitions, small_batches, small_handover, stored
+from .common import hinted, shuffle_partitions, small_batches, small_handover, stored, worker_keeps
 from .components import stars
 
 
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("simhash")
         for whole in batches:
             for batch in small_batches(whole, "__text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(batch.column(1).to_pylist(), shingle))], names=schema.names)
@@ -331,6 +332,7 @@ def _shingles(nodes: DataFrame, own: DataFrame, key: list[str], links: DataFrame
     texts = own.join(hinted(wanted, wanted.count()), key).select("node", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("simhash")
         for whole in batches:
             for batch in small_batches(whole, "__text"):
                 hashes, bounds = _shingle_hashes(batch.column(1).to_pylist(), words)
@@ -347,7 +349,7 @@ def _checked(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
     nearest = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     first = stored(_same_text(texts, nearest, similarity))
-    roots = stored(stars(first))
+    roots = stars(first)
     root = lambda c: roots.select(F.col("a").alias(c), F.col("b").alias(f"root_{c}"))
     placed = links.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = placed.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
@@ -375,6 +377,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([keyed.schema["__row"], *(T.StructField(f, T.LongType()) for f in _FPS), T.StructField("node", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("simhash")
         for whole in batches:
             for batch in small_batches(whole, "__text"):
                 words_ = [t.as_buffer().to_pybytes().lower().split() if t.is_valid else [] for t in batch.column(1)]
@@ -386,7 +389,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by = F.struct("__row.none", "__row.id")
     nodes = stored(prints.groupBy("node").agg(*(F.first(f).alias(f) for f in _FPS), F.min(by).alias("least"), F.min(F.struct(*(f"__row.{c}" for c in rows))).alias("row")))
     # Nodes of one sketch are linked to the smallest of them, which stands for them in the trees.
-    sketches = stored(nodes.groupBy(*_FPS).agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    sketches = nodes.groupBy(*_FPS).agg(F.min("node").alias("head"), F.count("*").alias("n"))
     heads = sketches.filter("n > 1").select(*_FPS, "head")
     members = nodes.join(heads, _FPS).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"), F.lit(0).cast("long").alias("apart"))
     side = lambda c, names: sketches.select(*(F.col(f).alias(n) for f, n in zip(_FPS, names)), F.col("head").alias(c))
@@ -404,7 +407,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest = F.row_number().over(W.partitionBy("root").orderBy(text_col))
     tied = own.select(*rows, text.alias(text_col)).join(several, rows).withColumn("__nth", smallest).filter("__nth = 1").select(*rows)
     single = first.join(first.groupBy("root").count().filter("count = 1"), "root").select(*rows)
-    survivors = stored(single.unionByName(tied))
+    survivors = single.unionByName(tied)
     # Rows that go, and rows that equal others, of which one stays, are few beside the rest, which is not shuffled for them.
     by_row = stored(prints.groupBy(*(F.col(f"__row.{c}").alias(c) for c in rows)).agg(F.count("*").alias("n")).join(survivors.withColumn("stays", F.lit(True)), rows, "left").filter("n > 1 or stays is null"))
     n = by_row.count()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, small_batches, small_handover, stored, stored_by
+from .common import shuffle_partitions, small_batches, small_handover, stored, stored_by, worker_keeps
 
 _U = np.uint64
 _BASE, _STEP = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -216,6 +216,7 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
     layout = spark.sparkContext.broadcast(Layout.of(rows.select("id", F.octet_length("text").alias("n")), wanted, max(1, total // wanted), fan))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("substrings")
         zip_one = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for batch in small_batches(whole, "text"):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, small_handover
+from .common import small_batches, small_handover, worker_keeps
 
 #: The pre-token pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -129,12 +129,6 @@ class PairMerger:
         return c
 
 
-@lru_cache(2)
-def merger(path: str) -> PairMerger:
-    """One per Python worker: tasks that follow reuse its table."""
-    return PairMerger(path)
-
-
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """Token counts of every whole text.
 
@@ -146,7 +140,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(tokenizer_path)
+        m = worker_keeps(("counts", tokenizer_path), lambda: PairMerger(tokenizer_path))  # tasks that follow reuse its table
         for whole in batches:
             for batch in small_batches(whole, "__text"):
                 texts = batch.column(1)

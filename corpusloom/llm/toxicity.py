@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, small_batches, small_handover, stored
+from .common import discard, small_batches, small_handover, stored, worker_keeps
 
 #: (terms, weights or counts) of one text.
 Sparse = tuple[np.ndarray, np.ndarray]
@@ -77,8 +77,8 @@ class BlockMaxIndex:
     def nearest(self, queries: list[Sparse], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (examples, cosines): the k highest above 0, highest first, ties to the smaller example."""
         out = []
-        for s in range(0, len(queries), 128):
-            out += self._nearest(queries[s : s + 128], k)
+        for s in range(0, len(queries), 64):
+            out += self._nearest(queries[s : s + 64], k)
         return out
 
     def _nearest(self, queries: list[Sparse], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -260,13 +260,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     is_toxic = (2 * F.col("toxic") >= F.col("rows")).cast("long")
     shares = distinct.agg(F.count("*"), F.sum(is_toxic), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "toxic", "n", "n_toxic"))).first()
     at = lambda df, c: (df.column("t").to_numpy(), df.column(c).to_numpy())
-    held = distinct.select(F.explode("terms").alias("t"), is_toxic.alias("y")).groupBy("t").agg(F.count("*").alias("rows"), F.sum("y").alias("toxic")).toArrow()  # a row a word
+    words_of = distinct.select(F.explode("terms").alias("t"), is_toxic.alias("y")).groupBy("t").agg(F.count("*").alias("rows"), F.sum("y").alias("toxic")).toArrow()  # a row a word
     toxic, rows = np.zeros(len(space)), np.zeros(len(space))
     for out, c in ((toxic, "toxic"), (rows, "rows")):
-        out[at(held, c)[0]] = at(held, c)[1]
+        out[at(words_of, c)[0]] = at(words_of, c)[1]
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a term and task, and the number of texts under -1."""
+        worker_keeps("toxicity")
         seen, n = np.zeros(len(known.value) + 1, np.int64), 0
         for whole in batches:
             for batch in small_batches(whole, "__text"):
@@ -308,6 +309,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     at = keep.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("toxicity")
         votes, space = model.value
         for whole in batches:
             for batch in small_batches(whole, text_col):

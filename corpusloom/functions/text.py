@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 WSC = r"\x09-\x0d\x1c-\x20\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
 # Words and letter groups that hint at a language.
-STOPWORDS = "el la los las de del y que no me mi con por para aqui ahora como porque una un en se yo".split()
+STOPWORDS = ["el", "la", "los", "las", "de", "del", "y", "que", "no", "me", "mi", "con", "por", "para", "aqui", "ahora", "como", "porque", "una", "un", "en", "se", "yo"]
 CLUSTERS = "sh|ku|na|pi|llu|wek|ñi"
 DOUBLE_QUOTES = '"“”«»'
 # Literals that a CSV reader takes for a missing value.

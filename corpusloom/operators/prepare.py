@@ -15,13 +15,6 @@ RULES: dict[str, Callable[[Column], Column]] = {
     "lowercase": F.lower, "remove_double_quotes": tx.without_quotes,
 }
 SIDES = ("ESP", "SHIWILU")
-#: Rules that are off unless named.
-OPTIONAL_RULES: dict[str, Callable[[Column], Column]] = {
-    "remove_parentheses": lambda c: F.regexp_replace(c, r"\(.*?\)", ""),
-    "remove_punctuation": lambda c: F.regexp_replace(c, r"[.,;:¡!¿?]", ""),
-    "unify_apostrophes": lambda c: F.translate(c, "’‘`´", "''''"),
-}
-
 
 def removal_reason(esp: Column, shi: Column) -> Column:
     """The first rule that a pair breaks; null for a valid pair."""
@@ -57,8 +50,7 @@ def cross_duplicates(df: DataFrame) -> DataFrame:
 def by_side(rules: list[str] | dict[str, list[tuple[str, Callable]]] | None) -> dict[str, list[tuple[str, Callable]]]:
     if isinstance(rules, dict):
         return {side: list(rules.get(side, ())) for side in SIDES}
-    known = RULES | OPTIONAL_RULES
-    return {side: [(r, known[r]) for r in (RULES if rules is None else rules) if r in known] for side in SIDES}
+    return {side: [(r, RULES[r]) for r in (RULES if rules is None else rules) if r in RULES] for side in SIDES}
 
 
 def normalize(df: DataFrame, rules: list[str] | dict[str, list[tuple[str, Callable]]] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -7,16 +7,16 @@ Paths are Spark's, so any store that Spark reaches will do; configurations are r
 from __future__ import annotations
 
 import argparse
+import time
 import warnings
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import embed, ids, lookup, prepare, vocabulary
+from ..operators import embed, ids, lookup, plot, prepare, vocabulary
 from ..sources import rules, tables
 from . import stages
 
@@ -25,7 +25,7 @@ ORIGINAL, NORMAL = ("ESP", "SHIWILU"), ("ESP_normalizado", "SHIWILU_normalizado"
 
 def text_table(spark: SparkSession, path: str, needed: Sequence[str] = ()) -> DataFrame:
     """A CSV table, all columns text, with `row_index` in file order; lacking columns raise ValueError."""
-    df = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").csv(path)
+    df = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").csv(tables.existing(spark, path))
     df = df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
     if lacking := [c for c in needed if c not in df.columns]:
         raise ValueError(f"{path} lacks {', '.join(lacking)}")
@@ -33,18 +33,21 @@ def text_table(spark: SparkSession, path: str, needed: Sequence[str] = ()) -> Da
     return ids.numbered(df, "__at", "row_index").drop("__at")
 
 
-def kept(result: stages.StageResult, spark: SparkSession, output: str, only_if_any: tuple[str, ...] = ()) -> str:
-    """Writes a stage's frames and summary; the report."""
+def kept(result: stages.StageResult, spark: SparkSession, output: str, only_if_any: tuple[str, ...] = (), started: float | None = None) -> str:
+    """Writes a stage's frames and summary, with the seconds since `started`; the report."""
     for name, frame in result.frames.items():
         if name in only_if_any:
-            tables.write_if_any(frame, f"{output}/{name}")
+            tables.write_if_any(frame, f"{output}/{name}", bom=True)
         else:
-            tables.write_csv(frame, f"{output}/{name}")
-    tables.write_summary(spark, result.summary(), f"{output}/summary")
-    return result.report()
+            tables.write_csv(frame, f"{output}/{name}", bom=True)
+    summary = result.summary()
+    elapsed = {} if started is None else {"elapsed_seconds": round(time.time() - started, 3)}
+    tables.write_summary(spark, elapsed | summary, f"{output}/summary")
+    return result.report(summary)
 
 
 def extract(spark, a):
+    tables.existing(spark, a.input)
     lines = tables.read_pdf_lines(spark, a.input) if a.input.lower().endswith(".pdf") else tables.read_lines(spark, a.input)
     if "page_no" in lines.columns:
         lines = lines.select("doc_id", (F.col("page_no").cast("long") * (1 << 32) + F.col("line_no")).alias("line_no"), "line")
@@ -63,9 +66,7 @@ def unify(spark, a):
             continue
         try:
             frame = tables.standardise(text_table(spark, source.path), source, "row_index")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        except FileNotFoundError:
             frame = None
         if frame is None:
             warnings.warn(f"source {source.name} is passed over: no such file or columns", stacklevel=1)
@@ -92,23 +93,29 @@ def _sides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def train(spark, a):
+    started = time.time()
     sentences = vocabulary.sentences(_sides(spark, a.input), "row_index").select("tokens")
     model = embed.train(sentences, a.vector_size, a.window, a.min_count, a.epochs)
     model.write().overwrite().save(f"{a.output}/model")
     embed.save_text(model, f"{a.output}/vectors")
     found = lookup.validate(model)
     sizes = sentences.agg(F.count("*").alias("sentences"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"))
-    return kept(stages.StageResult({"probes": found}, {"corpus": sizes, "probes": found.orderBy("query", "rank")}), spark, a.output)
+    return kept(stages.StageResult({"probes": found}, {"corpus": sizes, "probes": found.orderBy("query", "rank")}), spark, a.output, started=started)
 
 
 def embed_(spark, a):
-    pairs = _sides(spark, a.input)
+    """Vectors by hashing, a stand-in that carries no meaning beyond shared words; the report says so."""
+    started, pairs = time.time(), _sides(spark, a.input)
     made = embed.embed_pairs(pairs, embed.hashed_encoder(a.vector_size))
     made.write.mode("overwrite").parquet(f"{a.output}/vectors")
+    if a.npy:
+        for side in ("esp_vector", "shi_vector"):
+            tables.write_npy(spark.read.parquet(f"{a.output}/vectors"), "pair_id", side, f"{a.output}/{side}.npy")
     scored = spark.read.parquet(f"{a.output}/vectors").select("pair_id", tx.cosine(F.col("esp_vector"), F.col("shi_vector")).alias("similarity_score"))
     texts = pairs.select("pair_id", *(F.col(o).alias(n) for n, o in zip(NORMAL, ORIGINAL)))
     result = stages.compare_stage(scored, "pair_id")
-    return kept(stages.StageResult({"scores": texts.join(scored, "pair_id"), "extremes": result.frames["extremes"]}, result.figures), spark, a.output)
+    stand_in = "vectors: hashed words, a stand-in for a pretrained encoder\n"
+    return stand_in + kept(stages.StageResult({"scores": texts.join(scored, "pair_id"), "extremes": result.frames["extremes"]}, result.figures), spark, a.output, started=started)
 
 
 def compare(spark, a):
@@ -126,7 +133,18 @@ def similar(spark, a):
     return "\n".join(f"{r['word']}\t{r['similarity_score']:.4f}" for r in found.orderBy("rank").collect())  # `limit` rows
 
 
-STAGES = {"extract": extract, "filter": filter_, "unify": unify, "normalize": normalize, "audit": audit, "train": train, "embed": embed_, "compare": compare, "search": search, "similar": similar}
+def picture(spark, a):
+    """Coordinates and a scatter plot of the words of both sides, out of a trained model."""
+    pairs = text_table(spark, a.input, ("pair_id", *NORMAL))
+    model = Word2VecModel.load(f"{tables.existing(spark, a.model)}/model")
+    points = plot.placed(plot.labelled_vectors(plot.words_by_side(pairs, a.max_words), embed.vectors(model))).persist()
+    highlight = tuple(a.highlight.split(",")) if a.highlight else ()
+    tables.write_bytes(spark, plot.scatter_png(points, highlight), f"{a.output}/words.png")
+    tables.write_csv(points, f"{a.output}/points", bom=True)
+    return "\n".join([f"points: {points.count()}", *plot.shown(points, highlight)])
+
+
+STAGES = {"extract": extract, "filter": filter_, "unify": unify, "normalize": normalize, "audit": audit, "train": train, "embed": embed_, "compare": compare, "search": search, "similar": similar, "picture": picture}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -143,6 +161,12 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--rules")
         if name in ("train", "embed"):
             p.add_argument("--vector-size", type=int, default=50 if name == "train" else 384)
+        if name == "embed":
+            p.add_argument("--npy", action="store_true")
+        if name == "picture":
+            p.add_argument("--model", required=True)
+            p.add_argument("--max-words", type=int, default=800)
+            p.add_argument("--highlight")
         if name == "train":
             p.add_argument("--window", type=int, default=3)
             p.add_argument("--min-count", type=int, default=1)

@@ -16,17 +16,27 @@ class StageResult:
 
     frames: dict[str, DataFrame]
     figures: dict[str, DataFrame] = field(default_factory=dict)
+    #: Names of frames in order whose first rows a report shows.
+    shown: tuple[str, ...] = ()
 
     def summary(self) -> dict:
         """The figures as plain values; this is what runs them."""
         return {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in self.figures.items()}
 
-    def report(self) -> str:
-        """The summary as text."""
+    def previews(self, n: int = 5) -> dict[str, list[dict]]:
+        """The first rows of each frame that is in order."""
+        return {name: [r.asDict() for r in self.frames[name].limit(n).collect()] for name in self.shown}
+
+    def report(self, summary: dict | None = None) -> str:
+        """The summary as text: counts with their share of the figure's sum, then the first rows of frames in order."""
         out = []
-        for name, rows in self.summary().items():
+        for name, rows in (summary or self.summary()).items():
             out.append(f"== {name}")
-            out += ["  " + ", ".join(f"{k}: {v}" for k, v in r.items()) for r in rows]
+            counts = [r.get("n", r.get("count")) for r in rows]
+            total = sum(counts) if len(rows) > 1 and all(isinstance(c, int) for c in counts) else 0
+            out += ["  " + ", ".join(f"{k}: {v}" for k, v in r.items()) + (f" ({100 * c / total:.1f} %)" if total else "") for r, c in zip(rows, counts)]
+        for name, rows in self.previews().items():
+            out += [f"== first of {name}", *("  " + ", ".join(f"{k}: {v}" for k, v in r.items()) for r in rows)]
         return "\n".join(out)
 
 
@@ -35,8 +45,8 @@ def _rows(**frames: DataFrame) -> dict[str, DataFrame]:
 
 
 def extract_stage(lines: DataFrame) -> StageResult:
-    pairs = extract.parallel_table(extract.numbered_items(lines))
-    return StageResult({"pairs": pairs}, {**_rows(pairs=pairs), "quality": extract.flag_counts(pairs).orderBy(F.desc("n"), "quality_flag")})
+    pairs = extract.parallel_table(extract.numbered_items(lines)).orderBy("texto_id", "item_number", "doc_id")
+    return StageResult({"pairs": pairs}, {**_rows(pairs=pairs), "quality": extract.flag_counts(pairs).orderBy(F.desc("n"), "quality_flag")}, ("pairs",))
 
 
 def filter_stage(raw: DataFrame) -> StageResult:
@@ -47,7 +57,7 @@ def filter_stage(raw: DataFrame) -> StageResult:
 def unify_stage(concatenated: DataFrame) -> StageResult:
     unified = prepare.unify(concatenated)
     crossed = prepare.cross_duplicates(unified).orderBy("duplicate_group", "source", "pair_id")
-    return StageResult({"unified": unified, "cross_duplicates": crossed}, {**_rows(unified=unified, cross_duplicates=crossed), "sources": unified.groupBy("source").count().orderBy("source")})
+    return StageResult({"unified": unified, "cross_duplicates": crossed}, {**_rows(unified=unified, cross_duplicates=crossed), "sources": unified.groupBy("source").count().orderBy("source")}, ("cross_duplicates",))
 
 
 def normalize_stage(unified: DataFrame, rules: list[str] | dict | None = None) -> StageResult:
@@ -66,4 +76,4 @@ def audit_stage(normalized: DataFrame) -> StageResult:
 
 def compare_stage(scores: DataFrame, key: str, threshold: float = 0.3) -> StageResult:
     low = vectors.below(scores, threshold).orderBy("similarity_score", key)
-    return StageResult({"low_similarity": low, "extremes": vectors.extremes(scores, key)}, {**_rows(scores=scores, low_similarity=low), "distribution": vectors.distribution(scores), "percentiles": vectors.percentiles(scores)})
+    return StageResult({"low_similarity": low, "extremes": vectors.extremes(scores, key)}, {**_rows(scores=scores, low_similarity=low), "distribution": vectors.distribution(scores), "percentiles": vectors.percentiles(scores)}, ("low_similarity",))

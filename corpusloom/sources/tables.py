@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,19 +25,57 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return df.select(*(tx.blank_to_null(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema))
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """Header and quoting as read_csv reads them, for empty tables too."""
+def write_csv(df: DataFrame, path: str, single: bool = False, bom: bool = False) -> None:
+    """Header and quoting as read_csv reads them, for empty tables too; with `bom` each file starts with a byte order mark,
+    as spreadsheets want it."""
     out = df.coalesce(1) if single else df
+    if bom and df.columns:
+        out = out.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     out.write.mode("overwrite").options(header=True, escape='"', quoteAll=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def write_if_any(df: DataFrame, path: str) -> bool:
+def write_if_any(df: DataFrame, path: str, **options) -> bool:
     if df.isEmpty():
         return False
-    write_csv(df, path)
+    write_csv(df, path, **options)
     return True
 
 
+def write_bytes(spark: SparkSession, body: bytes, path: str) -> None:
+    """One file in a store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+
+
+def existing(spark: SparkSession, path: str) -> str:
+    """The path, or FileNotFoundError if nothing is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(f"no such input: {path}")
+    return path
+
+
+def write_npy(vectors: DataFrame, order: str, column: str, path: str, most_rows: int = 1_000_000) -> None:
+    """A float32 matrix of the vectors in the order of a column, as one .npy file; more than `most_rows` raise ValueError
+    (write Parquet then)."""
+    rows = vectors.select(order, column).orderBy(order).limit(most_rows + 1).toArrow()
+    if rows.num_rows > most_rows:
+        raise ValueError(f"more than {most_rows} rows in one matrix")
+    out = io.BytesIO()
+    np.save(out, np.array(rows.column(column).to_pylist(), np.float32))
+    write_bytes(vectors.sparkSession, out.getvalue(), path)
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(row, vector) of a .npy matrix."""
+    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.load(io.BytesIO(raw)))], "row long, vector array<float>")
+
+
 def write_summary(spark: SparkSession, summary: dict, path: str) -> None:
     """One JSON text with a UTC timestamp, in a store that Spark reaches."""
     body = json.dumps({"timestamp": datetime.now(timezone.utc).isoformat(), **summary}, ensure_ascii=False, indent=2)

@@ -1,11 +1,14 @@
 import csv
 import json
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import embed, lookup, prepare
+from corpusloom.operators import embed, lookup, plot, prepare
 from corpusloom.plans.commands import run
+from corpusloom.sources import tables
 from corpusloom.sources.rules import RuleBook, read_rules
 
 
@@ -17,6 +20,7 @@ def put(path, rows):
 
 def got(spark, path):
     df = spark.read.options(header=True, multiLine=True, escape='"').csv(str(path))
+    df = df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns})
     return sorted((r.asDict() for r in df.collect()), key=str)
 
 
@@ -63,12 +67,26 @@ def test_commands_from_raw_rows_to_flags(spark, tmp_path):
     assert summary["by_type"] == [{"problem_type": "exact_duplicate", "n": 2}] and summary["timestamp"].endswith("+00:00")
     run(spark, ["embed", "--input", o("3/normalized"), "--output", o("5"), "--vector-size", "16"])
     assert len(got(spark, tmp_path / "5/scores")) == 4
+    said = run(spark, ["embed", "--input", o("3/normalized"), "--output", o("5b"), "--vector-size", "16", "--npy"])
+    assert said.startswith("vectors: hashed words") and "elapsed_seconds" in "".join(r["value"] for r in spark.read.text(o("5b/summary")).collect())
+    matrix = np.load(o("5b/esp_vector.npy"))
+    stored = [r["esp_vector"] for r in spark.read.parquet(o("5b/vectors")).orderBy("pair_id").collect()]
+    assert matrix.shape == (4, 16) and np.allclose(matrix, stored)
+    assert [r["vector"] for r in tables.read_npy(spark, o("5b/esp_vector.npy")).orderBy("row").collect()] == stored
+    with open(next((tmp_path / "3/normalized").glob("part-*")), "rb") as f:
+        assert f.read(3) == b"\xef\xbb\xbf"
     run(spark, ["compare", "--input", o("5/scores"), "--output", o("6")])
     assert len(got(spark, tmp_path / "6/extremes")) == 8
     assert "U00001" in run(spark, ["search", "--input", o("3/normalized"), "--pattern", "AGUA", "--limit", "1"])
     run(spark, ["train", "--input", o("3/normalized"), "--output", o("7"), "--vector-size", "8", "--epochs", "1"])
     assert len(run(spark, ["similar", "--input", o("7"), "--word", "agua", "--limit", "2"]).splitlines()) == 2
     assert spark.read.text(o("7/vectors")).first()[0].split()[1] == "8"
+    said = run(spark, ["picture", "--input", o("3/normalized"), "--model", o("7"), "--output", o("9"), "--highlight", "agua"])
+    assert said.splitlines()[1:] == ["agua"] and open(o("9/words.png"), "rb").read(8) == b"\x89PNG\r\n\x1a\n"
+    assert {r["label"] for r in got(spark, tmp_path / "9/points")} == {"ESP", "SHIWILU"}
+    for stage, more in (("filter", []), ("extract", []), ("audit", []), ("picture", ["--model", o("7")])):
+        with pytest.raises(FileNotFoundError, match="no such input"):
+            run(spark, [stage, "--input", o("nowhere"), "--output", o("8"), *more])
     with pytest.raises(ValueError, match="lacks"):
         run(spark, ["filter", "--input", o("4/problems"), "--output", o("8")])
 
@@ -100,3 +118,29 @@ def test_lookups(spark):
     for bad in ("st a", "st a|b|c", "ft", "hola"):
         with pytest.raises(ValueError):
             lookup.parse_command(bad)
+
+
+def test_pdf_pages_through_a_reader(spark, tmp_path):
+    """A stand-in for the PDF reader: pages are parts of a text file."""
+    (tmp_path / "pypdf.py").write_text("class _Page:\n    def __init__(self, t):\n        self.t = t\n    def extract_text(self):\n        return self.t\nclass PdfReader:\n    def __init__(self, raw):\n        self.pages = [_Page(t) for t in raw.read().decode().split('\\f')]\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "pypdf.py"))
+    (tmp_path / "book.pdf").write_text("TEXTO 1\n1. nanek asu' wek\n\fel hombre y la mujer\n2. pi'la\n", encoding="utf-8")
+    lines = tables.read_pdf_lines(spark, str(tmp_path / "book.pdf")).orderBy("page_no", "line_no").collect()
+    assert [(r["page_no"], r["line_no"], r["line"]) for r in lines] == [(0, 0, "TEXTO 1"), (0, 1, "1. nanek asu' wek"), (1, 0, "el hombre y la mujer"), (1, 1, "2. pi'la")]
+    said = run(spark, ["extract", "--input", str(tmp_path / "book.pdf"), "--output", str(tmp_path / "x")])
+    assert "first of pairs" in said and "50.0 %" in said
+    assert [(r["pair_id"], r["ESP"]) for r in got(spark, tmp_path / "x/pairs")] == [("T001_N001", "el hombre y la mujer"), ("T001_N002", None)]
+
+
+def test_clusters_stay_apart_in_a_picture(spark):
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(size=(40, 10)) + 9 * k for k in range(3)])
+    y = plot.tsne(x, perplexity=15, iterations=400)
+    kind = np.repeat(np.arange(3), 40)
+    near = np.argsort(((y[:, None] - y[None]) ** 2).sum(2), axis=1)[:, 1:6]
+    assert (kind[near] == kind[:, None]).mean() > 0.95
+    points = spark.createDataFrame([("ESP", f"w{i}", float(a), float(b)) for i, (a, b) in enumerate(y)], "label string, word string, x double, y double")
+    png = plot.scatter_png(points, ("w3",), 200, 100)
+    raw = zlib.decompress(png[png.index(b"IDAT") + 4 : png.index(b"IEND") - 8])
+    assert len(raw) == 100 * (1 + 3 * 200) and bytes(plot.COLOURS["ESP"]) in raw and bytes(plot.RING) in raw
+    assert len(plot.shown(points)) == 60 and plot.shown(points, ("w3",)) == ["w3"] and plot.tsne(x[:2]).shape == (2, 2)

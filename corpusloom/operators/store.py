@@ -21,18 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors. The table goes
-    when the application ends, or earlier by discard()."""
+    when the application ends, or earlier by discard(). Where a bound of its (narrow) rows is known it is written in
+    files of about a million."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 1_000_000)))
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at, system = _folder(spark, path)
+    at, system = folder(spark, path)
     system.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -42,5 +45,5 @@ def stored(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes stored tables that nothing will read again."""
     for df in tables:
-        at, system = _folder(df.sparkSession, df._stored_at)
+        at, system = folder(df.sparkSession, df._stored_at)
         system.delete(at, True)

@@ -5,9 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -17,6 +14,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import discard, folder, shared_dir, stored  # noqa: F401
+
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,52 +24,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, spark.checkpoint.dir. Where it is unset a local folder serves a local master
-    (as in tests); on a cluster that is an error, since each executor would write to its own disk."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
-    return where.rstrip("/")
-
-
-def _folder(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts lineage, survives lost executors. The table goes
-    when the application ends, or earlier by discard(). Where a bound of its (narrow) rows is known it is written in
-    files of about a million."""
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // 1_000_000)))
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at, system = _folder(spark, path)
-    system.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes stored tables that nothing will read again."""
-    for df in tables:
-        at, system = _folder(df.sparkSession, df._stored_at)
-        system.delete(at, True)
-
-
 def stored_by(df: DataFrame, key: str, n: int) -> DataFrame:
     """df as a table in the shared folder in n hash buckets of `key`: groups of it are found where they are, without
     another shuffle. Its files and its name in the catalogue last as long as the application."""
     spark, name = df.sparkSession, f"corpusloom_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
-    at, system = _folder(spark, path)
+    at, system = folder(spark, path)
     system.deleteOnExit(at)
     return spark.table(name)
 

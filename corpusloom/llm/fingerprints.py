@@ -41,8 +41,9 @@ def _tables(base: int, bits: int) -> list[int]:
 def sketch_sql(digests: str, base: int = 0, bits: int = 3) -> str:
     """Cells of an array of digests: three tables of 2^bits; `base` chooses the bits that place a digest."""
     m = (1 << bits) - 1
-    put = lambda shift: f"if((shiftrightunsigned(d, {shift}) & {m}L) = j, named_struct('c', a.c + 1, 'k', a.k ^ d, 'h', a.h ^ {_check('d')}), a)"
-    one = lambda shift: f"transform(sequence(0L, {m}L), j -> aggregate({digests}, {_EMPTY}, (a, d) -> {put(shift)}))"
+    own = lambda shift: f"filter({digests}, d -> (shiftrightunsigned(d, {shift}) & {m}L) = j)"
+    put = f"named_struct('c', a.c + 1, 'k', a.k ^ d, 'h', a.h ^ {_check('d')})"
+    one = lambda shift: f"transform(sequence(0L, {m}L), j -> aggregate({own(shift)}, {_EMPTY}, (a, d) -> {put}))"
     return f"concat({', '.join(map(one, _tables(base, bits)))})"
 
 

@@ -181,8 +181,20 @@ def find_spans(text: str, pair: MarkovPair, threshold: float = 12.0) -> list[tup
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: list[tuple[str, int]] | None = None, threshold: float = 12.0, redact: str | None = None) -> DataFrame:
-    """Spans of secrets in every whole text, in code points with exclusive ends.
+def trained(samples: DataFrame | Iterable[tuple[str, int]] | None, most_samples: int = 100_000) -> MarkovPair:
+    """The models of labelled samples (text, 1 if drawn at random): at most `most_samples` rows of a table, those of smallest
+    hash, without null texts; without samples, of those drawn here."""
+    if samples is None:
+        return default_pair()
+    if isinstance(samples, DataFrame):
+        text, label = samples.columns[:2]
+        rows = samples.filter(F.col(text).isNotNull()).orderBy(F.xxhash64(text), text, label).limit(most_samples).collect()
+        samples = [(r[text], r[label]) for r in rows]
+    return MarkovPair(samples)
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | list[tuple[str, int]] | None = None, threshold: float = 12.0, redact: str | None = None) -> DataFrame:
+    """Spans of secrets in every whole text, in code points with exclusive ends; `samples` go to trained().
 
     Returns docs' columns and `secret_spans` array<struct<kind,start,end>>; a column of that name in docs is
     replaced. With `redact`, the text's spans are replaced by that string (overlapping spans together by one). A
@@ -192,11 +204,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = [c for c in docs.columns if c != "secret_spans"]
     at = keep.index(text_col)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("secret_spans", T.ArrayType(SPAN))])
+    models = docs.sparkSession.sparkContext.broadcast(trained(samples))  # pairs of characters times characters
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps("secrets")
-        pair = default_pair() if samples is None else MarkovPair(samples)
+        pair = models.value
         for whole in batches:
             for batch in small_batches(whole, text_col):
                 texts = batch.column(at).to_pylist()

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -135,6 +136,35 @@ def test_secret_patterns_follow_the_contract():
     assert spans("g" + "a" * 31) == [] and spans("G" + "a" * 32) == [("hex", 1, 33)]
 
 
+def test_base_spans_by_brute_force(spark):
+    """The contract's three patterns as they are written there, over a table."""
+    patterns = {
+        "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
+        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+        "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+    }
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    texts, total = dict(edge_rows(docs)), Counter()
+    for r in queries.op2_secret_scan(spark, f"{DATA}/sf0.01").collect():
+        found = [(m.start(), n, k, m.end()) for n, (k, (p, ok)) in enumerate(patterns.items()) for m in p.finditer(texts[r["doc_id"]] or "") if ok(m)]
+        spans = [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+        assert r["base_sha256"] == sha(",".join(spans)) and [x for x in r["spans"].split(",") if x and not x.startswith("markov")] == spans
+        counts = Counter(k for _, _, k, _ in found)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(counts[k] for k in patterns)
+        total.update(counts)
+    assert len(texts) == 1000 and all(total[k] for k in patterns)
+
+
+def test_models_of_a_table_of_samples(spark, edge):
+    samples = spark.createDataFrame([*secret_scan.labelled_samples(800, seed=5), (None, 1)], "text string, label int")
+    drawn, ordinary = "Zk3vQ9xT2mLp7Rw8Yb4NdGhpcyBp", "some_ordinary_identifier_name"
+    for rows in (samples, list(secret_scan.labelled_samples(800, seed=5))):
+        pair = secret_scan.trained(rows)
+        assert pair.score(drawn) > 12 > pair.score(ordinary)
+    docs = spark.createDataFrame([(1, f"see {drawn} and {ordinary}")], "doc_id long, text string")
+    assert secret_scan.digests(secret_scan.scan_secrets(docs, samples=samples)).first()["spans"] == f"markov:4:{4 + len(drawn)}"
+
+
 def test_markov_models_tell_held_out_samples_apart():
     pair = secret_scan.default_pair()
     held = list(secret_scan.labelled_samples(1000, seed=99))
@@ -266,10 +296,11 @@ def test_shared_passages_are_encoded_once():
     assert c.encoded - before <= 3 and c.reused >= 5
 
 
-def test_token_counts(edge, nothing, library):
-    got = as_rows(token_counts.count_tokens(edge, PATH), "doc_id", "n_bytes", "n_tokens", "over_limit")
-    want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in edge_rows(edge)]
-    assert got == sorted(want, key=repr)
+def test_token_counts(spark, edge, nothing, library):
+    for df in (edge, spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")):
+        got = as_rows(token_counts.count_tokens(df, PATH), "doc_id", "n_bytes", "n_tokens", "over_limit")
+        want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in edge_rows(df)]
+        assert got == sorted(want, key=repr)
     assert token_counts.count_tokens(nothing, PATH).count() == 0
 
 
@@ -563,8 +594,6 @@ def test_no_rows_no_shards(nothing):
 
 
 def paragraphs(text):
-    import re
-
     return {p for line in text.split("\n") if line for p in (re.split(r"(?<=[.!?]) ", line) if len(line) > 240 else [line])}
 
 

@@ -52,6 +52,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _held: dict = {}
 
 
@@ -60,10 +68,7 @@ def worker_keeps(key, make: Callable[[], Any] = lambda: None) -> Any:
     kept goes first, and its memory back to the system."""
     if key not in _held:
         _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
         _held[key] = make()
     return _held[key]
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, small_batches, small_handover, stored, worker_keeps
+from .common import discard, small_batches, small_handover, stored, trim, worker_keeps
 
 #: (terms, weights or counts) of one text.
 Sparse = tuple[np.ndarray, np.ndarray]
@@ -305,6 +305,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     votes, space = fit(docs, labels, id_col, text_col, **learning)
     model = docs.sparkSession.sparkContext.broadcast((votes, space))
+    del votes, space
+    trim()
     keep = [c for c in docs.columns if c not in _SCORE.names]
     at = keep.index(text_col)
 

@@ -103,6 +103,13 @@ def test_windows_of_one_hash_are_told_apart():
     assert substrings._found(2, keys, whose, np.array([1, 1, 2, 3, 3, 2], np.uint32)).tolist() == [False, True, False, False, True, False]
 
 
+def test_empty_tables_give_empty_results(nothing):
+    got = substrings.digests(substrings.drop_repeats(nothing))
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"] and got.count() == 0
+    got = secret_scan.digests(secret_scan.scan_secrets(nothing))
+    assert got.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"] and got.count() == 0
+
+
 def test_texts_are_shuffled_once(spark):
     """After the buckets are stored, no exchange carries texts."""
     plan = substrings.drop_repeats(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
@@ -238,6 +245,25 @@ def test_neighbours_recall_on_the_table(spark, sf):
     assert recall_of(got, v["vec_id"].to_numpy(), np.stack(v["embedding"]).astype(float)) >= 0.9
 
 
+def test_repeated_ids_over_several_partitions(spark):
+    """Rows of a query's own id are no candidates, repeated rows are each one, and k rows come of partitions that hold fewer."""
+    x = clustered(300, 4)
+    ids = np.arange(300) % 130 * 50
+    x[260:] = x[130:170]  # whole rows again
+    got = defaultdict(list)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    for r in neighbours.nearest_neighbours(df, parts=16, wanted=1.0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {i for i in ids.tolist() if i % 100 == 0} and all([n for n, _, _ in sorted(v)] == list(range(1, 11)) for v in got.values())
+    exact = 0
+    for q, rows in got.items():
+        own = min((x[ids == q]).tolist())
+        want = sorted((float(np.sqrt(((c - own) ** 2).sum())), int(i)) for i, c in zip(ids, x) if i != q)[:10]
+        assert all(i != q for _, i, _ in rows)
+        exact += [i for _, i, _ in sorted(rows)] == [i for _, i in want]
+    assert exact >= 0.9 * len(got)
+
+
 @pytest.mark.parametrize("options", [{}, {"parts": 32, "most_parts": 4, "block": 300}])
 def test_neighbours_of_clusters_by_few_partitions(spark, options):
     """One and two levels of partitions, small blocks; a vector that many ids share; fewer rows than k in a partition."""
@@ -785,6 +811,13 @@ def test_pipeline_stages_on_edges(spark, edge, nothing):
             kept[name] = docs.count()
             if name != "bpe":
                 assert docs.columns == df.columns and docs.schema.simpleString() == df.schema.simpleString()
+            if df is edge and name == "toxicity":
+                assert as_rows(docs, "doc_id", "text") == as_rows(df, "doc_id", "text")  # none of them is toxic
+            if df is edge and name == "near-duplicates":
+                numbered = {10**9 + n if i is None else i: (i, t) for n, (i, t) in sorted(enumerate(edge_rows(df)), reverse=True)}
+                assert as_rows(docs, "doc_id", "text") == sorted((numbered[i] for i in brute_survivors([(n, t) for n, (_, t) in numbered.items()])), key=repr)
+            if df is edge and name == "secrets":
+                assert docs.filter("doc_id = 15").first()["text"] == '[secret]" [secret] x'
     assert set(kept.values()) == {0}
 
 

@@ -561,7 +561,7 @@ def sample_pair_comparison(spark, sf_dir):
     return out.select("k", "row_id", F.substring("ESP", 1, 50).alias("esp"), F.substring("SHIWILU", 1, 50).alias("shiwilu"), _r("similarity_score").alias("sentence_score"), _r("avg_word_score").alias("avg_word_score"), _r("difference").alias("difference"))
 
 
-# ---------------------------------------------------------------- models (no SQL form)
+# ---------------------------------------------------------------- models (all but the last without a SQL form)
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -593,8 +593,15 @@ def pca_2d(spark, sf_dir):
     return embed.coordinates(read(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "label", "x", "y")
 
 
-@query()
+_side = lambda i, c, role: f"""SELECT row_id, {i} AS side, unnest({_tok(f"lower('{role}: ' || trim(coalesce({c}, '')))")}) AS w FROM p"""
+_HASHED = f"""{_P}, t AS ({_side(0, '"ESP"', 'query')} UNION ALL {_side(1, '"SHIWILU"', 'passage')}),
+  v AS (SELECT row_id, side, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS i, CAST(sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM t GROUP BY 1, 2, 3),
+  n AS (SELECT row_id, sum(x * x) FILTER (side = 0) AS a, sum(x * x) FILTER (side = 1) AS b FROM v GROUP BY 1),
+  d AS (SELECT v.row_id, sum(v.x * o.x) AS d FROM v JOIN v o ON v.row_id = o.row_id AND v.i = o.i AND v.side = 0 AND o.side = 1 GROUP BY 1)"""
+
+
+@query(f"WITH {_HASHED} SELECT row_id AS pair_id, round(coalesce(d, 0) / nullif(sqrt(a) * sqrt(b), 0), 6) AS similarity_score FROM n LEFT JOIN d USING (row_id)")
 def encoded_pairs(spark, sf_dir):
     p = pairs(spark, sf_dir).withColumnRenamed("row_id", "pair_id")
     v = embed.embed_pairs(p, embed.hashed_encoder(64))
-    return v.select("pair_id", tx.cosine(F.col("esp_vector"), F.col("shi_vector")).alias("similarity_score"))
+    return v.select("pair_id", F.round(tx.cosine(F.col("esp_vector"), F.col("shi_vector")), 6).alias("similarity_score"))

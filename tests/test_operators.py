@@ -209,3 +209,13 @@ def test_vocabulary_ties_by_first_occurrence(spark):
     c = vocabulary.counts(df, F.col("text"), "lang", "o")
     assert [r["token"] for r in sorted(vocabulary.most_common(c, "lang").collect(), key=lambda r: r["rank"])] == ["b", "a", "z", "c"]
     assert tuple(vocabulary.stats(c, "lang").first())[1:] == (6, 4, "0.6667", 2)
+
+
+def test_coordinates_agree_with_numpy(spark, data):
+    df = spark.read.parquet(f"{data}/sf0.001/embeddings.parquet")
+    got = embed.coordinates(df, "embedding").select("embedding", "x", "y").collect()
+    m = np.array([r["embedding"] for r in got], float)
+    _, axes = np.linalg.eigh(np.cov(m.T))
+    for name, axis in (("x", axes[:, -1]), ("y", axes[:, -2])):
+        want, own = m @ axis, np.array([r[name] for r in got])
+        assert np.allclose(own, want, atol=1e-6) or np.allclose(own, -want, atol=1e-6)

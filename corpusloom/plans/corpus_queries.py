@@ -568,8 +568,8 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.sentences(pairs(spark, sf_dir), "row_id").select("tokens")
 
 
-#: Vectors of the size that the command trains by default, in fewer epochs.
-_MODEL = {"vector_size": 50, "epochs": 3}
+#: Vectors of the size that the command trains by default, in fewer epochs and variants.
+_MODEL = {"vector_size": 50, "epochs": 1, "variants": 2}
 
 
 @query()

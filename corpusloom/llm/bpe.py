@@ -95,7 +95,7 @@ class ChunkCodec:
     """Encodes texts by chunks as the tokenizers library encodes them whole; `kept` and `words`
     bound the characters of chunks and the pre-tokens held."""
 
-    def __init__(self, path: str, kept: int = 4_000_000, words: int = 300_000):
+    def __init__(self, path: str, kept: int = 4_000_000, words: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

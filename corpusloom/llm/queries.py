@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, neighbours, secret_scan, sharding, simhash, substrings, token_counts, toxicity
+from . import alignment, bpe, fingerprints, infill, mixing, neighbours, packing, secret_scan, sharding, simhash, substrings, token_counts, toxicity
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,6 +54,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 #: Windows of 20 words numbered by first appearance; a word goes if a later appearance covers it.
@@ -89,4 +104,23 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM w LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL}
+#: The three parts by their lengths; SQL puts them together from the text, so that what is rebuilt is the text.
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), r AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+         ('0x' || h[17:24])::BIGINT % 100 AS applied, ('0x' || h[25:32])::BIGINT % 100 AS turned FROM d
+), f AS (
+  SELECT *, least(x, y) AS i, greatest(x, y) AS j,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR applied >= 90 THEN 'plain' WHEN turned < 20 THEN 'spm' ELSE 'psm' END AS form FROM r
+), o AS (
+  SELECT *, substring(t, 1, i) AS p, substring(t, i + 1, j - i) AS m, substring(t, j + 1, n - j) AS s FROM f
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(i AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(j - i AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM o
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL, "op12_fill_in_middle": _OP12_SQL}

@@ -25,14 +25,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored_by(df: DataFrame, key: str, n: int) -> DataFrame:
-    """df as a table in the shared folder in n hash buckets of `key`: groups of it are found where they are, without
-    another shuffle. Its files and its name in the catalogue last as long as the application."""
+    """df as a table in the shared folder in n hash buckets of `key`, within Spark's limit of buckets: groups of it are found
+    where they are, without another shuffle. Its files last as long as the application; its name leaves the catalogue
+    at once, since the result is resolved already."""
     spark, name = df.sparkSession, f"corpusloom_{uuid.uuid4().hex}"
+    n = table_buckets(spark, n)
     path = f"{shared_dir(spark)}/{name}"
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     at, system = folder(spark, path)
     system.deleteOnExit(at)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return out
+
+
+def table_buckets(spark: SparkSession, wanted: int) -> int:
+    """As many of the wanted buckets as a table may have; rows of several keys share one beyond."""
+    return max(1, min(wanted, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))))
 
 
 #: A side of a join of at most so many rows is broadcast; beyond, the join shuffles.

@@ -14,8 +14,9 @@ Hashes go from buckets to parts of the hash space. With many of both, pieces wou
 beyond `fan` parts they take two hops: to one of `fan` superparts, where the pieces of `fan` neighbouring buckets are
 put together by part, and from there to the part; answers return the same way. Buckets and parts keep their size.
 
-Step (1)'s hashes may be coarse, since (2) tests whole windows. Windows are taken as equal if two hashes of all their
-words agree, of 64 and 32 bits: of 10^12 candidate windows of different words that makes 10^-5 expected false pairs.
+Step (1)'s hashes may be coarse, since (2) tests whole windows. Windows are taken as equal if two hashes agree, of 64 and 32
+bits, each made from another half of the 128-bit hashes of their words: of 10^12 candidate windows of different words that
+makes 10^-5 expected false pairs.
 """
 
 from __future__ import annotations
@@ -26,18 +27,17 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, small_batches, small_handover, stored, stored_by, worker_keeps
+from .common import discard, shuffle_partitions, small_batches, small_handover, stored, stored_by, worker_keeps
 
 _U = np.uint64
-_BASE, _STEP = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-#: For the second hash of a window: what its words are mixed with, and its step.
-_SALT, _STEP2 = 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
-_PIECE = 1 << 20
+#: Steps of the two hashes of a window.
+_STEP, _STEP2 = 0xA0761D6478BD642F, 0x589965CC75374CC3
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -46,39 +46,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text); words are runs of other than ASCII white space."""
-    hashes, counts = [], []
-    i = 0
-    while i < len(texts):
-        j, held = i, 0
-        while j < len(texts) and (j == i or held + len(texts[j]) < _PIECE):
-            held += len(texts[j]) + 1
-            j += 1
-        raw = np.frombuffer(b"\n".join([*texts[i:j], b""]), np.uint8)
-        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        edge = np.diff(np.concatenate([[1], blank.view(np.int8), [1]]))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        # Sums of byte values times falling powers; a difference, raised by its start, depends on the word alone.
-        up, down = _powers(len(raw) + 1)
-        sums = np.concatenate([[_U(0)], np.cumsum(_mix(raw.astype(_U) + _U(1)) * down[: len(raw)])])
-        hashes.append(_mix((sums[end] - sums[start]) * up[start]))
-        lines = np.cumsum([len(t) + 1 for t in texts[i:j]])
-        counts.append(np.diff(np.searchsorted(start, lines), prepend=0))
-        i = j
-    return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.empty(0, _U), np.empty(0, np.int64))
-
-
-_known: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_known.get("up", ())) < n:
-        for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, _PIECE + 2), b, _U)
-            p[0] = 1
-            _known[name] = np.multiply.accumulate(p)
-    return _known["up"], _known["down"]
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, another that shares nothing with it, number of words of each text): the halves of XXH3-128 of the
+    word's bytes; words are runs of other than ASCII white space."""
+    counts, found = [], []
+    for t in texts:
+        words = t.split()
+        counts.append(len(words))
+        found.append(b"".join(map(xxhash.xxh3_128_digest, words)))
+    both = np.frombuffer(b"".join(found), _U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy(), np.array(counts, np.int64)
 
 
 class Bucket:
@@ -86,7 +63,7 @@ class Bucket:
 
     def __init__(self, texts: list[bytes], span: int):
         self.span, self.block = span, span // 2
-        self.words, self.counts = word_hashes(texts)
+        self.words, self.others, self.counts = word_hashes(texts)
         n, b = len(self.words), self.block
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         #: Words left in the document from each word on, and its place from the document's start.
@@ -124,7 +101,7 @@ class Bucket:
         where = np.flatnonzero((np.cumsum(reach)[:n] > 0) & (self.left[:n] >= self.span))
         if not len(where):
             return np.empty(0, _U), np.empty(0, np.uint32), where, where
-        first, second = _mix(self.long[where]), (_mix(self._windows(_mix(self.words ^ _U(_SALT)), _STEP2)[1][where]) >> _U(32)).astype(np.uint32)
+        first, second = _mix(self.long[where]), (_mix(self._windows(self.others, _STEP2)[1][where]) >> _U(32)).astype(np.uint32)
         order = np.lexsort((second, first))
         new = np.ones(len(where), bool)
         new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
@@ -208,12 +185,14 @@ def drop_repeats(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_c
     small_handover(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sizes = stored(rows.select("id", F.octet_length("text").alias("n")))  # texts are read for this and to be dealt
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     wanted = int(min(most_buckets, max(shuffle_partitions(spark), -(-total // bucket_bytes))))
     parts = int(max(shuffle_partitions(spark), -(-total // (2 * bucket_bytes))))
     inner = -(-parts // fan)
     parts = -(-parts // inner) * inner
-    layout = spark.sparkContext.broadcast(Layout.of(rows.select("id", F.octet_length("text").alias("n")), wanted, max(1, total // wanted), fan))
+    layout = spark.sparkContext.broadcast(Layout.of(sizes, wanted, max(1, total // wanted), fan))
+    discard(sizes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps("substrings")

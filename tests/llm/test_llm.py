@@ -103,6 +103,36 @@ def test_windows_of_one_hash_are_told_apart():
     assert substrings._found(2, keys, whose, np.array([1, 1, 2, 3, 3, 2], np.uint32)).tolist() == [False, True, False, False, True, False]
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_patterned_words_are_told_apart(spark):
+    """Words that collide under every polynomial modulo a power of two."""
+    common = [f"w{i}" for i in range(19)]
+    odd = [thue_morse(n) for n in (1024, 2048)]
+    words = [x for o in odd for x in (o, o.translate(str.maketrans("ab", "ba")))]
+    first, second, counts = substrings.word_hashes([" ".join(words).encode()])
+    assert len(set(first.tolist())) == len(set(second.tolist())) == 4 and counts.tolist() == [4]
+    rows = [(i, " ".join([*common, w])) for i, w in enumerate(words)]
+    got = substrings.digests(substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert as_rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
+    assert {r["n_removed"] for r in got.collect()} == {0}
+
+
+def test_tables_have_no_more_buckets_than_spark_allows(spark):
+    assert common.table_buckets(spark, 800_000) == 100_000 and common.table_buckets(spark, 7) == 7
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        before = [t.name for t in spark.catalog.listTables()]
+        docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+        made = substrings.digests(substrings.drop_repeats(docs, bucket_bytes=5_000))
+        assert [t.name for t in spark.catalog.listTables()] == before
+        assert as_rows(made, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(table_rows(spark))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+
+
 def test_empty_tables_give_empty_results(nothing):
     got = substrings.digests(substrings.drop_repeats(nothing))
     assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"] and got.count() == 0

@@ -11,12 +11,12 @@ import time
 import warnings
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import embed, ids, lookup, plot, prepare, vocabulary
+from ..operators.skipgram import SkipGram
 from ..sources import rules, tables
 from . import stages
 
@@ -96,7 +96,7 @@ def train(spark, a):
     started = time.time()
     sentences = vocabulary.sentences(_sides(spark, a.input), "row_index").select("tokens")
     model = embed.train(sentences, a.vector_size, a.window, a.min_count, a.epochs)
-    model.write().overwrite().save(f"{a.output}/model")
+    model.save(f"{a.output}/model")
     embed.save_text(model, f"{a.output}/vectors")
     found = lookup.validate(model)
     sizes = sentences.agg(F.count("*").alias("sentences"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"))
@@ -129,14 +129,14 @@ def search(spark, a):
 
 
 def similar(spark, a):
-    found = lookup.similar_words(Word2VecModel.load(f"{a.input}/model"), (a.word,), a.limit)
+    found = lookup.similar_words(SkipGram.load(spark, f"{a.input}/model"), (a.word,), a.limit)
     return "\n".join(f"{r['word']}\t{r['similarity_score']:.4f}" for r in found.orderBy("rank").collect())  # `limit` rows
 
 
 def picture(spark, a):
     """Coordinates and a scatter plot of the words of both sides, out of a trained model."""
     pairs = text_table(spark, a.input, ("pair_id", *NORMAL))
-    model = Word2VecModel.load(f"{tables.existing(spark, a.model)}/model")
+    model = SkipGram.load(spark, f"{tables.existing(spark, a.model)}/model")
     points = plot.placed(plot.labelled_vectors(plot.words_by_side(pairs, a.max_words), embed.vectors(model))).persist()
     highlight = tuple(a.highlight.split(",")) if a.highlight else ()
     tables.write_bytes(spark, plot.scatter_png(points, highlight), f"{a.output}/words.png")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, embed, extract, prepare, vectors, vocabulary
+from ..operators import audit, embed, extract, lookup, prepare, vectors, vocabulary
 from ..sources.tables import Source, concatenated, standardise
 
 QUERIES: dict = {}
@@ -568,8 +568,8 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.sentences(pairs(spark, sf_dir), "row_id").select("tokens")
 
 
-#: Vectors of the size that the command trains by default, in fewer epochs and variants.
-_MODEL = {"vector_size": 50, "epochs": 1, "variants": 2}
+#: Vectors of the size that the command trains by default, in fewer epochs.
+_MODEL = {"vector_size": 50, "epochs": 3}
 
 
 @query()
@@ -579,7 +579,8 @@ def word2vec_vectors(spark, sf_dir):
 
 @query()
 def word2vec_synonyms(spark, sf_dir):
-    return embed.train(_training(spark, sf_dir), **_MODEL).findSynonyms("the", 10)
+    found = lookup.similar_words(embed.train(_training(spark, sf_dir), **_MODEL), ("the",), 10)
+    return found.select("word", F.col("similarity_score").alias("similarity"))
 
 
 @query()

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import audit, embed, extract, ids, lookup, prepare, vectors, vocabulary
+from corpusloom.operators import audit, embed, extract, ids, lookup, prepare, skipgram, vectors, vocabulary
 from corpusloom.sources import tables
 
 PAIRS = "pair_id string, ESP string, SHIWILU string"
@@ -188,7 +188,7 @@ def test_words_of_equal_contexts_come_near(spark):
     for _ in range(2000):
         g = r.randrange(2)
         rows.append(([w.format(r.choice(kinds[g])) for w in r.choice(frames[g])],))
-    model = embed.train(spark.createDataFrame(rows, "tokens array<string>"), vector_size=16, epochs=8, partitions=2)
+    model = embed.train(spark.createDataFrame(rows, "tokens array<string>"), vector_size=16, epochs=8, words_a_block=12)
     asked = (*(w for k in kinds for w in k), "pussycats", "truckloads")  # the last two are unknown
     score = {(x["query"], x["word"]): x["similarity_score"] for x in lookup.similar_words(model, asked, 100).collect()}
     kind = {w: i for i, k in enumerate(kinds) for w in k} | {"pussycats": 0, "truckloads": 1}
@@ -197,11 +197,51 @@ def test_words_of_equal_contexts_come_near(spark):
     assert all(mean([w], True) > mean([w], False) for w in asked[6:])
 
 
-def test_all_ngrams_take_part(spark):
-    df = spark.createDataFrame([(["extraordinary", "word", f"w{i}"],) for i in range(400)], "tokens array<string>")
-    seen = {t for x in embed.with_subwords(df).collect() for t in x["tokens"]}
-    grams = set(spark.range(1).select(embed.ngrams(F.lit("extraordinary")).alias("g")).first()["g"])
-    assert len(grams) == 36 and grams <= seen
+def test_buckets_are_those_of_the_column(spark):
+    words = ["extraordinary", "é🙂", "a", "ma'pu'sin", "ĸĸĸ"]
+    column = F.array_sort(F.array_distinct(F.transform(skipgram.ngrams(F.col("w")), lambda g: F.pmod(F.xxhash64(g), F.lit(1000)).cast("int"))))
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", column.alias("b")).collect()
+    assert {r["w"]: r["b"] for r in got} == {w: skipgram._buckets(w, 3, 5, 1000) for w in words}
+    assert len(spark.range(1).select(skipgram.ngrams(F.lit("extraordinary")).alias("g")).first()["g"]) == 36
+
+
+def test_alias_table_follows_weights():
+    r = np.random.default_rng(1)
+    w = r.random(50) ** 3
+    stay, other = skipgram.alias_table(w)
+    share = stay / 50
+    np.add.at(share, other, (1 - stay) / 50)
+    assert np.allclose(share, w / w.sum())
+
+
+def test_skip_gram_over_blocks(spark, tmp_path):
+    """Planted synonyms, which share no n-gram, and held-out inflected forms come near; loss falls; no block has all words."""
+    r = random.Random(1)
+    stem = lambda k: "".join("kalomirutesonavidupe"[2 * int(c) : 2 * int(c) + 2] for c in f"{k * 37 % 1000:03d}")
+    rows = []
+    for _ in range(5000):
+        k = r.randrange(20)
+        around = [f"c{k}x{r.randrange(6)}" for _ in range(6)]
+        rows.append(([*around[:3], r.choice([f"{stem(k)}q", f"zyx{k}dwv", f"{stem(k)}qes", f"{stem(k)}qan"]), *around[3:]],))
+    df = spark.createDataFrame([*rows, (None,), ([],), (["alone"],), ([None, "with", "null"],)], "tokens array<string>")
+    model = skipgram.train(df, vector_size=24, epochs=4, words_a_block=80, pairs_a_task=15_000)
+    assert len(model.losses) == 4 and list(model.losses) == sorted(model.losses, reverse=True) and model.losses[-1] < 0.5 * model.losses[0]
+    v = {x["word"]: np.array(x["vector"]) for x in model.words.collect()}
+    assert len(v) == len({w for x in rows for w in x[0]} | {"alone", "with", "null"}) and len(v) > 2 * 80
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    held_out = {x["word"]: np.array(x["vector"]) for x in model.subwords(spark.createDataFrame([(f"{stem(k)}qim",) for k in range(20)], "word string")).collect()}
+    for k in range(20):
+        others = [cos(v[f"{stem(k)}q"], v[f"zyx{j}dwv"]) for j in range(20) if j != k]
+        assert cos(v[f"{stem(k)}q"], v[f"zyx{k}dwv"]) > max(others)
+        assert cos(held_out[f"{stem(k)}qim"], v[f"{stem(k)}qan"]) > max(cos(held_out[f"{stem(k)}qim"], v[f"{stem(j)}qan"]) for j in range(20) if j != k)
+    model.save(str(tmp_path / "m"))
+    again = skipgram.SkipGram.load(spark, str(tmp_path / "m"))
+    assert {x["word"]: np.array(x["vector"]).tolist() for x in again.words.collect()} == {w: x.tolist() for w, x in v.items()} and again.getVectorSize() == 24
+
+
+def test_skip_gram_of_nothing(spark):
+    model = skipgram.train(spark.createDataFrame([], "tokens array<string>"), vector_size=4, epochs=1)
+    assert model.words.count() == 0 and model.subwords(spark.createDataFrame([("word",)], "word string")).count() == 0
 
 
 def test_vocabulary_ties_by_first_occurrence(spark):

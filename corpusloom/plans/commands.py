@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import embed, ids, lookup, plot, prepare, vocabulary
+from ..operators import embed, ids, latent, lookup, plot, prepare, vocabulary
 from ..operators.skipgram import SkipGram
 from ..sources import rules, tables
 from . import stages
@@ -104,9 +104,14 @@ def train(spark, a):
 
 
 def embed_(spark, a):
-    """Vectors by hashing, a stand-in that carries no meaning beyond shared words; the report says so."""
+    """Latent semantic vectors fitted on the input, or vectors by hashing, a stand-in that carries no meaning beyond shared
+    words; the report says which."""
     started, pairs = time.time(), _sides(spark, a.input)
-    made = embed.embed_pairs(pairs, embed.hashed_encoder(a.vector_size))
+    if a.encoder == "latent":
+        encoder, about = latent.fit(pairs.select(F.explode(F.array(*ORIGINAL)).alias("text")), "text", a.vector_size, block=max(32, -(-a.vector_size // 5))).column(spark), "vectors: latent semantic, fitted on the input\n"
+    else:
+        encoder, about = embed.hashed_encoder(a.vector_size), "vectors: hashed words, a stand-in for a pretrained encoder\n"
+    made = embed.embed_pairs(pairs, encoder)
     made.write.mode("overwrite").parquet(f"{a.output}/vectors")
     if a.npy:
         for side in ("esp_vector", "shi_vector"):
@@ -114,8 +119,7 @@ def embed_(spark, a):
     scored = spark.read.parquet(f"{a.output}/vectors").select("pair_id", tx.cosine(F.col("esp_vector"), F.col("shi_vector")).alias("similarity_score"))
     texts = pairs.select("pair_id", *(F.col(o).alias(n) for n, o in zip(NORMAL, ORIGINAL)))
     result = stages.compare_stage(scored, "pair_id")
-    stand_in = "vectors: hashed words, a stand-in for a pretrained encoder\n"
-    return stand_in + kept(stages.StageResult({"scores": texts.join(scored, "pair_id"), "extremes": result.frames["extremes"]}, result.figures), spark, a.output, started=started)
+    return about + kept(stages.StageResult({"scores": texts.join(scored, "pair_id"), "extremes": result.frames["extremes"]}, result.figures), spark, a.output, started=started)
 
 
 def compare(spark, a):
@@ -162,6 +166,7 @@ def parser() -> argparse.ArgumentParser:
         if name in ("train", "embed"):
             p.add_argument("--vector-size", type=int, default=50 if name == "train" else 384)
         if name == "embed":
+            p.add_argument("--encoder", choices=("hashed", "latent"), default="hashed")
             p.add_argument("--npy", action="store_true")
         if name == "picture":
             p.add_argument("--model", required=True)

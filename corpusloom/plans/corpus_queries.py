@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, embed, extract, lookup, prepare, vectors, vocabulary
+from ..operators import audit, embed, extract, latent, lookup, prepare, vectors, vocabulary
 from ..sources.tables import Source, concatenated, standardise
 
 QUERIES: dict = {}
@@ -589,6 +589,26 @@ def subword_oov_vector(spark, sf_dir):
     return embed.subword_vectors(model, spark.createDataFrame([("unthinging",)], "word string"))
 
 
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select(F.explode(F.array("ESP", "SHIWILU")).alias("text"))
+
+
+@query()
+def latent_singular_values(spark, sf_dir):
+    model = latent.fit(read(spark, sf_dir, "documents"), "text", k=16, steps=8)
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(model.values)], "rank int, singular_value double")
+
+
+@query()
+def latent_pair_comparison(spark, sf_dir):
+    """Sentences and their first words under an encoder that is fitted on both sides of all pairs."""
+    p = pairs(spark, sf_dir).withColumnRenamed("row_id", "pair_id")
+    encoder = latent.fit(_sides(spark, sf_dir), "text").column(spark)
+    v = embed.embed_pairs(p, encoder).select("pair_id", F.coalesce(tx.cosine(F.col("esp_vector"), F.col("shi_vector")), F.lit(0.0)).alias("sentence_score"))
+    by_word = lookup.word_scores(p, lookup.sentence_vocabulary(p, encoder, ("ESP", "SHIWILU")), "pair_id")
+    return v.join(by_word, "pair_id").withColumn("difference", F.col("sentence_score") - F.col("avg_word_score"))
+
+
 @query()
 def pca_2d(spark, sf_dir):
     return embed.coordinates(read(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "label", "x", "y")

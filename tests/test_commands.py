@@ -69,6 +69,8 @@ def test_commands_from_raw_rows_to_flags(spark, tmp_path):
     assert len(got(spark, tmp_path / "5/scores")) == 4
     said = run(spark, ["embed", "--input", o("3/normalized"), "--output", o("5b"), "--vector-size", "16", "--npy"])
     assert said.startswith("vectors: hashed words") and "elapsed_seconds" in "".join(r["value"] for r in spark.read.text(o("5b/summary")).collect())
+    said = run(spark, ["embed", "--input", o("3/normalized"), "--output", o("5c"), "--vector-size", "4", "--encoder", "latent"])
+    assert said.startswith("vectors: latent") and spark.read.parquet(o("5c/vectors")).filter("size(esp_vector) = 4").count() == 4
     matrix = np.load(o("5b/esp_vector.npy"))
     stored = [r["esp_vector"] for r in spark.read.parquet(o("5b/vectors")).orderBy("pair_id").collect()]
     assert matrix.shape == (4, 16) and np.allclose(matrix, stored)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import audit, embed, extract, ids, lookup, prepare, skipgram, vectors, vocabulary
+from corpusloom.operators import audit, embed, extract, ids, latent, lookup, prepare, skipgram, vectors, vocabulary
 from corpusloom.sources import tables
 
 PAIRS = "pair_id string, ESP string, SHIWILU string"
@@ -259,3 +259,37 @@ def test_coordinates_agree_with_numpy(spark, data):
     for name, axis in (("x", axes[:, -1]), ("y", axes[:, -2])):
         want, own = m @ axis, np.array([r[name] for r in got])
         assert np.allclose(own, want, atol=1e-6) or np.allclose(own, -want, atol=1e-6)
+
+
+def dense(rows, n):
+    a = np.zeros((len(rows), n))
+    for i, at in enumerate(rows):
+        np.add.at(a[i], np.array(at, int), 1)
+    with_it = (a > 0).sum(0)
+    a *= np.where(with_it > 0, np.log((1 + len(rows)) / (1 + with_it)) + 1, 0)
+    length = np.linalg.norm(a, axis=1)
+    return a / np.where(length > 0, length, 1)[:, None]
+
+
+def test_singular_values_agree_with_numpy(spark, data):
+    docs = spark.read.parquet(f"{data}/sf0.01/documents.parquet")
+    model = latent.fit(docs, "text", k=16, n=4096, block=32, steps=10)
+    a = dense([r[0] for r in docs.select(latent.features(F.col("text"), 4096)).collect()], 4096)
+    assert np.abs(np.linalg.svd(a, compute_uv=False)[:16] - model.values).max() < 1e-6
+    assert np.allclose(np.linalg.norm(a @ model.vectors, axis=0), model.values, atol=1e-4)
+
+
+def test_texts_of_one_topic_come_near_without_common_words(spark):
+    r = random.Random(4)
+    rows = [(" ".join(f"t{k}w{r.randrange(30)}" for _ in range(12)),) for k in (r.randrange(8) for _ in range(1500))] + [(None,), ("",), ("  ",)]
+    model = latent.fit(spark.createDataFrame(rows, "text string").repartition(3), "text", k=8, n=1 << 14)
+    asked = [(f"query: t{k}w1 t{k}w2 t{k}w3", f"passage: t{j}w11 t{j}w12 t{j}w13", k == j) for k in range(8) for j in range(8)]
+    encode = model.column(spark)
+    df = spark.createDataFrame([*asked, ("query: nowhere", None, False)], "a string, b string, same boolean")
+    scored = [(x["same"], x["c"]) for x in df.select("same", F.coalesce(tx.cosine(encode(F.col("a")), encode(F.col("b"))), F.lit(0.0)).alias("c")).collect()]
+    assert min(c for s, c in scored if s) > 0.8 > 0.3 > max(c for s, c in scored if not s)
+
+
+def test_latent_encoder_of_nothing(spark):
+    model = latent.fit(spark.createDataFrame([(None,), ("",)], "text string"), "text", k=4, n=64)
+    assert not model.values.any() and not model.encode([np.array([1, 2]), np.array([], int)]).any()

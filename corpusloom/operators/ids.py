@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import quantiles
+from .store import stored
+
 #: Rows of a range, about.
 ROWS_A_RANGE = 500_000
 
@@ -15,34 +20,46 @@ def _ranges(df: DataFrame, order: str, parts: int | None) -> tuple[DataFrame, in
     into the last. Without `parts` there are as many as the rows ask for, as many as shuffle partitions at least."""
     spark = df.sparkSession
     if parts is None:
-        rows = df.agg(F.count("*")).first()[0]
+        rows = df.count()
         parts = min(1 << 16, max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_RANGE)))
     marks = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], min(20 * parts, 1 << 20))).first()[0]
     bounds = sorted(set(marks or []))
     if not bounds:
         return df.withColumn("__range", F.lit(0)), 1
-    return df.withColumn("__range", F.when(F.col(order).isNull(), F.lit(len(bounds))).otherwise(_below(bounds, F.col(order)))), len(bounds) + 1
+    below = _below(bounds, F.col(order)) if len(bounds) <= 256 else _below_many(spark, bounds)(F.col(order).cast("double"))
+    return df.withColumn("__range", F.when(F.col(order).isNull(), F.lit(len(bounds))).otherwise(below)), len(bounds) + 1
 
 
 def _below(bounds: list, value: Column) -> Column:
-    """How many of the rising bounds lie below the value, by halving."""
-    table = F.array(*map(F.lit, bounds))
+    """How many of the rising bounds lie below the value, by halving: a tree of comparisons."""
+
+    def branch(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > F.lit(bounds[middle]), branch(middle + 1, high)).otherwise(branch(low, middle))
+
+    return branch(0, len(bounds))
+
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        up = F.get(table, middle) < value
-        return F.struct(F.when((s["low"] < s["high"]) & up, middle + 1).otherwise(s["low"]).alias("low"), F.when((s["low"] < s["high"]) & ~up, middle).otherwise(s["high"]).alias("high"))
+def _below_many(spark, bounds: list):
+    """_below for more bounds than an expression should hold. What it gives need only rise with the value, so doubles serve."""
+    given = spark.sparkContext.broadcast(np.array([float(b) for b in bounds]))
 
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve)["low"]
+    @F.pandas_udf("int")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(given.value, values.to_numpy(dtype=float)).astype(np.int32))
+
+    return run
 
 
 def numbered(df: DataFrame, order: str, out: str, ties: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """`out`: the 0-based place of each row by the numeric column `order` (nulls last), then `ties`.
 
-    Places within a range are moved by the rows of those before; the driver holds one bound a range.
+    df is run once and stored; its bounds, the rows of each range and the result are read from there. Places within a range
+    are moved by the rows of those before; the driver holds one bound a range.
     """
-    df, _ = _ranges(df, order, parts)
+    df, _ = _ranges(stored(df), order, parts)
     counts = df.groupBy("__range").count()
     # One row a range.
     before = counts.select(F.col("__range").alias("__r"), (F.sum("count").over(W.orderBy("__range")) - F.col("count")).alias("__before"))
@@ -50,29 +67,10 @@ def numbered(df: DataFrame, order: str, out: str, ties: tuple[str, ...] = (), pa
     return df.withColumn("__own", own).join(F.broadcast(before), F.col("__range") == F.col("__r")).withColumn(out, (F.col("__before") + F.col("__own") - 1).cast("long")).drop("__range", "__r", "__before", "__own")
 
 
-def at_places(df: DataFrame, column: str, places: list[float], parts: int | None = None) -> DataFrame:
-    """(point, value) for each share in `places`, linearly between the two values next to it in the order of a numeric
-    column, nulls left out; no row for an empty column.
-
-    Only the ranges that hold a wanted place are looked into, and equal values meet as one row with their number.
-    """
-    spark = df.sparkSession
-    ranged, _ = _ranges(df.select(F.col(column).alias("v")).filter("v is not null"), "v", parts)
-    counts = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}  # a row a range
-    total, before, starts = sum(counts.values()), 0, {}
-    for r in sorted(counts):
-        starts[r], before = before, before + counts[r]
-    wanted = [(i, p, p * (total - 1)) for i, p in enumerate(places)]
-    ranks = [(i, float(p), k, x - int(x)) for i, p, x in wanted for k in (int(x), min(int(x) + 1, total - 1))] if total else []
-    hit = sorted({r for _, _, k, _ in ranks for r in counts if starts[r] <= k < starts[r] + counts[r]})
-    by_rank = spark.createDataFrame([(i, p, k, f, side) for n, (i, p, k, f) in enumerate(ranks) for side in (n % 2,)], "i int, point double, k long, f double, side int")
-    moved = spark.createDataFrame([(r, starts[r]) for r in hit], "__r int, start long")
-    values = ranged.filter(F.col("__range").isin(hit)).groupBy("__range", "v").agg(F.count("*").alias("n")).join(F.broadcast(moved), F.col("__range") == F.col("__r"))
-    end = F.col("start") + F.sum("n").over(W.partitionBy("__range").orderBy("v"))
-    placed = values.withColumn("end", end).withColumn("begin", F.col("end") - F.col("n"))
-    found = placed.join(F.broadcast(by_rank), (F.col("k") >= F.col("begin")) & (F.col("k") < F.col("end")))  # two rows a place
-    low, high = (F.max(F.when(F.col("side") == s, F.col("v").cast("double"))) for s in (0, 1))
-    return found.groupBy("i", "point", "f").agg(low.alias("low"), high.alias("high")).select("point", (F.col("low") + (F.col("high") - F.col("low")) * F.col("f")).alias("value"))
+def at_places(df: DataFrame, column: str, places: list[float]) -> DataFrame:
+    """(point, value) for each share in `places`, by quantiles.exact; no row for an empty column."""
+    values, _ = quantiles.exact(df, column, places)
+    return df.sparkSession.createDataFrame([(float(p), x) for p, x in zip(places, values) if x is not None], "point double, value double")
 
 
 def prefixed(n: str, letter: str):

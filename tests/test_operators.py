@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import audit, embed, extract, ids, latent, lookup, prepare, skipgram, vectors, vocabulary
+from corpusloom.operators import audit, embed, extract, ids, latent, lookup, prepare, quantiles, skipgram, vectors, vocabulary
 from corpusloom.sources import tables
 
 PAIRS = "pair_id string, ESP string, SHIWILU string"
@@ -148,7 +148,7 @@ def test_places_are_exact(spark):
     values = [r.choice([0.5, 3.0, r.uniform(-9, 9)]) for _ in range(5000)]
     df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5)
     points = [0.0, 0.1, 0.25, 0.333, 0.5, 0.9, 1.0]
-    got = {r["point"]: r["value"] for r in ids.at_places(df, "v", points, parts=40).collect()}
+    got = {r["point"]: r["value"] for r in ids.at_places(df, "v", points).collect()}
     ordered = sorted(values)
     for p in points:
         x = p * (len(ordered) - 1)
@@ -158,6 +158,39 @@ def test_places_are_exact(spark):
     assert [x["value"] for x in ids.at_places(df.limit(1), "v", [0.3]).collect()] == [df.limit(1).first()[0]]
 
 
+def test_quantiles_by_narrowed_brackets(spark):
+    """Coarse sketches, brackets of few rows, ties, NaN and a bracket that misses."""
+    r = random.Random(2)
+    values = [r.choice([1.0, 1.0, r.gauss(0, 1), r.gauss(0, 1e6), -5.0]) for _ in range(20_000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double").repartition(6)
+    points = [0.0, 0.2, 0.5, 0.777, 0.999, 1.0]
+    for most, sketch, spread in ((1_000_000, 2048, 0.006), (50, 200, 0.03), (10, 2048, 0.006), (1_000_000, 8, 1e-6)):
+        got, also = quantiles.exact(df, "v", points, {"rows": F.count("*")}, most, sketch, spread)
+        assert got == pytest.approx(np.quantile(values, points).tolist(), abs=1e-9) and also == {"rows": 20_002}
+    assert quantiles.exact(df.filter("v is null"), "v", points)[0] == [None] * 6
+
+
+def test_neighbours_by_blocks(spark):
+    """Equal to all pairs on clustered vectors, with equal ones among them; most blocks are left out."""
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((24, 16))
+    rows = [(f"w{i:05d}", (centres[i % 24] + 0.05 * r.standard_normal(16)).tolist()) for i in range(6000)]
+    rows += [(f"same{i}", rows[0][1]) for i in range(15)] + [("zero", [0.0] * 16), ("none", None), (None, rows[1][1])]
+    v = spark.createDataFrame(rows, "word string, v array<double>").repartition(4)
+    asked = spark.createDataFrame([*rows[:40:4], ("strange", centres[0].tolist()), ("SAME3", rows[0][1])], "word string, v array<double>")
+    known = [(w, np.array(x)) for w, x in rows if w and x and any(x)]
+    m = np.array([x / np.linalg.norm(x) for _, x in known])
+    met = [spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)]
+    got = {(x["query"], x["rank"]): (x["word"], x["similarity_score"]) for x in vectors.nearest(v, asked, "word", "v", 5, rows_a_block=64, counts=met).collect()}
+    for w, x in ((a["word"], np.array(a["v"])) for a in asked.collect()):
+        score = np.round(m @ (x / np.linalg.norm(x)), 12)
+        want = sorted((-s, k) for s, (k, _) in zip(score.tolist(), known) if k.lower() != w.lower())[:5]
+        assert [got[w, i + 1][0] for i in range(5)] == [k for _, k in want]
+        assert [got[w, i + 1][1] for i in range(5)] == pytest.approx([-s for s, _ in want], abs=1e-9)
+    assert len(got) == 60 and met[1].value > 4 * met[0].value
+    assert vectors.nearest(v.limit(0), asked, "word", "v").count() == 0 and vectors.nearest(v, asked.limit(0), "word", "v").count() == 0
+
+
 def test_numbers_over_many_ranges(spark):
     df = spark.range(3000).select((F.col("id") * 7 % 1000).alias("k"), "id").unionByName(spark.createDataFrame([(None, 5000)], "k long, id long"))
     got = [(x["k"], x["id"]) for x in sorted(ids.numbered(df, "k", "n", ("id",), parts=300).collect(), key=lambda x: x["n"])]

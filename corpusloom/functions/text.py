@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,10 +44,34 @@ def without_quotes(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
+def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
+@functools.cache
+def may_change() -> str:
+    """A class of the characters that a text not in NFC holds one of: combining marks, those that compose with what is before
+    them, and those that are not in NFC themselves; none lies below U+0300."""
+    points = [c for c in range(0x300, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    second = {parts[1] for c in points for parts in [unicodedata.decomposition(chr(c)).split()] if len(parts) == 2 and not parts[0].startswith("<")}
+    second |= {parts[1] for c in range(0x300) for parts in [unicodedata.decomposition(chr(c)).split()] if len(parts) == 2 and not parts[0].startswith("<")}
+    composing = {int(x, 16) for x in second} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    found = [c for c in points if c in composing or unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFC", chr(c))]
+    spans: list[list[int]] = []
+    for c in found:
+        if spans and c == spans[-1][1] + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+def nfc(c: Column) -> Column:
+    """Only texts that may change are handed to Python: the quick check is an expression, first for characters from U+0300 on."""
+    open_ = c.rlike(r"[^\x{0}-\x{2ff}]") & c.rlike(may_change())
+    return F.coalesce(_nfc(F.when(open_, c)), c)
+
+
 def match_key(c: Column) -> Column:
     return strip(F.lower(c))
 

@@ -1,4 +1,4 @@
-"""Bilingual items out of ordered lines, by windows within a document."""
+"""Bilingual items out of ordered lines, by windows within ranges of a document."""
 
 from __future__ import annotations
 
@@ -18,19 +18,25 @@ def skippable(line: Column) -> Column:
     return (line == "") | line.rlike(PAGE) | line.startswith("TEXTO ") | line.rlike(PLACE)
 
 
-def numbered_items(lines: DataFrame) -> DataFrame:
+def numbered_items(lines: DataFrame, lines_a_range: int = 100_000) -> DataFrame:
     """(doc_id, line_no, line) -> (doc_id, block, texto_id, item_number, raw_lines).
 
-    A header or an item opens a block; blocks that a header opens, and what precedes the first, are dropped.
+    A header or an item opens a block; blocks that a header opens, and what precedes the first, are dropped. A document is
+    read in ranges of `lines_a_range` line numbers, each of which changes the state by the blocks it opens and its last
+    header; the changes are combined in order, a row a range, and then ranges are read apart. So one long file takes many tasks.
     """
     line = F.col("line")
     rows = lines.withColumns({"header": F.nullif(F.regexp_extract(line, HEADER, 1), F.lit("")).cast("int"), "item": line.rlike(ITEM)})
     rows = rows.filter(F.col("header").isNotNull() | ~skippable(line)).withColumn("item", F.col("item") & F.col("header").isNull())
-    so_far = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumns({
-        "block": F.sum((F.col("header").isNotNull() | F.col("item")).cast("int")).over(so_far),
-        "texto_id": F.last("header", ignorenulls=True).over(so_far),
-    })
+    rows = rows.withColumn("__range", F.floor(F.col("line_no") / lines_a_range))
+    opens = (F.col("header").isNotNull() | F.col("item")).cast("int")
+    changes = rows.groupBy("doc_id", "__range").agg(F.sum(opens).alias("__opened"), F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line_no"))).alias("__header"))
+    before = W.partitionBy("doc_id").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    states = changes.select(F.col("doc_id").alias("__doc"), F.col("__range").alias("__at"), F.coalesce(F.sum("__opened").over(before), F.lit(0)).alias("__blocks"), F.last("__header", ignorenulls=True).over(before).alias("__texto"))
+    so_far = W.partitionBy("doc_id", "__range").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({"block": F.sum(opens).over(so_far), "texto_id": F.last("header", ignorenulls=True).over(so_far)})
+    rows = rows.join(states, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__range") == F.col("__at")))
+    rows = rows.withColumns({"block": F.col("block") + F.col("__blocks"), "texto_id": F.coalesce("texto_id", "__texto")})
     note = ~F.col("item") & F.col("header").isNull() & line.rlike(FOOTNOTE) & F.lower(line).contains(FOOTNOTE_TEXT)
     kept = rows.filter(~note)
     content = F.when(F.col("item"), tx.normalize_spaces(F.regexp_extract(line, ITEM, 2))).otherwise(tx.normalize_spaces(line))

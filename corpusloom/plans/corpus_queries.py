@@ -5,11 +5,13 @@ Pairs are all lines of each document, two by two, made untidy by doc_id and thei
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, embed, extract, latent, lookup, prepare, vectors, vocabulary
+from ..operators import audit, embed, extract, latent, lookup, postings, prepare, vectors, vocabulary
 from ..sources.tables import Source, concatenated, standardise
 
 QUERIES: dict = {}
@@ -399,6 +401,17 @@ def corpus_search(spark, sf_dir):
     return vocabulary.search(read(spark, sf_dir, "documents"), "text", "THE .*ING", "doc_id", 10).select("doc_id", "lang")
 
 
+#: Patterns of the indexed search: words, alternatives, classes, repeats, one that no text holds and one that needs no trigram.
+_PATTERNS = ("the .*ing", "(secret|token)[ =:]+", "licen[cs]e", "[0-9]{4}-[0-9]{2}", "(abc|and the)+ [a-z]+", "qzxqzx", "a.b")
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS pattern, doc_id FROM documents WHERE regexp_matches(text, '(?i){x}')" for x in _PATTERNS))
+def indexed_search(spark, sf_dir):
+    index = postings.build(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+    found = [index.matches(x).select(F.lit(x).alias("pattern"), "doc_id") for x in _PATTERNS]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query(f"WITH {_TOKENS} SELECT contains(token, '''') AS apostrophe, count(DISTINCT token) AS n FROM tk GROUP BY 1")
 def apostrophe_vocab(spark, sf_dir):
     words = vocabulary.occurrences(read(spark, sf_dir, "documents"), F.col("text"), "doc_id")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import audit, embed, extract, ids, latent, lookup, prepare, quantiles, skipgram, vectors, vocabulary
+from corpusloom.operators import audit, embed, extract, ids, latent, lookup, postings, prepare, quantiles, skipgram, vectors, vocabulary
 from corpusloom.sources import tables
 
 PAIRS = "pair_id string, ESP string, SHIWILU string"
@@ -326,3 +326,54 @@ def test_texts_of_one_topic_come_near_without_common_words(spark):
 def test_latent_encoder_of_nothing(spark):
     model = latent.fit(spark.createDataFrame([(None,), ("",)], "text string"), "text", k=4, n=64)
     assert not model.values.any() and not model.encode([np.array([1, 2]), np.array([], int)]).any()
+
+
+PATTERNS = [
+    "the", "THE .*ing", "abc|def", "(abc|xyz)+q?", "a{3}", "a{0,2}b", "(secret|token)s? = [a-z0-9]+", "x*yz", "(?:foo|bar)baz", "foo(bar)?baz", r"\\bword\\b", r"\\d{4}-\\d\\d", "^start", "end$", "ki[sk]k", "straße", "STRASSE",
+    "ΑΣ", "éa", "[^abc]def", "[a-c&&[b]]", "[x[yz]]def", r"\\Qa.b\\E", "a++b", "(?i)Ab", "(?<n>abc)def", "a(?=bc)", "(?!x)abc", r"(abc)\\1", r"\\p{L}+ing", r"\\x41bc", r"\\0101bc", "kelvin", "istanbul", "mass", "masſ",
+    "日本", "a.c", "", "zzzzzz", "(a|)bcd", "((abc|abd)|xbd)e", "abc.*xyz", "tab\\there", "(abc)?", "(abc){2,}", "abc{2}", "a|b|cde", r"\\.com", "q u",
+]
+
+
+def test_indexed_search_equals_a_scan(spark):
+    r = random.Random(8)
+    bits = ["the", " ", "King", "ing", "abc", "def", "ABD", "xyz", "secret = ", "token", "foo", "bar", "baz", "word", "2024-05", "\n", "Straße", "STRASSE", "ΑΣ", "ας", "Éa", "éa", "Kelvin", "İstanbul", "ıstanbul", "maſs", "mass", "日本", "a.b", "kisk", "aaa", "b", "c", "Tab\there", ".com", "q u", "e", "start", "end"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(1, 9)))) for i in range(600)] + [(700, None), (701, ""), (702, "ab"), (5, "abc again"), (None, "abc")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    index = postings.build(df, "text", "id")
+    narrowed = 0
+    for pattern in (p.replace("\\\\", "\\") for p in PATTERNS):
+        want = df.filter(F.col("id").isNotNull() & F.col("text").rlike("(?iu)" + pattern)).select("id", "text")
+        assert sorted(map(tuple, index.matches(pattern).select("id", "text").collect())) == sorted(map(tuple, want.collect())), pattern
+        narrowed += postings.need(pattern) is not None
+    assert len(PATTERNS) >= 50 and narrowed >= 25
+    assert [x["id"] for x in index.search("THE", 3).collect()] == [x["id"] for x in vocabulary.search(df.filter("id is not null"), "text", "THE", "id", 3).collect()]
+
+
+def test_what_patterns_need():
+    gram = lambda x: (ord(x[0]) << 14) | (ord(x[1]) << 7) | ord(x[2])
+    assert postings.need("abcd") == ("and", (gram("abc"), gram("bcd"))) and postings.need("a.*b") is None
+    assert postings.need("(abc|xyz)") == ("or", (gram("abc"), gram("xyz"))) and postings.need("(abc|x)") is None
+    assert postings.need("K\u212aK") == postings.need("kkk") == gram("kkk")
+
+
+def test_items_over_ranges_of_lines(spark):
+    """One document of many lines in many ranges is read as by one window."""
+    r = random.Random(6)
+    kinds = ["TEXTO {}", "{}. nanek asu", "{}.", "el hombre y la mujer", "pi'la wek", "", "-- 3 of 9 --", "{} Foo para otros hablantes", "Lagunas, 1998", "TEXTO nada"]
+    rows = [(d, i * 3, r.choice(kinds).format(r.randrange(50))) for d in ("a", "b", None) for i in range(4000)]
+    lines = spark.createDataFrame(rows, "doc_id string, line_no int, line string").repartition(4)
+    whole, parts = ([tuple(map(str, x)) for x in extract.numbered_items(lines, n).collect()] for n in (10**9, 70))
+    assert sorted(whole) == sorted(parts) and len(parts) > 500
+
+
+def test_quick_check_of_all_characters(spark):
+    """Texts that the quick check leaves alone are in NFC: each character alone, behind a letter and behind another mark; Hangul."""
+    checked = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", tx.may_change()))
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            for text in (chr(c), "e" + chr(c), "가" + chr(c), chr(0x1100) + chr(c), "\u0323" + chr(c)):
+                assert unicodedata.is_normalized("NFC", text) or checked.search(text), hex(c)
+    values = ["plain", "é", "e\u0301", "\u1100\u1161\u11a8", "각", "\u212b", "한국어", "q\u0323\u0307", "q\u0307\u0323", "", None, "日本", "\u09c7\u09be"]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", tx.nfc(F.col("v")).alias("n")).collect()
+    assert {x["i"]: x["n"] for x in got} == {i: v if v is None else unicodedata.normalize("NFC", v) for i, v in enumerate(values)}

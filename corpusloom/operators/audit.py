@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .popular import popular_hashes, with_figures
 from .store import stored
 
 TEXTS = ["ESP_original", "SHIWILU_original", "ESP_normalizado", "SHIWILU_normalizado"]
@@ -32,7 +33,7 @@ def _groups(df: DataFrame) -> DataFrame:
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """Members of equal pairs but the first (by pair_id). Groups are aggregated before they meet their rows."""
-    return _problems(df.join(_groups(df), KEY), "exact_duplicate", _duplicate_details())
+    return _problems(with_figures(df, _groups(df), KEY, "pair_id"), "exact_duplicate", _duplicate_details())
 
 
 def _duplicate_details() -> Column:
@@ -41,8 +42,7 @@ def _duplicate_details() -> Column:
 
 def duplicate_members(df: DataFrame) -> DataFrame:
     """All members of equal pairs, nulls equal to nulls."""
-    groups = df.groupBy(*(F.col(k).alias(f"__{i}") for i, k in enumerate(KEY))).agg(F.count("*").alias("members")).filter("members > 1")
-    return df.join(groups, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(KEY)]).select(*df.columns, "members")
+    return with_figures(df, df.groupBy(*KEY).agg(F.count("*").alias("members")).filter("members > 1"), KEY, "pair_id", null_safe=True)
 
 
 def duplicate_stats(df: DataFrame) -> DataFrame:
@@ -55,8 +55,11 @@ def _variants(df: DataFrame, key: str, other: str, out: str) -> DataFrame:
     return g.filter("d > 1").select(key, (F.col("d") + F.col("z")).alias(out))
 
 
-def _with_variants(df: DataFrame) -> DataFrame:
-    return df.join(_variants(df, *KEY, "m"), KEY[0], "left").join(_variants(df, *KEY[::-1], "k"), KEY[1], "left")
+def _with_variants(df: DataFrame, rows: DataFrame, popular: list[list[int]]) -> DataFrame:
+    """rows, those of df with more columns, with the variants of both sides in df; popular keys of each side are given."""
+    one, two = popular
+    rows = with_figures(rows, _variants(df, *KEY, "m"), KEY[:1], "pair_id", "left", popular=one)
+    return with_figures(rows, _variants(df, *KEY[::-1], "k"), KEY[1:], "pair_id", "left", popular=two)
 
 
 def _conflict_kind() -> Column:
@@ -70,7 +73,7 @@ def _conflict_details() -> Column:
 
 
 def conflicts(df: DataFrame) -> DataFrame:
-    return _problems(_with_variants(df), _conflict_kind(), _conflict_details())
+    return _problems(_with_variants(df, df, popular_hashes(df, KEY[:1], KEY[1:])), _conflict_kind(), _conflict_details())
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -131,7 +134,9 @@ def audited(df: DataFrame) -> DataFrame:
     other rows is aggregated before it meets them. The rows are stored first, so that what made them runs once.
     """
     df = stored(df)
-    rows = _limited(_with_variants(df.join(_groups(df), KEY, "left")))
+    pairs, *sides = popular_hashes(df, KEY, KEY[:1], KEY[1:])
+    rows = with_figures(df, _groups(df), KEY, "pair_id", "left", popular=pairs)
+    rows = _limited(_with_variants(df, rows, sides))
     found = (
         (F.lit("empty_field"), _empty_details()), (F.lit("exact_duplicate"), _duplicate_details()), (_conflict_kind(), _conflict_details()),
         (F.lit("length_issue"), _length_details()), (F.lit("suspicious_content"), _suspicious_details()),

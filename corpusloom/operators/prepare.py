@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .ids import numbered, prefixed
+from .popular import with_figures
 
 RULES: dict[str, Callable[[Column], Column]] = {
     "unicode_nfc": tx.nfc, "trim": tx.strip, "collapse_spaces": tx.collapse, "normalize_comma_space": tx.comma_space,
@@ -44,7 +45,7 @@ def cross_duplicates(df: DataFrame) -> DataFrame:
     keyed = df.withColumns({"__e": tx.match_key(F.col("ESP")), "__s": tx.match_key(F.col("SHIWILU"))})
     keys = keyed.filter("__e is not null and __s is not null").groupBy("__e", "__s").agg(F.countDistinct("source").alias("n")).filter("n > 1").drop("n")
     group = F.concat(F.substring("__e", 1, 20), F.lit("|"), F.substring("__s", 1, 20))
-    return keyed.join(keys, ["__e", "__s"], "left_semi").withColumn("duplicate_group", group).drop("__e", "__s")
+    return with_figures(keyed, keys, ["__e", "__s"], how="left_semi").withColumn("duplicate_group", group).drop("__e", "__s")
 
 
 def by_side(rules: list[str] | dict[str, list[tuple[str, Callable]]] | None) -> dict[str, list[tuple[str, Callable]]]:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import audit, embed, extract, ids, latent, lookup, postings, prepare, quantiles, skipgram, vectors, vocabulary
+from corpusloom.operators import audit, embed, extract, ids, latent, lookup, popular, postings, prepare, quantiles, skipgram, vectors, vocabulary
 from corpusloom.sources import tables
 
 PAIRS = "pair_id string, ESP string, SHIWILU string"
@@ -377,3 +377,28 @@ def test_quick_check_of_all_characters(spark):
     values = ["plain", "é", "e\u0301", "\u1100\u1161\u11a8", "각", "\u212b", "한국어", "q\u0323\u0307", "q\u0307\u0323", "", None, "日本", "\u09c7\u09be"]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", tx.nfc(F.col("v")).alias("n")).collect()
     assert {x["i"]: x["n"] for x in got} == {i: v if v is None else unicodedata.normalize("NFC", v) for i, v in enumerate(values)}
+
+
+def test_popular_keys_crowd_no_task(spark):
+    """A third of the rows have one key, a tenth none; without adaptive execution tasks stay alike and results whole."""
+    rows = spark.range(60_000).select(F.col("id").alias("pair_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k"))
+    figures = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("pair_id").alias("m"))
+    (found,) = popular.popular_hashes(rows, ["k"], least=1000)
+    assert len(found) == 2 and popular.popular_hashes(rows, ["k"], ["pair_id"]) == [[], []]
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for c, v in zip(kept, ("false", "-1", "16")):
+        spark.conf.set(c, v)
+    try:
+        for how, null_safe in (("inner", False), ("left", False), ("inner", True), ("left_semi", False)):
+            same = F.col("k").eqNullSafe(F.col("__k")) if null_safe else F.col("k") == F.col("__k")
+            want = rows.join(figures.withColumnRenamed("k", "__k"), same, how).select("pair_id", "k", *(["n", "m"] if how != "left_semi" else []))
+            got = popular.with_figures(rows, figures, ["k"], "pair_id", how, null_safe, found)
+            assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+        tasks = popular.with_figures(rows, figures, ["k"], "pair_id", "left", popular=found).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("count"), F.sum("n").alias("n")).collect()
+        sizes = sorted(r["count"] for r in tasks)
+        assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    few = rows.limit(0)
+    assert popular.with_figures(few, figures, ["k"]).count() == 0

@@ -1,8 +1,10 @@
 """Secrets in texts: three fixed patterns, and strings that look drawn at random.
 
 The second kind is found by two character Markov models of order two, one of random strings and one of ordinary
-identifiers and words, trained from labelled samples. The pieces of a run of identifier characters whose own
-log-likelihood ratio is above a threshold are reported, whatever stands beside them in the run. Spans of the fixed patterns always stay; the models only add spans.
+identifiers, words and numbers, trained from labelled samples. The pieces of a run of identifier characters whose own
+log-likelihood ratio is above a threshold are reported, whatever stands beside them in the run. A part of a run that goes on
+in a letter, mark or digit outside ASCII is a stretch of a longer word and not judged. Strings of digits alone look like any number,
+so the models don't report them. Spans of the fixed patterns always stay; the models only add spans.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import bisect
 import math
 import random
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,13 +27,14 @@ from .common import small_batches, small_handover, worker_keeps
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "markov")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
-_ASSIGN = re.compile("(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|" + _any_case("api") + "_?" + _any_case("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 _PART = re.compile(r"[^/=_-]+")
+_LETTER = re.compile("[A-Za-z]")
+_BORDER = "+/=_-"
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _ALPHABETS = ("0123456789abcdef", _LETTERS + _LETTERS.upper() + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789+/", _LETTERS.upper() + "234567", _LETTERS + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789_-")
@@ -47,20 +51,43 @@ _WORDS = (
     "ahora casa cion como cuando desde donde ella entonces esta hombre los mente mundo muy nosotros para pero porque siempre tiempo todo una vida "
     "that there the then thing and ation ing with would being other hand shore intent blend reason tire stone onto eat hers ness able"
 ).split()
+_ONSETS = "b c d f g h j k l m n p qu r s t v w x y z bl br ch cl cr dr fl fr gl gr ph pl pr sch sh st th tr wh".split()
+_VOWELS = "a e i o u ai au ea ee ei eu ia ie io oi ou ui ieu".split()
+_CODAS = ["", "", "", *"n r s l t m x z ch ck nd ng ns nt rt sh ss st th ts tz".split()]
 
 
-def labelled_samples(n: int = 4000, seed: int = 11) -> Iterator[tuple[str, int]]:
-    """n random strings (label 1) and n identifiers, paths, rules and joined words (label 0), the same on every call."""
+def _syllables(r: random.Random) -> str:
+    return "".join(r.choice(_ONSETS if r.random() < 0.65 else [""]) + r.choice(_VOWELS) + r.choice(_CODAS) for _ in range(r.randint(4, 14)))
+
+
+def _number(r: random.Random) -> str:
+    """Digits, digits in groups, or a date with its time."""
+    digits = lambda k: "".join(r.choices("0123456789", k=k))
+    style = r.randrange(4)
+    if style == 0:
+        return r.choice("-/_").join(digits(r.randint(2, 6)) for _ in range(r.randint(3, 6)))
+    if style == 1:
+        return f"{r.randint(1900, 2100)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" + r.choice(("", f"T{digits(6)}Z", f"T{digits(2)}-{digits(2)}-{digits(2)}", f"_{digits(6)}"))
+    return digits(r.randint(8, 40))
+
+
+#: How often each form of an ordinary sample is drawn.
+STYLE_WEIGHTS = (1, 1, 1, 1, 1, 1, 1, 0.1, 0.8)
+
+
+def labelled_samples(n: int = 16_000, seed: int = 11) -> Iterator[tuple[str, int]]:
+    """n random strings (label 1) and n identifiers, paths, rules, joined words, joined syllables, numbers and dates (label 0),
+    the same on every call."""
     r = random.Random(seed)
     for _ in range(n):
         yield "".join(r.choices(r.choice(_ALPHABETS), k=r.randint(20, 64))), 1
         words = r.choices(_WORDS, k=r.randint(3, 8))
-        style = r.randrange(7)
+        style = r.choices(range(9), STYLE_WEIGHTS)[0]
         joined = (
-            "_".join(words), "-".join(words), "/".join(words), "".join(words), "".join(w.capitalize() for w in words),
-            "_".join(words).upper(), r.choice("=-_") * r.randint(20, 60),
+            "_".join(words), "-".join(words), "/".join(words), r.choice((str.lower, str.lower, str.upper))("".join(words)), "".join(w.capitalize() for w in words),
+            "_".join(words).upper(), r.choice("=-_") * r.randint(20, 60), _number(r), r.choice((str.lower, str.lower, str.capitalize, str.upper))(_syllables(r)),
         )[style]
-        yield joined + (str(r.randint(0, 2030)) if r.random() < 0.3 else ""), 0
+        yield joined + (str(r.randint(0, 2030)) if style < 7 and r.random() < 0.3 else ""), 0
 
 
 class MarkovPair:
@@ -103,7 +130,7 @@ class MarkovPair:
     def pieces(self, text: str, threshold: float) -> list[tuple[int, int]]:
         """Stretches of a ratio above the threshold, each from its lowest to its highest partial sum; a fall by more
         than the threshold parts two. Each is of whole parts between / = _ - of the text; parts at its ends that count
-        against it as a whole are left out."""
+        against it as a whole are left out, and so are stretches without a letter."""
         padded, get = "\x02\x02" + text, self.ratio.get
         # What follows = begins anew.
         fresh = "\x02\x02" + text.replace("=", "\x02")
@@ -133,13 +160,13 @@ class MarkovPair:
             for side in (0, -1):
                 while inside and sum(ratios[inside[side][0] : inside[side][1]]) <= 0:
                     inside.pop(side)
-            if inside:
+            if inside and _LETTER.search(text, inside[0][0], inside[-1][1]):
                 out.append((inside[0][0], inside[-1][1]))
         return out
 
 
 @lru_cache(4)
-def default_pair(n: int = 4000, seed: int = 11) -> MarkovPair:
+def default_pair(n: int = 16_000, seed: int = 11) -> MarkovPair:
     return MarkovPair(labelled_samples(n, seed))
 
 
@@ -155,6 +182,22 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+def _in_one_word(c: str) -> bool:
+    """Whether a word goes on from an ASCII letter to c: cased letters, marks and digits do that, scripts without case don't."""
+    return c > "\x7f" and (c.lower() != c.upper() or unicodedata.category(c)[0] == "M" or c.isdigit())
+
+
+def _whole_parts(text: str, at: int, stop: int) -> tuple[int, int]:
+    """The run at:stop without the part at either end that is a stretch of a longer word."""
+    if at and _in_one_word(text[at - 1]):
+        while at < stop and text[at] not in _BORDER:
+            at += 1
+    if stop < len(text) and _in_one_word(text[stop]):
+        while stop > at and text[stop - 1] not in _BORDER:
+            stop -= 1
+    return at, stop
+
+
 def find_spans(text: str, pair: MarkovPair, threshold: float = 12.0) -> list[tuple[int, str, int]]:
     """Base spans, and the pieces of runs of 16 or more identifier characters with a ratio above the threshold that
     lie outside of them; by start, then kind as in KINDS."""
@@ -167,7 +210,7 @@ def find_spans(text: str, pair: MarkovPair, threshold: float = 12.0) -> list[tup
             taken.append([s, e])
     ends = [e for _, e in taken]
     for m in _RUN.finditer(text):
-        at, stop = m.span()
+        at, stop = _whole_parts(text, *m.span())
         i = bisect.bisect_right(ends, at)
         # What the base spans leave of the run.
         while at < stop:

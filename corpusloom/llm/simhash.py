@@ -258,15 +258,34 @@ def shard_links(sketches: list[list[int]], by: int, radius: int, total: int) ->
     return out
 
 
+def shard_pairs(sketches: list[list[int]], labels: list[int], by: int, radius: int, total: int) -> Iterator[tuple[int, int, int]]:
+    """As shard_links, but all near pairs of different labels; label 0 differs from every label."""
+    tree = BKTree()
+    for i, own in enumerate(sketches):
+        for j in tree.within(own[by], radius):
+            if labels[i] != labels[j] or not labels[i]:
+                apart = sum(((x ^ y) & _BITS).bit_count() for x, y in zip(own, sketches[j]))
+                if apart <= total:
+                    yield i, j, apart
+        tree.add(own[by])
+
+
+#: Pairs that a task of sketch_links holds before it hands them on, give or take those of a shard of shard_links.
+_HANDED = 50_000
+
+
 def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: int = 512) -> DataFrame:
     """Pairs (f0, ..., g0, ..., apart) of distinct sketches that connect all that are near: at most `radius` bits apart in one of
-    the fingerprints and `total` bits in all. The shards are those of near_links, for each fingerprint."""
+    the fingerprints and `total` bits in all. With a column `label` (long) they are all near pairs of different labels, of which
+    0 differs from every label. The shards are those of near_links, for each fingerprint."""
     spark = sketches.sparkSession
+    labelled = ["label"] if "label" in sketches.columns else []
+    own_columns = [*_FPS, *labelled]
     blocks, bits, parts = radius + 1, 64, []
-    rows = sketches.select(*_FPS, F.explode(F.array(*(F.struct(F.lit(i).alias("by"), F.lit(i).cast("long").alias("key"), F.col(f).alias("rest")) for i, f in enumerate(_FPS)))).alias("o")).select(*_FPS, "o.*")
+    rows = sketches.select(*own_columns, F.explode(F.array(*(F.struct(F.lit(i).alias("by"), F.lit(i).cast("long").alias("key"), F.col(f).alias("rest")) for i, f in enumerate(_FPS)))).alias("o")).select(*own_columns, "o.*")
     while True:
         options, bits = _blocks(bits, blocks), bits - bits // blocks
-        rows = rows.select(*_FPS, "by", F.explode(F.array(*options)).alias("o")).select(*_FPS, "by", "o.key", "o.rest")
+        rows = rows.select(*own_columns, "by", F.explode(F.array(*options)).alias("o")).select(*own_columns, "by", "o.key", "o.rest")
         if bits <= 16:
             parts.append(rows.drop("rest"))
             break
@@ -283,10 +302,11 @@ def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: in
     schema = ", ".join(f"{c} long" for c in (*_FPS, *(f"g{i}" for i in range(SKETCH)), "apart"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = np.empty(0, np.int64), np.empty((0, SKETCH + 1), np.int64)
+        names = [f.split(" ")[0] for f in schema.split(", ")]
+        keys, held = np.empty(0, np.int64), np.empty((0, 1 + len(own_columns)), np.int64)
         for batch in [*batches, None]:
             if batch is not None:
-                columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "by", *_FPS)]
+                columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "by", *own_columns)]
                 keys, held = np.concatenate([keys, columns[0]]), np.concatenate([held, np.stack(columns[1:], axis=1)])
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()]
             if batch is None:
@@ -294,11 +314,16 @@ def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: in
             found = []
             for a, b in zip(cuts, cuts[1:]):
                 if b - a > 1:
-                    own = held[a:b, 1:].tolist()
-                    found += [[*own[i], *own[j], n] for i, j, n in shard_links(own, int(held[a, 0]), radius, total)]
+                    own, by = held[a:b, 1 : SKETCH + 1].tolist(), int(held[a, 0])
+                    near = shard_pairs(own, held[a:b, -1].tolist(), by, radius, total) if labelled else shard_links(own, by, radius, total)
+                    for i, j, n in near:
+                        found.append([*own[i], *own[j], n])
+                        if len(found) >= _HANDED:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
+                            found = []
             keys, held = keys[cuts[-1] :], held[cuts[-1] :]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=[f.split(" ")[0] for f in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
 
     return todo.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", *_FPS).mapInArrow(run, schema).distinct()
 
@@ -343,9 +368,10 @@ def _shingles(nodes: DataFrame, own: DataFrame, key: list[str], links: DataFrame
     return stored(texts.mapInArrow(run, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
-def _checked(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, root): components of the links (a, b, apart) that hold. First each node's nearest is looked at, then what
-    would still join two components."""
+def _checked(nodes: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, radius: int, total: int) -> DataFrame:
+    """(node, root): components of all near pairs that hold. First each node's nearest of the links (a, b, apart) is looked at,
+    then those that would still join two components. A link that fails may have stood for other pairs that hold, so at last
+    every near pair of two components is looked at."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
     nearest = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     first = stored(_same_text(texts, nearest, similarity))
@@ -353,7 +379,31 @@ def _checked(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     root = lambda c: roots.select(F.col("a").alias(c), F.col("b").alias(f"root_{c}"))
     placed = links.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = placed.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    return stars(first.unionByName(_same_text(texts, rest, similarity))).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    held = stored(first.unionByName(_same_text(texts, rest, similarity)))
+    roots = stars(held)
+    apart = stored(_apart(nodes, texts, roots, similarity, radius, total).join(both.select("a", "b"), ["a", "b"], "left_anti"))
+    more = stored(_same_text(texts, apart, similarity))
+    if not more.isEmpty():
+        roots = stars(held.unionByName(more))
+    return roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _apart(nodes: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, radius: int, total: int) -> DataFrame:
+    """(a, b): the near pairs of nodes of texts in different components (a, b: its root). Nodes of one sketch are paired if they share one of the
+    smallest shingles of both, of which sets with `similarity` in common can't do without."""
+    placed = stored(
+        texts.select("node", F.slice(F.array_sort("shingles"), 1, F.size("shingles") - F.ceil(F.lit(similarity) * F.size("shingles")).cast("int") + 2).alias("smallest"))
+        .join(nodes.select("node", *_FPS), "node").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    )
+    alike = placed.groupBy(*_FPS).agg(F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("label"))
+    sketches = stored(alike)
+    side = lambda c, names: placed.select(*(F.col(f).alias(n) for f, n in zip(_FPS, names)), F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    others = [f"g{i}" for i in range(SKETCH)]
+    across = sketch_links(sketches, radius, total).join(side("a", _FPS), _FPS).join(side("b", others), others).filter("root_a <> root_b")
+    parts = placed.join(sketches.filter("label = 0").select(*_FPS), _FPS).select(*_FPS, "node", "root", F.explode("smallest").alias("one"))
+    mine = lambda c: parts.select(*_FPS, "one", F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    within = mine("a").join(mine("b"), [*_FPS, "one"]).filter("a < b and root_a <> root_b")
+    return across.select("a", "b").union(within.select("a", "b")).distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, total: int = 44) -> DataFrame:
@@ -397,7 +447,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = sketch_links(sketches.select(*_FPS), radius, total).join(side("a", _FPS), _FPS).join(side("b", others), others).select("a", "b", "apart")
     links = stored(members.union(near))
     texts = _shingles(nodes, own.select(*rows, text.alias("__text")), rows, links, words)
-    roots = _checked(links, texts, similarity)
+    roots = _checked(nodes, links, texts, similarity, radius, total)
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # The distinct texts of each group's smallest id, mostly one.
     least = rooted.groupBy("root").agg(F.min("least").alias("__by"))

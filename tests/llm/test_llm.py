@@ -779,6 +779,25 @@ def test_near_copies_are_found_and_others_kept(spark):
     assert want <= kept and len(kept - want) <= 0.05 * (600 - len(want)) and 600 - len(want) > 250
 
 
+def test_links_that_fail_hide_no_others(spark):
+    """Texts of nearly the same words in two orders: every pair is proposed, and only those of one order hold."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefghijklm", k=9))
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(400)]
+        for order in range(2):
+            r.shuffle(base)
+            for copy in range(3):
+                ws = list(base)
+                if copy:
+                    a, b = r.sample(range(len(ws)), 2)
+                    ws[a], ws[b] = ws[b], ws[a] if g % 2 else word()
+                rows.append((len(rows), " ".join(ws)))
+    kept = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == brute_survivors(rows) and len(kept) == 80
+
+
 def test_crowded_sketches_are_divided_again(spark):
     r = random.Random(13)
     base = [r.getrandbits(64) for _ in range(simhash.SKETCH)]

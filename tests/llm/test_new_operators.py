@@ -258,6 +258,25 @@ def test_words_leave_the_table_and_come_back():
         assert small.ids([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_together():
+    """Few calls of the library for many words, also beside words that hold the mark between them."""
+
+    class Counted:
+        def __init__(self, library):
+            self.library, self.texts = library, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.library.encode_batch_fast(texts, **more)
+
+    library, made = Tokenizer.from_file(W), packing.WordIds(W)
+    made.library = Counted(made.library)
+    texts = [" ".join(f"w{'xyz'[i % 3]}{i},é'{i % 9}\tq" for i in range(k, k + 2500)) for k in (0, 2000)] + ["a\x01b \x01 \x01\x01 c\x01 \u0301x '\x01 İI\x01", "\x01", ""]
+    for t in texts:
+        assert made.ids([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert made.library.texts < 30
+
+
 def test_empty_tables(nothing, spark):
     for got, columns in (
         (alignment.align_tokenizers(nothing, A, B, digest=True), ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]),

@@ -1,5 +1,7 @@
+import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -323,6 +325,24 @@ def test_texts_of_one_topic_come_near_without_common_words(spark):
     assert min(c for s, c in scored if s) > 0.8 > 0.3 > max(c for s, c in scored if not s)
 
 
+def test_hashed_encoder_hashes_a_token_once(spark):
+    """Equal to plain counting, and in time for long lines: a token was hashed anew for every dimension."""
+    texts = [" ".join(f"W{(i * 7919 + k) % 5003}é" for i in range(4000)) for k in range(400)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", " \t", "one ONE two"]], "t string").repartition(4).cache()
+    df.count()
+    began = time.time()
+    twice = embed.embed_pairs(df.select(F.col("t").alias("ESP"), F.col("t").alias("SHIWILU")), embed.hashed_encoder(64), "ESP")
+    assert twice.filter(tx.cosine(F.col("esp_vector"), F.col("shi_vector")) > 0.9).count() >= 400
+    got = {r["t"]: r["v"] for r in df.select("t", embed.hashed_encoder(64)(F.col("t")).alias("v")).collect()}
+    assert time.time() - began < 60
+    for t in (texts[0], texts[-1], "", " \t", "one ONE two"):
+        want = [0.0] * 64
+        for w in t.lower().split():
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:8], 16) % 64] += 1 if h[8] >= "8" else -1
+        assert got[t] == want
+
+
 def test_latent_encoder_of_nothing(spark):
     model = latent.fit(spark.createDataFrame([(None,), ("",)], "text string"), "text", k=4, n=64)
     assert not model.values.any() and not model.encode([np.array([1, 2]), np.array([], int)]).any()

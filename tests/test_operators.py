@@ -274,6 +274,19 @@ def test_skip_gram_over_blocks(spark, tmp_path):
     assert {x["word"]: np.array(x["vector"]).tolist() for x in again.words.collect()} == {w: x.tolist() for w, x in v.items()} and again.getVectorSize() == 24
 
 
+def test_pairs_of_words_are_packed(spark):
+    """Many pairs a row, each in the step and block of its words."""
+    df = spark.createDataFrame([([f"w{i % 40}" for i in range(k, k + 50)],) for k in range(100)], "tokens array<string>").coalesce(1)
+    of = {r["h"]: r["w"] for r in spark.range(40).select(F.concat(F.lit("w"), "id").alias("w")).select("w", F.xxhash64("w").alias("h")).collect()}
+    rows, got = skipgram.neighbouring(df, 1, 4, 1).collect(), {}
+    for r in rows:
+        w, c = np.frombuffer(r["w"], np.int64), np.frombuffer(r["c"], np.int64)
+        assert (w % 4 == r["block"]).all() and ((c - w) % 4 == r["step"]).all()
+        for x in zip(w.tolist(), c.tolist()):
+            got[of[x[0]], of[x[1]]] = got.get((of[x[0]], of[x[1]]), 0) + 1
+    assert len(rows) <= 16 and sum(got.values()) == 100 * 49 * 2 and len(got) == 80 and all(n == got[c, w] for (w, c), n in got.items())
+
+
 def test_skip_gram_of_nothing(spark):
     model = skipgram.train(spark.createDataFrame([], "tokens array<string>"), vector_size=4, epochs=1)
     assert model.words.count() == 0 and model.subwords(spark.createDataFrame([("word",)], "word string")).count() == 0

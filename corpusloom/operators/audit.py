@@ -131,19 +131,23 @@ def audited(df: DataFrame) -> DataFrame:
     """All rows with `issues`, array<struct<check_ordinal, problem_type, details>>, and `has_audit_flags`.
 
     One pass over the rows: the checks of a row are columns of it, and what duplicates, conflicts and lengths need from
-    other rows is aggregated before it meets them. The rows are stored first, so that what made them runs once.
+    other rows is aggregated before it meets them. The rows are stored first, so that what made them runs once. Duplicates and
+    variants are found on MD5 digests in the place of texts; the texts are shuffled once, by a number of their row.
     """
-    df = stored(df)
-    pairs, *sides = popular_hashes(df, KEY, KEY[:1], KEY[1:])
-    rows = with_figures(df, _groups(df), KEY, "pair_id", "left", popular=pairs)
-    rows = _limited(_with_variants(df, rows, sides))
+    columns = df.columns
+    df = stored(df.withColumn("__row", F.monotonically_increasing_id()))
+    narrow = df.select("__row", "pair_id", *(F.unhex(F.md5(k)).alias(k) for k in KEY))
+    pairs, *sides = popular_hashes(narrow, KEY, KEY[:1], KEY[1:])
+    rows = with_figures(narrow, _groups(narrow), KEY, "pair_id", "left", popular=pairs)
+    figures = _with_variants(narrow, rows, sides).filter(F.coalesce("n", "m", "k").isNotNull()).select("__row", "first", "n", "m", "k")
+    rows = _limited(df.join(figures, "__row", "left"))
     found = (
         (F.lit("empty_field"), _empty_details()), (F.lit("exact_duplicate"), _duplicate_details()), (_conflict_kind(), _conflict_details()),
         (F.lit("length_issue"), _length_details()), (F.lit("suspicious_content"), _suspicious_details()),
     )
     issues = F.array(*(F.struct(F.lit(i).alias("check_ordinal"), kind.alias("problem_type"), details.alias("details")) for i, (kind, details) in enumerate(found)))
     out = rows.withColumn("issues", F.filter(issues, lambda x: x["details"].isNotNull()))
-    return out.select(*df.columns, "issues", (F.size("issues") > 0).alias("has_audit_flags"))
+    return out.select(*columns, "issues", (F.size("issues") > 0).alias("has_audit_flags"))
 
 
 def all_problems(df: DataFrame) -> DataFrame:

@@ -287,6 +287,20 @@ def test_pairs_of_words_are_packed(spark):
     assert len(rows) <= 16 and sum(got.values()) == 100 * 49 * 2 and len(got) == 80 and all(n == got[c, w] for (w, c), n in got.items())
 
 
+def test_audit_shuffles_texts_once(spark):
+    rows = [(f"p{i}", f"E{i % 7}", f"S{i % 5}", f"e{i % 7}", f"s{i % 5}" if i % 6 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("pair_id", *audit.TEXTS)))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = audit.audited(df)
+        plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert len(re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[[^\]]*ESP_original", plan)) == 1
+        assert got.columns == [*df.columns, "issues", "has_audit_flags"] and got.count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_skip_gram_of_nothing(spark):
     model = skipgram.train(spark.createDataFrame([], "tokens array<string>"), vector_size=4, epochs=1)
     assert model.words.count() == 0 and model.subwords(spark.createDataFrame([("word",)], "word string")).count() == 0

@@ -258,34 +258,15 @@ def shard_links(sketches: list[list[int]], by: int, radius: int, total: int) ->
     return out
 
 
-def shard_pairs(sketches: list[list[int]], labels: list[int], by: int, radius: int, total: int) -> Iterator[tuple[int, int, int]]:
-    """As shard_links, but all near pairs of different labels; label 0 differs from every label."""
-    tree = BKTree()
-    for i, own in enumerate(sketches):
-        for j in tree.within(own[by], radius):
-            if labels[i] != labels[j] or not labels[i]:
-                apart = sum(((x ^ y) & _BITS).bit_count() for x, y in zip(own, sketches[j]))
-                if apart <= total:
-                    yield i, j, apart
-        tree.add(own[by])
-
-
-#: Pairs that a task of sketch_links holds before it hands them on, give or take those of a shard of shard_links.
-_HANDED = 50_000
-
-
 def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: int = 512) -> DataFrame:
     """Pairs (f0, ..., g0, ..., apart) of distinct sketches that connect all that are near: at most `radius` bits apart in one of
-    the fingerprints and `total` bits in all. With a column `label` (long) they are all near pairs of different labels, of which
-    0 differs from every label. The shards are those of near_links, for each fingerprint."""
+    the fingerprints and `total` bits in all. The shards are those of near_links, for each fingerprint."""
     spark = sketches.sparkSession
-    labelled = ["label"] if "label" in sketches.columns else []
-    own_columns = [*_FPS, *labelled]
     blocks, bits, parts = radius + 1, 64, []
-    rows = sketches.select(*own_columns, F.explode(F.array(*(F.struct(F.lit(i).alias("by"), F.lit(i).cast("long").alias("key"), F.col(f).alias("rest")) for i, f in enumerate(_FPS)))).alias("o")).select(*own_columns, "o.*")
+    rows = sketches.select(*_FPS, F.explode(F.array(*(F.struct(F.lit(i).alias("by"), F.lit(i).cast("long").alias("key"), F.col(f).alias("rest")) for i, f in enumerate(_FPS)))).alias("o")).select(*_FPS, "o.*")
     while True:
         options, bits = _blocks(bits, blocks), bits - bits // blocks
-        rows = rows.select(*own_columns, "by", F.explode(F.array(*options)).alias("o")).select(*own_columns, "by", "o.key", "o.rest")
+        rows = rows.select(*_FPS, "by", F.explode(F.array(*options)).alias("o")).select(*_FPS, "by", "o.key", "o.rest")
         if bits <= 16:
             parts.append(rows.drop("rest"))
             break
@@ -303,10 +284,10 @@ def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in schema.split(", ")]
-        keys, held = np.empty(0, np.int64), np.empty((0, 1 + len(own_columns)), np.int64)
+        keys, held = np.empty(0, np.int64), np.empty((0, 1 + SKETCH), np.int64)
         for batch in [*batches, None]:
             if batch is not None:
-                columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "by", *own_columns)]
+                columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "by", *_FPS)]
                 keys, held = np.concatenate([keys, columns[0]]), np.concatenate([held, np.stack(columns[1:], axis=1)])
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()]
             if batch is None:
@@ -314,13 +295,8 @@ def sketch_links(sketches: DataFrame, radius: int = 3, total: int = 44, most: in
             found = []
             for a, b in zip(cuts, cuts[1:]):
                 if b - a > 1:
-                    own, by = held[a:b, 1 : SKETCH + 1].tolist(), int(held[a, 0])
-                    near = shard_pairs(own, held[a:b, -1].tolist(), by, radius, total) if labelled else shard_links(own, by, radius, total)
-                    for i, j, n in near:
-                        found.append([*own[i], *own[j], n])
-                        if len(found) >= _HANDED:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
-                            found = []
+                    own, by = held[a:b, 1:].tolist(), int(held[a, 0])
+                    found += [[*own[i], *own[j], n] for i, j, n in shard_links(own, by, radius, total)]
             keys, held = keys[cuts[-1] :], held[cuts[-1] :]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
@@ -371,7 +347,7 @@ def _shingles(nodes: DataFrame, own: DataFrame, key: list[str], links: DataFrame
 def _checked(nodes: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, radius: int, total: int) -> DataFrame:
     """(node, root): components of all near pairs that hold. First each node's nearest of the links (a, b, apart) is looked at,
     then those that would still join two components. A link that fails may have stood for other pairs that hold, so at last
-    every near pair of two components is looked at."""
+    every near pair of two components that can hold is looked at."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
     nearest = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     first = stored(_same_text(texts, nearest, similarity))
@@ -381,29 +357,57 @@ def _checked(nodes: DataFrame, links: DataFrame, texts: DataFrame, similarity: f
     rest = placed.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
     held = stored(first.unionByName(_same_text(texts, rest, similarity)))
     roots = stars(held)
-    apart = stored(_apart(nodes, texts, roots, similarity, radius, total).join(both.select("a", "b"), ["a", "b"], "left_anti"))
+    apart = stored(_apart(nodes, links, texts, roots, similarity, radius, total).join(both.select("a", "b"), ["a", "b"], "left_anti"))
     more = stored(_same_text(texts, apart, similarity))
     if not more.isEmpty():
         roots = stars(held.unionByName(more))
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _apart(nodes: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, radius: int, total: int) -> DataFrame:
-    """(a, b): the near pairs of nodes of texts in different components (a, b: its root). Nodes of one sketch are paired if they share one of the
-    smallest shingles of both, of which sets with `similarity` in common can't do without."""
-    placed = stored(
-        texts.select("node", F.slice(F.array_sort("shingles"), 1, F.size("shingles") - F.ceil(F.lit(similarity) * F.size("shingles")).cast("int") + 2).alias("smallest"))
-        .join(nodes.select("node", *_FPS), "node").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    )
-    alike = placed.groupBy(*_FPS).agg(F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("label"))
-    sketches = stored(alike)
-    side = lambda c, names: placed.select(*(F.col(f).alias(n) for f, n in zip(_FPS, names)), F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    others = [f"g{i}" for i in range(SKETCH)]
-    across = sketch_links(sketches, radius, total).join(side("a", _FPS), _FPS).join(side("b", others), others).filter("root_a <> root_b")
-    parts = placed.join(sketches.filter("label = 0").select(*_FPS), _FPS).select(*_FPS, "node", "root", F.explode("smallest").alias("one"))
-    mine = lambda c: parts.select(*_FPS, "one", F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    within = mine("a").join(mine("b"), [*_FPS, "one"]).filter("a < b and root_a <> root_b")
-    return across.select("a", "b").union(within.select("a", "b")).distinct()
+#: Words of a parity of 64 bits each: a bit is 1 if it stands for an odd number of a set's shingles.
+_ODD = [f"odd{i}" for i in range(8)]
+
+
+def _apart(nodes: DataFrame, links: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, radius: int, total: int) -> DataFrame:
+    """(a, b): the near pairs of nodes in different components (roots: a, its root b) that can have `similarity` of their
+    shingles in common.
+
+    Near pairs are connected by links, so only a group of linked nodes with several components has any. Its shingles are
+    ordered: first those of one component alone, then the rarest. Two sets that hold share one that is early in both, and
+    from the first that they share on each has enough others left. Those of one component never pair anything, and those
+    that most of a group has come last: its members don't meet in pairs for them. What differs surely, shingles of one
+    component and odd bits of a parity of the others, must leave enough, too."""
+    placed = texts.select("node").join(stars(links).select(F.col("a").alias("node"), F.col("b").alias("group")), "node", "left")
+    placed = placed.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    placed = stored(placed.select("node", F.coalesce("group", "node").alias("group"), F.coalesce("root", "node").alias("root")))
+    several = stored(placed.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("group"))
+    # Numbers in place of digests; a group's hash is but a key, as no near pair is of two groups.
+    open_ = stored(placed.join(hinted(several, several.count()), "group").withColumn("at", F.monotonically_increasing_id()))
+    n = open_.count()
+    labels = open_.groupBy("root").agg(F.min("at").alias("label"))
+    open_ = hinted(stored(open_.join(hinted(labels, n), "root").select("node", "at", "label", F.xxhash64("group").alias("group"))), n)
+    each = texts.join(open_, "node").select("group", "label", "at", F.size("shingles").alias("n"), F.explode("shingles").alias("one"))
+    across = each.groupBy("group", "one").agg(F.count("*").alias("times"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("group", "one", "times")
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(one, 32) & 63 as int))")
+    parity = [F.bit_xor(F.when(F.pmod("one", F.lit(len(_ODD))) == i, bit).otherwise(0)).alias(o) for i, o in enumerate(_ODD)]
+    shared = each.join(across, ["group", "one"]).groupBy("group", "label", "at", "n").agg(F.sort_array(F.collect_list(F.struct("times", "one"))).alias("shared"), *parity)
+    # A little less, so that rounding loses no pair.
+    spare = F.size("shared") - F.ceil(F.lit(similarity) * F.col("n") - 1e-6).cast("int")
+    early = shared.filter(spare >= 0).select("group", "label", "at", "n", F.size("shared").alias("size"), *_ODD, F.posexplode(F.slice("shared", F.lit(1), spare + 1)).alias("nth", "one"))
+    prints = open_.select("node", "at").join(nodes.select("node", *_FPS), "node")
+    parts = stored(early.join(prints, "at").select("group", "label", "at", "node", "n", F.col("one.one").alias("one"), (F.col("size") - F.col("nth")).alias("left"), (F.col("n") - F.col("size")).alias("own"), *_FPS, *_ODD))
+    a, b = (parts.select("group", "one", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "at", "node", "n", "left", "own", *_FPS, *_ODD))) for x in "ab")
+    bits, odd = ([F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in names] for names in (_FPS, _ODD))
+    both = F.col("n_a") + F.col("n_b")
+    enough = F.lit(similarity / (1 + similarity)) * both - 1e-6
+    can = [
+        F.struct("n_a", "at_a") < F.struct("n_b", "at_b"), F.col("label_a") != F.col("label_b"), F.col("n_a") >= F.lit(similarity) * F.col("n_b") - 1e-6,
+        F.least("left_a", "left_b") >= enough, sum(odd, F.col("own_a") + F.col("own_b")) <= both - 2 * enough, F.least(*bits) <= radius, sum(bits[1:], bits[0]) <= total,
+    ]
+    met = a.join(b, ["group", "one"])
+    for c in can:
+        met = met.filter(c)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, total: int = 44) -> DataFrame:

@@ -798,6 +798,23 @@ def test_links_that_fail_hide_no_others(spark):
     assert kept == brute_survivors(rows) and len(kept) == 80
 
 
+def test_pairs_looked_at_grow_with_the_texts_of_a_group(spark, monkeypatch):
+    """One group of near texts, half of which are too far from each other to hold: pairs that can't hold are not looked at."""
+    looked, same_text = [], simhash._same_text
+    monkeypatch.setattr(simhash, "_same_text", lambda texts, links, *more: (looked.append(links.count()), same_text(texts, links, *more))[1])
+    r = random.Random(31)
+    base, word = [f"word{i}" for i in range(150)], lambda: "".join(r.choices("abcdefghijklm", k=9))
+    rows = []
+    for i in range(400):
+        ws = list(base)
+        for at in r.sample(range(150), i % 9):
+            ws[at] = word()
+        rows.append((i, " ".join(ws)))
+    kept = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == brute_survivors(rows) and 100 < len(kept) < 300
+    assert len(looked) == 3 and looked[2] < 5 * len(rows)
+
+
 def test_crowded_sketches_are_divided_again(spark):
     r = random.Random(13)
     base = [r.getrandbits(64) for _ in range(simhash.SKETCH)]

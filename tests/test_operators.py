@@ -287,6 +287,31 @@ def test_pairs_of_words_are_packed(spark):
     assert len(rows) <= 16 and sum(got.values()) == 100 * 49 * 2 and len(got) == 80 and all(n == got[c, w] for (w, c), n in got.items())
 
 
+def test_skip_gram_stores_no_pairs_and_leaves_two_tables(spark, monkeypatch):
+    """What is stored while it trains grows with texts and vectors, not with pairs; then only words and buckets are left."""
+    kept, stored, discard = [], skipgram.stored, skipgram.discard
+    monkeypatch.setattr(skipgram, "stored", lambda *a, **b: kept.append(stored(*a, **b)) or kept[-1])
+    gone = []
+    monkeypatch.setattr(skipgram, "discard", lambda *tables: gone.extend(x._stored_at for x in tables) or discard(*tables))
+    df = spark.createDataFrame([([f"w{i % 40}" for i in range(k, k + 50)],) for k in range(100)], "tokens array<string>")
+    model = skipgram.train(df, vector_size=4, epochs=2, words_a_block=10, buckets=1000)
+    assert not any({"w", "c"} <= set(x.columns) for x in kept)
+    assert len(kept) - len(gone) == len({x._stored_at for x in kept} - set(gone)) == 2
+    assert model.words.count() == 40 and model.grams.filter("size(vector) = 4").count() == model.grams.count() > 0
+
+
+def test_pairs_of_a_step_are_those_of_all_steps(spark):
+    df = spark.createDataFrame([([f"w{(i * i) % 37}" for i in range(k, k + 9 + k % 5)],) for k in range(60)], "tokens array<string>").coalesce(1)
+
+    def pairs(rows):
+        return sorted((r["step"], *x) for r in rows for x in zip(np.frombuffer(r["w"], np.int64).tolist(), np.frombuffer(r["c"], np.int64).tolist()))
+
+    for blocks, rounds in ((1, 1), (4, 1), (3, 2)):
+        texts = skipgram.hashed(df)
+        every = pairs(skipgram.neighbouring(df, 3, blocks, rounds).collect())
+        assert len(every) > 2 * 60 * 8 and sorted(x for s in range(blocks * rounds) for x in pairs(skipgram.paired(texts, 3, blocks, rounds, s).collect())) == every
+
+
 def test_audit_shuffles_texts_once(spark):
     rows = [(f"p{i}", f"E{i % 7}", f"S{i % 5}", f"e{i % 7}", f"s{i % 5}" if i % 6 else None) for i in range(60)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("pair_id", *audit.TEXTS)))

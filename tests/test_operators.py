@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import random
 import re
@@ -5,6 +6,7 @@ import time
 import unicodedata
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -312,6 +314,25 @@ def test_pairs_of_a_step_are_those_of_all_steps(spark):
         assert len(every) > 2 * 60 * 8 and sorted(x for s in range(blocks * rounds) for x in pairs(skipgram.paired(texts, 3, blocks, rounds, s).collect())) == every
 
 
+def test_skip_gram_rows_and_row_groups_are_bounded(spark, monkeypatch):
+    """A block's vectors are many rows, and readers hold four of them at most, whatever a block has."""
+    stored, longest, groups = skipgram.stored, [], []
+
+    def watched(*a, **b):
+        out = stored(*a, **b)
+        if "vec" in out.columns:
+            longest.append(out.filter("kind < 2").agg(F.max(F.length("vec"))).first()[0] or 0)
+            files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{out._stored_at}/*.parquet")]
+            groups.extend(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups))
+        return out
+
+    monkeypatch.setattr(skipgram, "stored", watched)
+    df = spark.range(2000).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), (F.col("id") * 10 + i).cast("string"))).alias("tokens"))
+    model = skipgram.train(df, vector_size=4, epochs=1, buckets=1000)
+    assert 0 < max(longest) <= 16_384 * 4 * 4 and 0 < max(groups) <= 4
+    assert model.words.filter("size(vector) = 4").count() == model.words.select("word").distinct().count() == 20_000
+
+
 def test_audit_shuffles_texts_once(spark):
     rows = [(f"p{i}", f"E{i % 7}", f"S{i % 5}", f"e{i % 7}", f"s{i % 5}" if i % 6 else None) for i in range(60)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("pair_id", *audit.TEXTS)))
